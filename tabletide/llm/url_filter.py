@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import math
 import string
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -82,6 +83,9 @@ class Cascade:
     def part_of(self, key: Column) -> Column:
         return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(len(self.parts)))
 
+    def listed_in(self, part: int) -> Callable[[Column], Column]:
+        return lambda key: (self.part_of(key) == part) & self.has(part, key)
+
     def has(self, part: int, key: Column) -> Column:
         """Whether a key of this part is listed; exact for the keys over which the cascade was built."""
         levels = self.parts[part]
@@ -131,7 +135,7 @@ def lookup(rows: DataFrame, keys: str, cascade: Cascade, to: str) -> DataFrame:
     """rows with the column `to`: those of the array column `keys` that the cascade has."""
     rows = rows.withColumn(to, F.array().cast("array<string>"))
     for part in range(len(cascade.parts)):
-        mine = F.filter(F.col(keys), lambda k, p=part: (cascade.part_of(k) == p) & cascade.has(p, k))
+        mine = F.filter(F.col(keys), cascade.listed_in(part))
         rows = rows.withColumn(to, F.concat(F.col(to), mine))
         if part:
             rows = materialize(rows, "url-part")

@@ -118,7 +118,7 @@ def write_archives(chunks: DataFrame, folder: str, segment: int = 8 << 20, archi
                             out = None
                     if not out:
                         name = f"{path}/{uuid.uuid4().hex}.warc.gz"
-                        out, start = files.open_output_stream(name), 0
+                        out, start = files.open_output_stream(name, compression=None), 0
                     packer = zlib.compressobj(level, zlib.DEFLATED, 31)
                     out.write(packer.compress(header({k: row[k] for k in columns}, date)))
                     records += 1
