@@ -4,9 +4,10 @@ A document is its token ids and then id 0; only documents longer than a sequence
 of which the first may be shorter. The program has a variable for each configuration (a multiset of lengths that fits
 a sequence) and asks for as few sequences as possible that cover the length histogram, which has at most `size`
 entries whatever the corpus. It is solved by multiplicative weights: each length has a price; a knapsack dynamic
-program over the capacity finds the configuration worth most; it is taken as often as its scarcest length allows, in
-part, and the prices of the lengths that it covers fall exponentially in the share covered. The fractional solution is
-rounded down, and what is left over is packed by best fit decreasing, on the histogram as well.
+program over the capacity finds the configurations worth most (all within a tolerance of the dearest); each is taken as
+often as its scarcest length allows, in part, and the prices of the lengths that it covers fall exponentially in the
+share covered. The fractional solution is rounded down, and what is left over is packed by best fit decreasing, on the
+histogram as well.
 
 The plan has a row for each configuration and length (bounded by the number of rounds and the capacity, not by the
 corpus), says which ranks of a length go to which sequences, and is broadcast. The rank of a piece among those of its
@@ -49,43 +50,63 @@ def pieces(docs: DataFrame, size: int = 2048, vocabulary: str = VOCABULARY) -> D
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
-def dearest(price: np.ndarray, lengths: np.ndarray, size: int) -> dict[int, int]:
-    """The configuration worth most: an unbounded knapsack by dynamic programming over the capacity."""
-    best, last = np.zeros(size + 1), np.zeros(size + 1, np.int64)
-    shortest = int(lengths[0])
-    counts = np.searchsorted(lengths, np.arange(size + 1), side="right")
-    for c in range(shortest, size + 1):
-        n = counts[c]
-        worth = best[c - lengths[:n]] + price[:n]
+def knapsack(price: np.ndarray, lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each capacity the worth of the dearest configuration, and the length to take first (0: leave one unit free).
+    An unbounded knapsack by dynamic programming; lengths are descending, and ties go to the longest."""
+    best, first = np.zeros(size + 1), np.zeros(size + 1, np.int64)
+    fits = np.searchsorted(-lengths, -np.arange(size + 1))
+    for c in range(int(lengths[-1]), size + 1):
+        worth = best[c - lengths[fits[c] :]] + price[fits[c] :]
         k = int(worth.argmax())
-        best[c], last[c] = worth[k], lengths[k]
-    found: dict[int, int] = {}
-    c = size
-    while c >= shortest and last[c]:
-        found[int(last[c])] = found.get(int(last[c]), 0) + 1
-        c -= int(last[c])
+        best[c], first[c] = (worth[k], lengths[fits[c] + k]) if worth[k] > best[c - 1] else (best[c - 1], 0)
+    return best, first
+
+
+def traced(first: np.ndarray, start: int, room: int) -> dict[int, int]:
+    """The configuration of length `start` and the dearest content of the room that it leaves."""
+    found = {start: 1}
+    while room > 0:
+        if x := int(first[room]):
+            found[x] = found.get(x, 0) + 1
+        room -= x or 1
     return found
 
 
-def multiplicative_weights(histogram: dict[int, int], size: int, rounds: int, rate: float) -> dict[Config, float]:
-    """A fractional solution: configuration -> how often. Covers nearly all of each length and no more than all."""
-    lengths = np.array(sorted(histogram), np.int64)
+def multiplicative_weights(histogram: dict[int, int], size: int, rounds: int, rate: float, tolerance: float) -> dict[Config, float]:
+    """A fractional solution: configuration -> how often. Covers no length more often than the histogram has it.
+
+    A round has one dynamic program; of its table, the dearest configuration with each length is used, if it is worth
+    at most `tolerance` (a share) less than the dearest of all."""
+    lengths = np.array(sorted(histogram, reverse=True), np.int64)
     demand = np.array([histogram[x] for x in lengths], float)
+    place = {int(x): i for i, x in enumerate(lengths)}
     left, price = demand.copy(), lengths / size
     solution: dict[Config, float] = {}
     for _ in range(rounds):
         open_ = np.flatnonzero(left >= 1)
         if not len(open_):
             break
-        chosen = dearest(price[open_], lengths[open_], size)
-        at = np.searchsorted(lengths, list(chosen))
-        take = np.minimum(np.array(list(chosen.values()), float), np.floor(left[at]))
-        often = (left[at] / take).min()
-        often = often if often < 8 else often / 2
-        config = tuple(sorted(((int(lengths[i]), int(t)) for i, t in zip(at, take, strict=True)), reverse=True))
-        solution[config] = solution.get(config, 0.0) + often
-        left[at] -= take * often
-        price[at] *= np.exp(-rate * take * often / demand[at])
+        best, first = knapsack(price[open_], lengths[open_], size)
+        covered, used = np.zeros(len(lengths)), False
+        for i in open_:
+            length = int(lengths[i])
+            if best[size - length] + price[i] < (1 - tolerance) * best[size]:
+                continue
+            config = traced(first, length, size - length)
+            at = np.array([place[x] for x in config])
+            take = np.array(list(config.values()), float)
+            often = (left[at] / take).min()
+            if often < 1:
+                continue
+            often = often / 2 if often >= 8 else often
+            key = tuple(sorted(config.items(), reverse=True))
+            solution[key] = solution.get(key, 0.0) + often
+            left[at] -= take * often
+            covered[at] += take * often / demand[at]
+            used = True
+        if not used:
+            break
+        price *= np.exp(-rate * covered)
     return solution
 
 
@@ -121,12 +142,12 @@ def best_fit(histogram: dict[int, int], size: int) -> dict[Config, int]:
     return found
 
 
-def solve(histogram: dict[int, int], size: int = 2048, rounds: int = 1500, rate: float = 2.0) -> dict[Config, int]:
+def solve(histogram: dict[int, int], size: int = 2048, rounds: int = 60, rate: float = 0.01, tolerance: float = 0.001) -> dict[Config, int]:
     """How often each configuration is used; every length is packed exactly as often as the histogram has it."""
     found = {((size, 1),): histogram[size]} if histogram.get(size) else {}
     rest = {x: n for x, n in histogram.items() if x < size and n}
     if rest:
-        for config, often in multiplicative_weights(rest, size, rounds, rate).items():
+        for config, often in multiplicative_weights(rest, size, rounds, rate, tolerance).items():
             if whole := int(often + 1e-9):
                 found[config] = found.get(config, 0) + whole
                 for length, n in config:
@@ -151,7 +172,7 @@ def plan_rows(solution: dict[Config, int]) -> list[tuple[int, int, int, int, int
     return rows
 
 
-def pack(docs: DataFrame, size: int = 2048, rounds: int = 1500, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, rounds: int = 60, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     own = materialize(pieces(docs, size, vocabulary).withColumn("row", F.monotonically_increasing_id()), "pieces")

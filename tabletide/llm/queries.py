@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabletide.llm import packing, quality, simhash, url_filter, warc
+from tabletide.llm import decontam, packing, quality, simhash, url_filter, warc
 from tabletide.llm.common import table
 
 
@@ -28,12 +28,16 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_url_filter, op5_packing, op7_quality, op10_simhash)}
+    return {f.__name__: f for f in (op2_warc, op3_url_filter, op5_packing, op7_quality, op8_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
