@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabletide.llm import decontam, packing, quality, simhash, url_filter, warc
+from tabletide.llm import decontam, packing, quality, simhash, substring_dedup, url_filter, warc
 from tabletide.llm.common import table
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -37,7 +41,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc, op3_url_filter, op5_packing, op7_quality, op8_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_url_filter, op5_packing, op7_quality, op8_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
