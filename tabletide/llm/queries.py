@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabletide.llm import decontam, packing, quality, simhash, substring_dedup, url_filter, warc
+from tabletide.llm import decontam, packing, quality, simhash, substring_dedup, toxicity, url_filter, warc
 from tabletide.llm.common import table
 
 
@@ -24,6 +24,10 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, rules, url_filter.listed_hosts(pages))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -41,7 +45,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_url_filter, op5_packing, op7_quality, op8_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_url_filter, op4_toxicity, op5_packing, op7_quality, op8_decontamination, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
