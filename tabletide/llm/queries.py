@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabletide.llm import decontam, packing, quality, simhash, substring_dedup, toxicity, url_filter, warc
+from tabletide.llm import decontam, line_dedup, packing, quality, simhash, substring_dedup, toxicity, url_filter, warc
 from tabletide.llm.common import table
 
 
@@ -40,12 +40,16 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(table(spark, sf_dir, "documents"))
+
+
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_url_filter, op4_toxicity, op5_packing, op7_quality, op8_decontamination, op10_simhash)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_url_filter, op4_toxicity, op5_packing, op7_quality, op8_decontamination, op9_line_dedup, op10_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
