@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tabletide.llm import decontam, line_dedup, packing, quality, simhash, substring_dedup, toxicity, url_filter, warc
+from tabletide.llm import decontam, line_dedup, packing, quality, simhash, substring_dedup, token_counts, toxicity, url_filter, warc
 from tabletide.llm.common import table
 
 
@@ -32,6 +32,10 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
@@ -48,8 +52,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_substring_dedup,
+    op2_warc,
+    op3_url_filter,
+    op4_toxicity,
+    op5_packing,
+    op6_token_counts,
+    op7_quality,
+    op8_decontamination,
+    op9_line_dedup,
+    op10_simhash,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_warc, op3_url_filter, op4_toxicity, op5_packing, op7_quality, op8_decontamination, op9_line_dedup, op10_simhash)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -186,4 +186,4 @@ def keep_first(docs: DataFrame, distance: int = 4) -> DataFrame:
     """The documents that stay: of each group, the one with the smallest doc_id."""
     groups = simhash_groups(docs, distance)
     stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi")
+    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
