@@ -1,15 +1,293 @@
-"""The registered queries of the game-log library."""
+"""The registered queries of the game-log library, each named by its operator, and the same in DuckDB's SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tabletide import functions as fn
+from tabletide import testdata as td
+from tabletide.operators import actions, damage, diag, effects, life, presets, rolls, seating, settings
+from tabletide.sources import read_diag_log
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def effect_log(s: SparkSession, d: str) -> DataFrame:
+    return effects.current_effects(td.game_log(s, d), effects.registry(s))
+
+
+def some_roster(s: SparkSession, d: str) -> DataFrame:
+    """A roster without its second player, so that there are unknown players."""
+    return td.roster(s, d).where("slot <> 1")
+
+
+def matrix(s: SparkSession, d: str) -> DataFrame:
+    return damage.commander_damage_matrix(td.game_log(s, d), td.roster(s, d))
+
+
+def wide_roster(s: SparkSession, d: str) -> DataFrame:
+    totals = life.life_totals(td.game_log(s, d), td.games(s, d), td.roster(s, d))
+    return td.roster(s, d).join(totals, ["game_id", "player_id"]).join(damage.damage_maps(matrix(s, d)), ["game_id", "player_id"]).select("game_id", "slot", "player_id", "color_argb", "seat", "life", "commander_damage")
+
+
+def flat_maps(wide: DataFrame) -> DataFrame:
+    """A map column can't be compared: its entries as sorted text."""
+    return wide.withColumn("commander_damage", F.array_join(F.array_sort(F.transform(F.map_entries("commander_damage"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ","))
+
+
+def color_texts(s: SparkSession, d: str) -> DataFrame:
+    c = F.col("c_custkey")
+    text = F.when(c % 4 == 1, F.concat(F.lit("["), (F.lit(4278190080) + c).cast("string"), F.lit(","), c.cast("string"), F.lit("]"))).when(c % 4 == 2, F.lit("[1,x]")).when(c % 4 == 3, F.lit("[]"))
+    rows = td.table(s, d, "customer").select(c.alias("user_id"), text.alias("text"))
+    colors = fn.decode_colors(F.col("text"))
+    return rows.select("user_id", fn.encode_colors(colors).alias("colors"), fn.colors_malformed(F.col("text")).alias("malformed"))
+
+
+def drafts(s: SparkSession, d: str) -> DataFrame:
+    p = F.col("p_partkey")
+    return td.table(s, d, "part").select(
+        p.alias("draft_id"), F.when(p % 5 == 0, F.lit("  ")).otherwise(F.concat(F.lit(" "), F.col("p_name"), F.lit("\t"))).alias("name"),
+        F.when(p % 3 == 0, F.lit("12a")).otherwise(F.concat(F.lit(" "), F.col("p_size").cast("string"))).alias("life"), (p % 9).cast("string").alias("count"),
+    )
+
+
+def format_games(s: SparkSession, d: str) -> DataFrame:
+    p = td.table(s, d, "part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("id"), F.col("p_size").cast("long").alias("starting_life"), (F.col("p_partkey") % 9).alias("player_count"))
+    g = td.games(s, d).select("game_id", F.concat(F.lit("f"), F.col("game_id").cast("string")).alias("format_id"))
+    return presets.apply_format(g, p)
+
+
+def seeded_presets(s: SparkSession, d: str) -> DataFrame:
+    p = td.presets(s, d)
+    ids = F.when(F.col("owner_id") % 3 == 0, F.lit("commander")).when(F.col("owner_id") % 3 == 1, F.lit("solo"))
+    seeded = p.select("owner_id").distinct().select("owner_id", ids.alias("id"))
+    return presets.seed_defaults(seeded, p, presets.default_presets(s))
+
+
+def preset_changes(s: SparkSession, d: str) -> DataFrame:
+    p = td.presets(s, d)
+    o = p.select("owner_id").distinct()
+    ops = [("update", "f1", "new", 7, 1), ("remove", "f2", None, None, None), ("add", "f2", "again", 8, 2)]
+    changes = s.createDataFrame([(i, *x) for i, x in enumerate(ops)], "seq long, op string, id string, name string, starting_life long, player_count long")
+    return presets.upsert_presets(p, o.crossJoin(F.broadcast(changes)).where(F.col("owner_id") % 3 != F.col("seq")))
+
+
+def preset_moves(s: SparkSession, d: str) -> DataFrame:
+    p = td.presets(s, d)
+    o = F.col("owner_id")
+    moves = p.select("owner_id").distinct().select("owner_id", (o % 7).cast("int").alias("from_pos"), (o * 5 % 6).cast("int").alias("to_pos")).where(o % 4 != 0)
+    return presets.reorder_presets(p, moves)
+
+
+def decoded_presets(s: SparkSession, d: str) -> DataFrame:
+    rows = td.preset_json(s, d).select("owner_id", presets.decode_presets(F.col("json")).alias("p"))
+    first = F.get("p", F.lit(0))
+    return rows.select("owner_id", F.size("p").alias("n"), first["id"].alias("id"), first["name"].alias("name"), first["startingLife"].alias("starting_life"), first["playerCount"].alias("player_count"))
+
+
+def filtered_lines(s: SparkSession, d: str) -> DataFrame:
+    levels = td.games(s, d).select(F.col("game_id").alias("device_id"), td.pick(["off", "errors", "verbose"], F.col("game_id") % 3).alias("log_level")).where(F.col("device_id") % 10 != 9)
+    return diag.log_level_filter(read_diag_log(td.diag_lines(s, d)).select("device_id", "line_no", "level"), levels)
+
+
+def lobby_drafts(s: SparkSession, d: str) -> DataFrame:
+    """n adds a lobby: a fresh list."""
+    r = td.roster(s, d)
+    return seating.seat_plan(r.select(F.col("game_id").alias("lobby_id"), F.col("slot").cast("long").alias("seq"), F.lit("add").alias("op"), "player_id", F.lit(None).cast("string").alias("seat"), F.lit(None).cast("int").alias("target")))
+
+
+QUERIES: dict[str, Query] = {
+    "read_game_log": td.game_log,
+    "read_settings_log": td.settings_log,
+    "read_diag_log": lambda s, d: read_diag_log(td.diag_lines(s, d)).select("device_id", "line_no", "level", "time", "message"),
+    "with_quarter_turns": lambda s, d: seating.with_quarter_turns(td.mixed_roster(s, d)).select("game_id", "slot", "seat", "quarter_turns"),
+    "hold_threshold_ms": lambda s, d: td.gestures(s, d).select("game_id", "seq", fn.hold_threshold_ms(F.col("sensitivity")).alias("ms"), fn.hold_sensitivity(fn.hold_threshold_ms(F.col("sensitivity"))).alias("back")),
+    "gesture_to_deltas": lambda s, d: life.gesture_to_deltas(td.gestures(s, d)),
+    "pending_label": lambda s, d: td.game_log(s, d).where("action = 'life'").select("game_id", "seq", fn.pending_label(F.col("delta") + 1).alias("label")),
+    "decode_colors": color_texts,
+    "preset_labels": lambda s, d: presets.preset_labels(td.presets(s, d)).select("owner_id", "pos", "chip", "subtitle"),
+    "resolve_theme": lambda s, d: td.settings_log(s, d).where("key = 'app.themeMode'").select("user_id", "seq", fn.resolve_theme(F.col("value")).alias("theme")),
+    "damage_map_add": lambda s, d: flat_maps(damage.damage_map_add(wide_roster(s, d), td.games(s, d), F.lit("new"))),
+    "damage_map_remove": lambda s, d: flat_maps(damage.damage_map_remove(wide_roster(s, d), td.roster(s, d).where("slot = 1"))),
+    "next_color": lambda s, d: seating.next_color(td.roster(s, d).where((F.col("slot") != F.col("game_id") % 3) | (F.col("slot") == 5))),
+    "decode_presets": decoded_presets,
+    "valid_actions": lambda s, d: actions.valid_actions(td.game_log(s, d), some_roster(s, d)).select("game_id", "seq", "action", "player_id"),
+    "valid_presets": lambda s, d: presets.valid_presets(drafts(s, d)),
+    "log_level_filter": filtered_lines,
+    "damaged_by": lambda s, d: damage.damaged_by(matrix(s, d), td.roster(s, d)).select("game_id", "player_id", F.array_join("attackers", ",").alias("attackers")),
+    "opponents": lambda s, d: seating.opponents(td.roster(s, d)),
+    "drop_absorbed_inputs": lambda s, d: actions.drop_absorbed_inputs(td.game_log(s, d), td.games(s, d)).select("game_id", "seq", "action"),
+    "orphan_effects": lambda s, d: effects.orphan_effects(effect_log(s, d), some_roster(s, d)).select("game_id", "effect_type", "player_id"),
+    "effects_at_event": lambda s, d: effects.effects_at_event(td.game_log(s, d)),
+    "apply_format": format_games,
+    "seed_defaults": seeded_presets,
+    "upsert_presets": preset_changes,
+    "life_totals": lambda s, d: life.life_totals(td.game_log(s, d), td.games(s, d), td.roster(s, d)),
+    "life_sums": lambda s, d: life.life_sums(td.order_life(s, d)),
+    "commander_damage_matrix": matrix,
+    "current_effects": effect_log,
+    "players_by_position": lambda s, d: seating.players_by_position(td.mixed_roster(s, d)).select("game_id", *[F.array_join(c, ",").alias(c) for c in ("right", "left", "top", "bottom")], "side_count"),
+    "roll_summary": lambda s, d: rolls.roll_summary(td.rolls(s, d)),
+    "commander_damage_timeline": lambda s, d: damage.commander_damage_timeline(td.game_log(s, d)),
+    "game_epochs": lambda s, d: actions.game_epochs(td.game_log(s, d)).select("game_id", "seq", "epoch"),
+    "table_phase": lambda s, d: actions.table_phase(td.game_log(s, d), td.games(s, d)).select("game_id", "seq", "phase", "absorbing"),
+    "life_timeline": lambda s, d: life.life_timeline(td.game_log(s, d), td.games(s, d)),
+    "pending_delta": lambda s, d: life.pending_delta(td.game_log(s, d), "6 hours"),
+    "pending_sessions": lambda s, d: life.pending_sessions(td.game_log(s, d), "6 hours").drop("start"),
+    "effect_tenures": lambda s, d: effects.effect_tenures(td.game_log(s, d), effects.registry(s)),
+    "clockwise_order": lambda s, d: seating.clockwise_order(td.mixed_roster(s, d)).select("game_id", "player_id", "position"),
+    "opponent_rotation": lambda s, d: seating.opponent_rotation(td.mixed_roster(s, d)),
+    "player_labels": lambda s, d: seating.player_labels(td.mixed_roster(s, d)),
+    "visible_slots": lambda s, d: seating.visible_slots(td.mixed_roster(s, d)).select("game_id", "slot", "visible"),
+    "settings_changes": lambda s, d: settings.settings_changes(td.settings_log(s, d)),
+    "reorder_presets": preset_moves,
+    "roll_history": lambda s, d: rolls.roll_history(td.rolls(s, d)),
+    "pick_player": lambda s, d: seating.pick_player(td.mixed_roster(s, d), td.roster(s, d).where("slot = 0").select("game_id", "player_id"), 7),
+    "settings_snapshot": lambda s, d: settings.settings_snapshot(td.settings_log(s, d)),
+    "current_roster": lambda s, d: seating.current_roster(td.game_log(s, d), td.roster(s, d)),
+    "seat_plan": lobby_drafts,
+    "log_rotation": lambda s, d: diag.log_rotation(td.device_sessions(s, d)),
+}
+
+EPOCHS = "ep AS (SELECT *, sum(CASE WHEN action IN ('new_game', 'reset') THEN 1 ELSE 0 END) OVER (PARTITION BY game_id ORDER BY seq) epoch FROM game_log)"
+LAST = "lst AS (SELECT * FROM ep QUALIFY epoch = max(epoch) OVER (PARTITION BY game_id))"
+CELLS = """run AS (SELECT *, sum(delta) OVER (PARTITION BY game_id, epoch, player_id, source_id ORDER BY seq) s FROM ep WHERE action = 'cmd_damage'),
+val AS (SELECT *, s - least(0, min(s) OVER (PARTITION BY game_id, epoch, player_id, source_id ORDER BY seq)) damage FROM run),
+dmg AS (SELECT *, damage - lag(damage, 1, 0) OVER (PARTITION BY game_id, epoch, player_id, source_id ORDER BY seq) applied FROM val)"""
+MATRIX = """cells AS (SELECT game_id, player_id, source_id, arg_max(damage, seq) damage FROM dmg
+    WHERE epoch = (SELECT max(epoch) FROM ep e WHERE e.game_id = dmg.game_id) GROUP BY ALL),
+matrix AS (SELECT a.game_id, a.player_id, b.player_id source_id, CAST(coalesce(c.damage, 0) AS BIGINT) damage FROM roster a JOIN roster b ON a.game_id = b.game_id AND a.player_id <> b.player_id
+    LEFT JOIN cells c ON c.game_id = a.game_id AND c.player_id = a.player_id AND c.source_id = b.player_id)"""
+FLAGS = """fl AS (SELECT *, last_value(CASE action WHEN 'pick_open' THEN 1 WHEN 'pick_close' THEN 0 END IGNORE NULLS) OVER w p,
+    last_value(CASE action WHEN 'gamba_done' THEN 1 WHEN 'gamba_confirm' THEN 0 WHEN 'new_game' THEN 0 END IGNORE NULLS) OVER w g,
+    last_value(CASE action WHEN 'new_game' THEN 1 WHEN 'gamba_done' THEN 0 WHEN 'gamba_skip' THEN 0 END IGNORE NULLS) OVER w c,
+    last_value(CASE action WHEN 'random_start' THEN 1 WHEN 'random_done' THEN 0 WHEN 'new_game' THEN 0 END IGNORE NULLS) OVER w r,
+    last_value(CASE action WHEN 'random_done' THEN 1 WHEN 'new_game' THEN 0 END IGNORE NULLS) OVER w o
+    FROM game_log WINDOW w AS (PARTITION BY game_id ORDER BY seq ROWS UNBOUNDED PRECEDING)),
+phase AS (SELECT *, CASE WHEN p = 1 THEN 'pick' WHEN g = 1 THEN 'gamba_ok' WHEN c = 1 THEN 'choosing_starter' WHEN o = 1 THEN 'random_ok' ELSE 'idle' END phase,
+    coalesce(p = 1, false) OR coalesce(g = 1, false) OR coalesce(c = 1, false) OR coalesce(r = 1, false) absorbing FROM fl)"""
+TOTALS = """totals AS (SELECT r.game_id, r.player_id, CAST(40 + coalesce((SELECT sum(delta) FROM lst l WHERE l.action = 'life' AND l.game_id = r.game_id AND l.player_id = r.player_id), 0)
+    - coalesce((SELECT sum(applied) FROM dmg d WHERE d.game_id = r.game_id AND d.player_id = r.player_id AND d.epoch = (SELECT max(epoch) FROM ep e WHERE e.game_id = r.game_id)), 0) AS BIGINT) life FROM roster r)"""
+HELD = """chg AS (SELECT game_id, effect_type, arg_max(action, seq) action, arg_max(player_id, seq) FILTER (player_id IS NOT NULL) holder, max(seq) seq FROM lst
+    WHERE action IN ('set_effect', 'clear_effect') GROUP BY ALL),
+cur AS (SELECT game_id, CAST(row_number() OVER (PARTITION BY game_id ORDER BY seq) AS INT) AS position, effect_type, holder player_id,
+    CAST(CASE effect_type WHEN 'monarch' THEN 4294956800 END AS BIGINT) outline_argb FROM chg WHERE action = 'set_effect')"""
+CLOCK = """clock AS (SELECT *, CAST(row_number() OVER (PARTITION BY game_id ORDER BY CASE seat WHEN 'topEdge' THEN 0 WHEN 'rightSide' THEN 1 WHEN 'bottomEdge' THEN 2 ELSE 3 END,
+    CASE WHEN seat = 'leftSide' THEN -slot ELSE slot END) - 1 AS INT) AS position, count(*) OVER (PARTITION BY game_id) n FROM mixed)"""
+RESOLVED = """best AS (SELECT user_id, key, arg_max(value, (ts, seq)) AS value FROM settings_log GROUP BY ALL),
+wide AS (SELECT user_id, max(value) FILTER (key = 'app.themeMode') theme, max(value) FILTER (key = 'app.colorProfileId') profile, max(value) FILTER (key = 'app.keepAwake') wake,
+    max(value) FILTER (key = 'app.hapticLevel') haptic, max(value) FILTER (key = 'app.logLevel') lvl, max(value) FILTER (key = 'gt.confirmNewGame') confirm,
+    max(value) FILTER (key = 'gt.holdSensitivity') hold FROM best GROUP BY ALL)"""
+
+#: name -> (further common table expressions, the query)
+ORACLE: dict[str, tuple[list[str], str]] = {
+    "read_game_log": ([], "SELECT * FROM game_log"),
+    "read_settings_log": ([], "SELECT user_id, ts, seq, key, value FROM settings_log"),
+    "read_diag_log": ([], """SELECT user_id device_id, event_id line_no, CASE WHEN k % 10 <> 9 THEN ['trace', 'debug', 'info', 'warning', 'error'][k % 5 + 1] END AS level,
+        CASE WHEN k % 10 <> 9 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS time, CASE WHEN k % 10 <> 9 THEN event_type ELSE '  at ' || event_type END message FROM ev"""),
+    "with_quarter_turns": ([], "SELECT game_id, slot, seat, CASE seat WHEN 'rightSide' THEN 3 WHEN 'leftSide' THEN 1 WHEN 'topEdge' THEN 2 ELSE 0 END quarter_turns FROM mixed"),
+    "hold_threshold_ms": ([], "SELECT game_id, seq, CASE sensitivity WHEN 'short' THEN 250 WHEN 'long' THEN 600 ELSE 400 END ms, sensitivity back FROM gestures"),
+    "gesture_to_deltas": ([], """SELECT game_id, seq, CAST(i AS INT) i, player_id, ts + to_milliseconds(CASE WHEN held_ms >= lim THEN lim + 500 * i ELSE held_ms END) ts,
+        CAST(side * CASE WHEN held_ms >= lim THEN 10 ELSE 1 END AS BIGINT) delta FROM (SELECT *, unnest(range(0, CASE WHEN held_ms >= lim THEN 1 + (held_ms - lim) // 500 WHEN cancelled THEN 0 ELSE 1 END)) i
+        FROM (SELECT *, CASE sensitivity WHEN 'short' THEN 250 WHEN 'long' THEN 600 ELSE 400 END lim FROM gestures))"""),
+    "pending_label": ([], "SELECT game_id, seq, CASE WHEN delta + 1 > 0 THEN '+' || (delta + 1) WHEN delta + 1 < 0 THEN CAST(delta + 1 AS VARCHAR) END label FROM game_log WHERE action = 'life'"),
+    "decode_colors": ([], """SELECT c_custkey user_id, CASE c_custkey % 4 WHEN 0 THEN '[4283076825,4293348412,4280790624,4287513773,4293295650,4279672965]'
+        WHEN 1 THEN '[' || (4278190080 + c_custkey) || ',' || c_custkey || ']' WHEN 3 THEN '[]' END colors, c_custkey % 4 = 2 malformed FROM customer"""),
+    "preset_labels": ([], "SELECT owner_id, pos, name || '  ' || starting_life || '♥' chip, starting_life || ' life · ' || player_count || ' players' subtitle FROM presets"),
+    "resolve_theme": ([], "SELECT user_id, seq, CASE value WHEN 'custom' THEN 'light' ELSE value END theme FROM settings_log WHERE key = 'app.themeMode'"),
+    "damage_map_add": ([EPOCHS, LAST, CELLS, MATRIX, TOTALS], """SELECT r.game_id, r.slot, r.player_id, r.color_argb, r.seat, t.life,
+        (SELECT string_agg(e, ',' ORDER BY e) FROM (SELECT source_id || '=' || damage e FROM matrix m WHERE m.game_id = r.game_id AND m.player_id = r.player_id UNION ALL SELECT 'new=0' WHERE g.n_players < 6)) commander_damage
+        FROM roster r JOIN games g USING (game_id) JOIN totals t ON t.game_id = r.game_id AND t.player_id = r.player_id
+        UNION ALL SELECT game_id, n_players, 'new', CAST([4283076825, 4293348412, 4280790624, 4287513773, 4293295650, 4279672965][n_players + 1] AS BIGINT), 'rightSide', 40,
+        (SELECT string_agg(player_id || '=0', ',' ORDER BY player_id) FROM roster r WHERE r.game_id = g.game_id) FROM games g WHERE n_players < 6"""),
+    "damage_map_remove": ([EPOCHS, LAST, CELLS, MATRIX, TOTALS], """SELECT r.game_id, r.slot, r.player_id, r.color_argb, r.seat, t.life,
+        coalesce((SELECT string_agg(source_id || '=' || damage, ',' ORDER BY source_id) FROM matrix m WHERE m.game_id = r.game_id AND m.player_id = r.player_id AND source_id <> 'p1'), '') commander_damage
+        FROM roster r JOIN totals t ON t.game_id = r.game_id AND t.player_id = r.player_id WHERE r.slot <> 1"""),
+    "decode_presets": ([], """SELECT p_partkey owner_id, CASE WHEN p_partkey % 10 IN (0, 1, 2, 8) THEN 1 ELSE 0 END n, CASE WHEN p_partkey % 10 IN (0, 1, 2, 8) THEN 'f' || p_partkey END id,
+        CASE WHEN p_partkey % 10 IN (0, 1, 2, 8) THEN p_name END AS name, CAST(CASE WHEN p_partkey % 10 IN (0, 1, 2, 8) THEN p_size END AS BIGINT) starting_life,
+        CAST(CASE p_partkey % 10 WHEN 0 THEN 2 WHEN 1 THEN 2 WHEN 2 THEN 2 WHEN 8 THEN 3 END AS BIGINT) player_count FROM part"""),
+    "valid_actions": ([], """SELECT game_id, seq, action, player_id FROM game_log l WHERE action NOT IN ('life', 'cmd_damage')
+        OR EXISTS (SELECT 1 FROM roster r WHERE r.game_id = l.game_id AND r.player_id = l.player_id AND r.slot <> 1)"""),
+    "valid_presets": ([], """SELECT p_partkey draft_id, p_name AS name, CAST(p_size AS BIGINT) starting_life, p_partkey % 9 player_count FROM part WHERE p_partkey % 5 <> 0 AND p_partkey % 3 <> 0 AND p_size > 0 AND p_partkey % 9 > 0"""),
+    "log_level_filter": ([], """SELECT user_id device_id, event_id line_no, level FROM (SELECT *, CASE WHEN k % 10 <> 9 THEN ['trace', 'debug', 'info', 'warning', 'error'][k % 5 + 1] END AS level,
+        CASE WHEN user_id % 10 = 9 THEN 1 ELSE user_id % 3 END setting FROM ev) WHERE setting = 2 OR (setting = 1 AND (level = 'error' OR level IS NULL))"""),
+    "damaged_by": ([EPOCHS, LAST, CELLS, MATRIX], """SELECT game_id, player_id, string_agg(source_id, ',' ORDER BY source_id) attackers FROM matrix WHERE damage > 0 GROUP BY ALL"""),
+    "opponents": ([], "SELECT a.game_id, a.player_id, b.player_id opponent_id FROM roster a JOIN roster b ON a.game_id = b.game_id AND a.player_id <> b.player_id"),
+    "drop_absorbed_inputs": ([FLAGS], "SELECT game_id, seq, action FROM phase WHERE NOT (absorbing AND action IN ('life', 'cmd_damage'))"),
+    "orphan_effects": ([EPOCHS, LAST, HELD], "SELECT game_id, effect_type, player_id FROM cur c WHERE NOT EXISTS (SELECT 1 FROM roster r WHERE r.game_id = c.game_id AND r.player_id = c.player_id AND r.slot <> 1)"),
+    "effects_at_event": ([EPOCHS], """SELECT game_id, seq, player_id, concat_ws(',', CASE WHEN m = player_id THEN 'monarch' END, CASE WHEN i = player_id THEN 'initiative' END) effects FROM (SELECT *,
+        last_value(CASE WHEN effect_type = 'monarch' THEN coalesce(player_id, '') END IGNORE NULLS) OVER w m, last_value(CASE WHEN effect_type = 'initiative' THEN coalesce(player_id, '') END IGNORE NULLS) OVER w i
+        FROM ep WINDOW w AS (PARTITION BY game_id, epoch ORDER BY seq ROWS UNBOUNDED PRECEDING)) WHERE action IN ('life', 'cmd_damage')"""),
+    "apply_format": ([], "SELECT 'f' || game_id format_id, game_id, CAST(p_size AS BIGINT) starting_life, CAST(greatest(1, least(6, p_partkey % 9)) AS INT) target_players FROM games JOIN part ON p_partkey = game_id"),
+    "seed_defaults": ([], """SELECT owner_id, pos, id, name, starting_life, player_count FROM presets UNION ALL
+        SELECT owner_id, CAST(size + row_number() OVER (PARTITION BY owner_id ORDER BY k) - 1 AS INT), id, name, l, c FROM (SELECT owner_id, max(pos) + 1 size FROM presets GROUP BY ALL) o,
+        (VALUES (0, 'commander', 'Commander', 40, 4), (1, 'standard', 'Standard', 20, 2), (2, 'solo', 'Solo', 20, 1)) d(k, id, name, l, c)
+        WHERE NOT (owner_id % 3 = 0 AND id = 'commander') AND NOT (owner_id % 3 = 1 AND id = 'solo')"""),
+    "upsert_presets": ([], """SELECT owner_id, CAST(row_number() OVER (PARTITION BY owner_id ORDER BY part, place) - 1 AS INT) pos, id, name, starting_life, player_count FROM (
+        SELECT owner_id, pos AS place, 0 part, id, CASE WHEN hit THEN 'new' ELSE name END AS name, CASE WHEN hit THEN 7 ELSE starting_life END starting_life, CASE WHEN hit THEN 1 ELSE player_count END player_count
+        FROM (SELECT *, id = 'f1' AND owner_id % 3 <> 0 AND row_number() OVER (PARTITION BY owner_id, id ORDER BY pos) = 1 hit FROM presets) WHERE NOT (id = 'f2' AND owner_id % 3 <> 1)
+        UNION ALL SELECT DISTINCT owner_id, 2, 1, 'f2', 'again', 8, 2 FROM presets WHERE owner_id % 3 <> 2)"""),
+    "life_totals": ([EPOCHS, LAST, CELLS, TOTALS], "SELECT * FROM totals"),
+    "life_sums": ([], "SELECT l_orderkey game_id, 'p' || ((l_linenumber - 1) % 6) player_id, CAST(40 - sum(CAST(l_quantity AS INT)) AS BIGINT) life FROM lineitem GROUP BY ALL"),
+    "commander_damage_matrix": ([EPOCHS, LAST, CELLS, MATRIX], "SELECT * FROM matrix"),
+    "current_effects": ([EPOCHS, LAST, HELD], "SELECT * FROM cur"),
+    "players_by_position": ([], """SELECT game_id, coalesce(string_agg(player_id, ',' ORDER BY slot) FILTER (seat = 'rightSide'), '') AS right, coalesce(string_agg(player_id, ',' ORDER BY slot) FILTER (seat = 'leftSide'), '') AS left,
+        coalesce(string_agg(player_id, ',' ORDER BY slot) FILTER (seat = 'topEdge'), '') top, coalesce(string_agg(player_id, ',' ORDER BY slot) FILTER (seat = 'bottomEdge'), '') bottom,
+        count(*) FILTER (seat IN ('leftSide', 'rightSide')) side_count FROM mixed GROUP BY ALL"""),
+    "roll_summary": ([], """SELECT dialog_id, kind, count(*) n, arg_max(CASE kind WHEN 'die' THEN 'd' || die || ': ' || result ELSE CASE WHEN heads THEN 'H' ELSE 'T' END END, seq) AS last,
+        coalesce(arg_max(result = die, seq) FILTER (result IS NOT NULL), false) natural_max, count(*) FILTER (heads) heads, count(*) FILTER (NOT heads) tails FROM rolls GROUP BY ALL"""),
+    "commander_damage_timeline": ([EPOCHS, CELLS], "SELECT game_id, CAST(epoch AS BIGINT) epoch, seq, player_id, source_id, delta, CAST(applied AS BIGINT) applied, CAST(damage AS BIGINT) damage FROM dmg"),
+    "game_epochs": ([EPOCHS], "SELECT game_id, seq, CAST(epoch AS BIGINT) epoch FROM ep"),
+    "table_phase": ([FLAGS], "SELECT game_id, seq, phase, absorbing FROM phase"),
+    "life_timeline": ([EPOCHS, CELLS], """SELECT game_id, CAST(epoch AS BIGINT) epoch, seq, player_id, CAST(40 + sum(d) OVER (PARTITION BY game_id, epoch, player_id ORDER BY seq) AS BIGINT) life FROM (
+        SELECT game_id, epoch, seq, player_id, delta d FROM ep WHERE action = 'life' UNION ALL SELECT game_id, epoch, seq, player_id, -applied FROM dmg)"""),
+    "pending_delta": ([EPOCHS, CELLS], """SELECT game_id, CAST(epoch AS BIGINT) epoch, player_id, source_id, seq, CAST(session AS BIGINT) AS session, CAST(sum(d) OVER (PARTITION BY game_id, epoch, player_id, source_id, session ORDER BY seq) AS BIGINT) pending
+        FROM (SELECT *, sum(new) OVER (PARTITION BY game_id, epoch, player_id, source_id ORDER BY seq) AS session FROM (
+        SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY game_id, epoch, player_id, source_id ORDER BY seq) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM (
+        SELECT game_id, epoch, player_id, source_id, seq, ts, delta d FROM ep WHERE action = 'life' UNION ALL SELECT game_id, epoch, player_id, source_id, seq, ts, applied FROM dmg WHERE applied <> 0)))"""),
+    "pending_sessions": ([EPOCHS], """SELECT game_id, CAST(epoch AS BIGINT) epoch, player_id, CAST(sum(delta) AS BIGINT) pending, count(*) n FROM (SELECT *, sum(new) OVER (PARTITION BY game_id, epoch, player_id ORDER BY seq) AS session FROM (
+        SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY game_id, epoch, player_id ORDER BY seq) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ep WHERE action = 'life')) GROUP BY game_id, epoch, player_id, session"""),
+    "effect_tenures": ([], """SELECT game_id, effect_type, player_id, seq from_seq, to_seq FROM (SELECT *, lead(seq) OVER (PARTITION BY game_id, effect_type ORDER BY seq) to_seq FROM (
+        SELECT game_id, seq, action, effect_type, player_id FROM game_log WHERE action IN ('set_effect', 'clear_effect') UNION ALL
+        SELECT game_id, seq, action, t, NULL FROM game_log, (VALUES ('monarch'), ('initiative')) e(t) WHERE action IN ('new_game', 'reset'))) WHERE action = 'set_effect'"""),
+    "clockwise_order": ([CLOCK], "SELECT game_id, player_id, position FROM clock"),
+    "opponent_rotation": ([CLOCK], """SELECT a.game_id, a.player_id, b.player_id opponent_id, CAST((b.position - a.position - 1 + a.n) % a.n AS INT) turn FROM clock a JOIN clock b ON a.game_id = b.game_id AND a.player_id <> b.player_id
+        WHERE a.seat IN ('topEdge', 'bottomEdge')"""),
+    "player_labels": ([], """SELECT game_id, player_id, CASE seat WHEN 'topEdge' THEN 'Top' WHEN 'bottomEdge' THEN 'Bottom' WHEN 'leftSide' THEN 'Left' ELSE 'Right' END ||
+        CASE WHEN count(*) OVER (PARTITION BY game_id, seat) = 1 THEN '' ELSE ' ' || row_number() OVER (PARTITION BY game_id, seat ORDER BY slot) END label FROM mixed"""),
+    "visible_slots": ([], "SELECT game_id, slot, seat IN ('leftSide', 'rightSide') OR row_number() OVER (PARTITION BY game_id, seat ORDER BY slot) = 1 visible FROM mixed"),
+    "settings_changes": ([], """SELECT user_id, seq, key, m IS DISTINCT FROM lag(m, 1, 'system') OVER w OR p IS DISTINCT FROM lag(p, 1, 'default') OVER w theme_changed,
+        k IS DISTINCT FROM lag(k, 1, 'false') OVER w wake_changed, l IS DISTINCT FROM lag(l, 1, 'errors') OVER w log_changed FROM (SELECT user_id, ts, seq, key,
+        coalesce(last_value(CASE WHEN key = 'app.themeMode' THEN CASE WHEN value IN ('light', 'dark', 'custom') THEN value ELSE 'system' END END IGNORE NULLS) OVER u, 'system') m,
+        coalesce(last_value(CASE WHEN key = 'app.colorProfileId' THEN value END IGNORE NULLS) OVER u, 'default') p, coalesce(last_value(CASE WHEN key = 'app.keepAwake' THEN value END IGNORE NULLS) OVER u, 'false') k,
+        coalesce(last_value(CASE WHEN key = 'app.logLevel' THEN CASE WHEN value IN ('off', 'verbose') THEN value ELSE 'errors' END END IGNORE NULLS) OVER u, 'errors') l
+        FROM settings_log WINDOW u AS (PARTITION BY user_id ORDER BY ts, seq ROWS UNBOUNDED PRECEDING)) WINDOW w AS (PARTITION BY user_id ORDER BY ts, seq)"""),
+    "reorder_presets": ([], """SELECT owner_id, CAST(CASE WHEN a IS NULL OR bad THEN pos WHEN pos = a THEN b ELSE rest + CASE WHEN rest >= b THEN 1 ELSE 0 END END AS INT) pos, id, name, starting_life, player_count, a IS NOT NULL AND bad AS error
+        FROM (SELECT *, pos - CASE WHEN pos > a THEN 1 ELSE 0 END rest, a >= n OR b >= n bad FROM (SELECT *, count(*) OVER (PARTITION BY owner_id) n,
+        CASE WHEN owner_id % 4 <> 0 THEN owner_id % 7 END a, CASE WHEN owner_id % 4 <> 0 THEN owner_id * 5 % 6 END b FROM presets))"""),
+    "roll_history": ([], """SELECT dialog_id, kind, CAST(r AS INT) AS position, CASE kind WHEN 'die' THEN 'd' || die || ': ' || result ELSE CASE WHEN heads THEN 'H' ELSE 'T' END END AS text
+        FROM (SELECT *, row_number() OVER (PARTITION BY dialog_id, kind ORDER BY seq DESC) r FROM rolls) WHERE r <= 5"""),
+    "settings_snapshot": ([RESOLVED], """SELECT user_id, CASE WHEN theme IN ('light', 'dark', 'custom') THEN theme ELSE 'system' END theme_mode, coalesce(profile, 'default') color_profile_id, CAST(1.0 AS DOUBLE) text_scale,
+        coalesce(wake = 'true', false) keep_awake, CASE WHEN haptic = 'on' THEN 'on' ELSE 'off' END haptic_level, CASE WHEN lvl IN ('off', 'verbose') THEN lvl ELSE 'errors' END log_level,
+        coalesce(confirm = 'true', false) confirm_new_game, CASE hold WHEN 'short' THEN 250 WHEN 'long' THEN 600 ELSE 400 END hold_ms, false bad_values FROM wide"""),
+    "current_roster": ([], """SELECT r.game_id, r.slot, r.player_id, r.color_argb, coalesce(m.seat, r.seat) seat FROM roster r LEFT JOIN
+        (SELECT game_id, player_id, arg_max(seat, seq) seat FROM game_log WHERE action = 'seat_move' GROUP BY ALL) m ON m.game_id = r.game_id AND m.player_id = r.player_id"""),
+    "seat_plan": ([], "SELECT game_id lobby_id, slot, player_id, seat FROM roster"),
+}
+ORACLE["next_color"] = ([], """SELECT game_id, CAST([4283076825, 4293348412, 4280790624, 4287513773, 4293295650, 4279672965][least(coalesce(min(i) FILTER (NOT used), 5), 5) + 1] AS BIGINT) color_argb FROM (
+    SELECT game_id, i, EXISTS (SELECT 1 FROM roster r WHERE r.game_id = g.game_id AND r.slot = i AND (r.slot <> r.game_id % 3 OR r.slot = 5)) used FROM games g, range(0, 6) t(i)) GROUP BY ALL""")
+ORACLE["log_rotation"] = (["ordered AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY session_no) rn FROM sessions)",
+    """fold AS (SELECT device_id, rn, CAST(session_no AS BIGINT) session_no, CAST(0 AS BIGINT) start_bytes, false rotated, 0 generation, bytes size FROM ordered WHERE rn = 1
+    UNION ALL SELECT o.device_id, o.rn, CAST(o.session_no AS BIGINT), f.size, f.size > 524288, f.generation + CASE WHEN f.size > 524288 THEN 1 ELSE 0 END, CASE WHEN f.size > 524288 THEN 0 ELSE f.size END + o.bytes
+    FROM fold f JOIN ordered o ON o.device_id = f.device_id AND o.rn = f.rn + 1)"""], "SELECT device_id, session_no, start_bytes, rotated, generation FROM fold")
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: "WITH RECURSIVE " + ",\n".join([td.SQL.strip(), *more]) + "\n" + sql for name, (more, sql) in ORACLE.items()}

@@ -1 +1,63 @@
+"""Readers of the logs and the sink of results."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabletide.schemas import DIAG_LINES, GAME_LOG, SETTINGS_LOG
+
+#: Level letters of the log package's simple printer, and severity ranks.
+LEVELS = {"T": "trace", "D": "debug", "I": "info", "W": "warning", "E": "error", "FATAL": "fatal"}
+LINE = r"^\[(T|D|I|W|E|FATAL)\]\s+TIME: (\S+) (.*)$"
+
+
+def typed(df: DataFrame, schema: str) -> DataFrame:
+    """df with exactly the schema's columns and types; a column that is absent is null."""
+    names = [x.strip().split(" ") for x in schema.split(",")]
+    return df.select(*[(F.col(n) if n in df.columns else F.lit(None)).cast(t).alias(n) for n, t in names])
+
+
+def read_log(spark: SparkSession, path: str, schema: str, form: str, streaming: bool) -> DataFrame:
+    reader = spark.readStream if streaming else spark.read
+    return reader.format(form).schema(schema).load(path)
+
+
+def read_game_log(spark: SparkSession, path: str, streaming: bool = False, form: str = "parquet") -> DataFrame:
+    """Typed action rows, from Parquet or JSON, as a table or as a stream. The schema is given, never inferred."""
+    return read_log(spark, path, GAME_LOG, form, streaming)
+
+
+def read_settings_log(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
+    """Key and value writes."""
+    return read_log(spark, path, SETTINGS_LOG, form, False)
+
+
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Diagnostic lines that were stored with their device and session."""
+    return read_log(spark, path, DIAG_LINES, "parquet", False)
+
+
+def read_diag_log(lines: DataFrame, pattern: str = LINE) -> DataFrame:
+    """lines (with a column line) with level, time and message. A line that doesn't match continues the one before it:
+    its level and time are null and it is the message itself."""
+    hit = F.col("line").rlike(pattern)
+    level = F.create_map(*[F.lit(x) for kv in LEVELS.items() for x in kv])[F.regexp_extract("line", pattern, 1)]
+    return lines.withColumns({
+        "level": F.when(hit, level),
+        "time": F.when(hit, F.regexp_extract("line", pattern, 2)),
+        "message": F.when(hit, F.regexp_extract("line", pattern, 3)).otherwise(F.col("line")),
+    })
+
+
+def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = None, mode: str = "errorifexists") -> None:
+    """Store a result as Parquet, in folders by the partition columns."""
+    df.write.mode(mode).partitionBy(*partition_cols or []).parquet(path)
+
+
+def write_stream(df: DataFrame, path: str, checkpoint: str, mode: str = "append"):  # noqa: ANN201
+    """A streaming query that stores its batches: appended rows to files, changed rows (update mode) as one folder a batch."""
+    writer = df.writeStream.option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    if mode == "append":
+        return writer.format("parquet").outputMode("append").option("path", path).start()
+    return writer.outputMode(mode).foreachBatch(lambda batch, k: batch.write.mode("overwrite").parquet(f"{path}/batch={k}")).start()
