@@ -1 +1,105 @@
+"""The action log as a stream.
 
+Rows that arrive later than the watermark (10 minutes by default) are dropped; that is a policy of these jobs, as the
+rules themselves know no lateness. Sums and holders keep one small row a key. A game that ends (new game, reset) needs
+`stream_game_state`, whose state is a few maps of at most six players a game; idle games leave it after `idle`."""
+
+from __future__ import annotations
+
+import pickle
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+LATENESS = "10 minutes"
+STATE = "game_id long, seq long, epoch long, player_id string, life_change long, damage_taken long, effects string"
+
+
+def on_time(log: DataFrame, lateness: str = LATENESS) -> DataFrame:
+    return log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", lateness)
+
+
+def stream_life_totals(log: DataFrame, start: int = 40) -> DataFrame:
+    """Update mode: game_id, player_id, life of logs of a single epoch without damage floors."""
+    change = F.when(F.col("action") == "cmd_damage", -F.col("delta")).otherwise(F.col("delta"))
+    rows = log.where(F.col("action").isin("life", "cmd_damage"))
+    return rows.groupBy("game_id", "player_id").agg((F.lit(start) + F.sum(change)).cast("long").alias("life"))
+
+
+def stream_pending_delta(log: DataFrame, gap: str = "5 seconds", lateness: str = LATENESS) -> DataFrame:
+    """Append mode: game_id, player_id, start, pending, n of direct life actions, a row when a session is over."""
+    rows = on_time(log, lateness).where("action = 'life'")
+    grouped = rows.groupBy("game_id", "player_id", F.session_window("ts", gap).alias("w"))
+    return grouped.agg(F.sum("delta").alias("pending"), F.count("*").alias("n")).select("game_id", "player_id", F.col("w.start").alias("start"), "pending", "n")
+
+
+def stream_current_effects(log: DataFrame) -> DataFrame:
+    """Update mode: game_id, effect_type, player_id (null after a clear) of logs of a single epoch."""
+    rows = log.where(F.col("action").isin("set_effect", "clear_effect"))
+    last = F.max_by(F.struct(F.when(F.col("action") == "set_effect", F.col("player_id")).alias("player_id")), "seq")
+    return rows.groupBy("game_id", "effect_type").agg(last.alias("x")).select("game_id", "effect_type", F.col("x.player_id").alias("player_id"))
+
+
+class GameFold:
+    """A game's state, and the rule of each action on it."""
+
+    def __init__(self) -> None:
+        self.epoch, self.seq = 0, -1
+        self.clear()
+
+    def clear(self) -> None:
+        self.life: dict[str, int] = {}
+        self.damage: dict[tuple[str, str], int] = {}
+        self.effects: dict[str, str] = {}
+
+    def apply(self, r) -> None:  # noqa: ANN001
+        self.seq = int(r.seq)
+        if r.action in ("new_game", "reset"):
+            self.epoch += 1
+            self.clear()
+        elif r.action == "life":
+            self.life[r.player_id] = self.life.get(r.player_id, 0) + int(r.delta)
+        elif r.action == "cmd_damage":
+            cell = (r.player_id, r.source_id)
+            now = self.damage.get(cell, 0)
+            after = max(0, now + int(r.delta))
+            self.damage[cell] = after
+            self.life[r.player_id] = self.life.get(r.player_id, 0) - (after - now)
+        elif r.action in ("set_effect", "clear_effect"):
+            self.effects.pop(r.effect_type, None)
+            if r.action == "set_effect":
+                self.effects[r.effect_type] = r.player_id
+
+    def rows(self, game: int) -> pd.DataFrame:
+        players = sorted({*self.life, *(a for a, _ in self.damage), *self.effects.values()})
+        found = [
+            (game, self.seq, self.epoch, p, self.life.get(p, 0), sum(v for (a, _), v in self.damage.items() if a == p), ",".join(e for e, h in self.effects.items() if h == p))
+            for p in players
+        ]
+        return pd.DataFrame(found, columns=[x.split()[0] for x in STATE.split(", ")])
+
+
+def fold_game(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
+    if state.hasTimedOut:
+        state.remove()
+        return
+    game = pickle.loads(state.get[0]) if state.exists else GameFold()
+    for r in pd.concat(list(frames)).sort_values("seq").itertuples():
+        game.apply(r)
+    state.update((pickle.dumps(game),))
+    state.setTimeoutDuration(idle_ms)
+    yield game.rows(key[0])
+
+
+def stream_game_state(log: DataFrame, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
+    """Update mode: for each game with new actions its players' state: seq of the last action, epoch, life_change (of the
+    epoch), damage_taken (floored), effects (in the order in which they were set). Actions of a batch are taken by seq."""
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        return fold_game(key, frames, state, idle_ms)
+
+    rows = log.select("game_id", "seq", "action", "player_id", "source_id", "delta", "effect_type")
+    return rows.groupBy("game_id").applyInPandasWithState(run, STATE, "fold binary", "update", GroupStateTimeout.ProcessingTimeTimeout)
