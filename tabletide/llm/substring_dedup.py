@@ -3,11 +3,13 @@
 Words are the runs of [^\\x20\\x09-\\x0D]. A window is 20 consecutive words of a document; a word is removed if a window over
 it also starts earlier (smaller doc_id, or the same document and an earlier start). Windows are judged on the input.
 
-1. Seeds. Of each window the phrase of 5 words with the smallest hash is its seed, so equal windows have equal seeds;
-   about an eighth of all positions are seeds. Seeds are counted (partially before the shuffle), and the positions of
-   those found twice or more go back to their documents.
-2. Passages. Around each such position the document gives the stretch of words whose windows have this seed, at most 35
-   words. Stretches are dealt by seed; a seed of more than `deal` stretches is dealt over several tasks (step 4).
+0. Of documents with equal texts only the first takes part in the following; all windows of the others start earlier in it.
+1. Seeds. Of each window the phrase of 5 words with the smallest hash is its seed, so equal windows have equal seeds.
+   Phrases whose hash is in the lowest eighth are marks, and most seeds are marks. Seeds and marks are counted (partially
+   before the shuffle), and the positions of those found twice or more go back to their documents.
+2. Passages. A window of which the seed or a mark inside is found once only cannot repeat. Around each other seed the
+   document gives the stretch of words whose windows have this seed, at most 35 words. Stretches are dealt by seed; a
+   seed of more than `deal` occurrences is dealt over several tasks (step 4).
 3. Automata. A task reads its stretches seed by seed, in the order of documents. For each block of them it counts
    windows, and those found twice or more are confirmed and compiled into an Aho-Corasick automaton over word numbers;
    so every task's seeds are a shard of the phrases. The block's stretches are streamed through the automaton, which finds
@@ -37,6 +39,7 @@ from tabletide.llm.common import as_bytes, materialize, row_slices, sorted_group
 
 WINDOW, SEED = 20, 5
 SLICE = 2 << 20
+FEW_COPIES = 500_000  # ids
 STRETCH = "seed long, deal int, doc_id long, start int, words binary"
 FOUND = "doc_id long, start int, end int, hash binary"
 
@@ -50,6 +53,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 BYTE = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 FACTOR = np.uint64(0x9E3779B97F4A7C15)  # odd
+MARK = np.uint64((1 << 64) // 8)
 
 
 def powers(base: int, n: int) -> np.ndarray:
@@ -99,42 +103,68 @@ def spaced(words: list[bytes]) -> bytes:
     return b" ".join(words) + b" " if words else b""
 
 
+def later_copies(docs: DataFrame) -> DataFrame:
+    """(doc_id) of documents whose text a smaller doc_id has."""
+    own = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("n")).where("n > 0")
+    firsts = own.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
+    return own.join(firsts, ["h1", "h2", "n"]).where("doc_id > first").select("doc_id").distinct()
+
+
 def seeds(docs: DataFrame) -> DataFrame:
-    """(seed, doc_id, pos): the seeds of all windows."""
+    """(seed, doc_id, pos): the seeds of all windows, and the marks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, "text", SLICE):
             words = [x.split() for x in as_bytes(b.column("text"))]
             counts = np.array([len(w) for w in words])
             phrase, place = seeds_of(word_hashes(b"".join(map(spaced, words))), counts)
-            at = np.unique(place[place >= 0])
-            doc = np.searchsorted(np.cumsum(counts), at, side="right")
-            first = np.cumsum(counts) - counts
+            end = np.cumsum(counts)
+            wanted = phrase < MARK
+            wanted[place[place >= 0]] = True
+            at = np.flatnonzero(wanted)
+            doc = np.searchsorted(end, at, side="right")
+            inside = (at + SEED <= end[doc]) & (counts[doc] >= WINDOW)
+            at, doc = at[inside], doc[inside]
             ids = b.column("doc_id").cast(pa.int64()).take(pa.array(doc))
-            yield pa.record_batch([pa.array(phrase[at].view(np.int64)), ids, pa.array((at - first[doc]).astype(np.int32))], names=["seed", "doc_id", "pos"])
+            yield pa.record_batch([pa.array(phrase[at].view(np.int64)), ids, pa.array((at - (end - counts)[doc]).astype(np.int32))], names=["seed", "doc_id", "pos"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "seed long, doc_id long, pos int")
 
 
+def candidate_stretches(words: list[bytes], pos: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+    """(index in pos, seed hash, first word, end) for the recurring positions pos (ascending) of a document."""
+    phrase, place = seeds_of(word_hashes(spaced(words)), np.array([len(words)]))
+    once = phrase < MARK
+    once[len(words) - SEED + 1 :] = False
+    once[pos[pos < len(words)]] = False
+    before = np.concatenate([[0], np.cumsum(once)])
+    m = len(words) - WINDOW + 1
+    if m < 1:
+        return
+    place = np.where(before[WINDOW - SEED + 1 : WINDOW - SEED + 1 + m] > before[:m], -1, place[:m])
+    start = np.flatnonzero(np.diff(place, prepend=-2))
+    end, seed = np.append(start[1:], m), place[start]
+    k = np.minimum(np.searchsorted(pos, seed), len(pos) - 1)
+    for j in np.flatnonzero((seed >= 0) & (pos[k] == seed)).tolist():
+        yield int(k[j]), int(phrase[seed[j]].view(np.int64)), int(start[j]), int(end[j]) - 1 + WINDOW
+
+
 def stretches(docs: DataFrame, deal: int) -> DataFrame:
     """The stretches of words around seeds that are found twice or more."""
     often = seeds(docs).groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     found = seeds(docs).join(often.select("seed", F.ceil(F.col("n") / deal).cast("int").alias("deals")), "seed")
     by_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "deals"))).alias("found"))
+    by_doc = by_doc.select("doc_id", F.col("found.pos").alias("pos"), F.col("found.deals").alias("deals"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, "text", SLICE):
             out: list[tuple] = []
-            for doc, text, hits in zip(b.column("doc_id").to_pylist(), as_bytes(b.column("text")), b.column("found").to_pylist(), strict=True):
-                words = text.split()
-                phrase, place = seeds_of(word_hashes(spaced(words)), np.array([len(words)]))
-                change = np.flatnonzero(np.diff(place, prepend=-2))
-                runs = {int(place[i]): (int(i), int(j)) for i, j in zip(change, [*change[1:].tolist(), len(place)], strict=True) if place[i] >= 0}
-                for h in hits:
-                    if h["pos"] in runs:  # rows that repeat a doc_id may differ in text
-                        lo, hi = runs[h["pos"]]
-                        own = xxhash.xxh32_intdigest(str(doc)) % h["deals"] if h["deals"] > 1 else -1
-                        out.append((int(phrase[h["pos"]].view(np.int64)), own, doc, lo, b" ".join(words[lo : hi - 1 + WINDOW])))
+            for i, text in enumerate(as_bytes(b.column("text"))):
+                words, doc = text.split(), b.column("doc_id")[i].as_py()
+                pos, deals = (np.asarray(b.column(c)[i].values) for c in ("pos", "deals"))
+                for k, seed, lo, hi in candidate_stretches(words, pos):
+                    own = xxhash.xxh32_intdigest(str(doc)) % int(deals[k]) if deals[k] > 1 else -1
+                    out.append((seed, own, doc, lo, b" ".join(words[lo:hi])))
             types = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.binary())
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["seed", "deal", "doc_id", "start", "words"])
 
@@ -231,7 +261,10 @@ def final_spans(found: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, deal: int = 20_000, block: int = 8_000, with_text: bool = False) -> DataFrame:
     """One row for each row of docs (doc_id, text): n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept
     words joined by one space)."""
-    spans = final_spans(materialize(repeated_spans(docs, deal, block), "repeats"))
+    copies = materialize(later_copies(docs), "repeats-copies")
+    rest = docs.join(F.broadcast(copies) if copies.count() <= FEW_COPIES else copies, "doc_id", "left_anti")
+    spans = final_spans(materialize(repeated_spans(rest, deal, block), "repeats"))
+    spans = spans.unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("end")))
     by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,7 +274,7 @@ def remove_repeats(docs: DataFrame, deal: int = 20_000, block: int = 8_000, with
                 words = text.split()
                 gone = np.zeros(len(words) + 1, np.int64)
                 for s in own or ():
-                    if s["start"] < len(words):
+                    if s["start"] < len(words) >= WINDOW:
                         gone[s["start"]] += 1
                         gone[min(s["end"], len(words))] -= 1
                 stay = np.cumsum(gone)[:-1] == 0
