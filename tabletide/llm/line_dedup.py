@@ -10,7 +10,7 @@ and an earlier line). Lines are judged on the input, not on what is left.
    (length, segment number, substring) that it indexes or probes (twelve at distance 2). Keys are aggregated, partially before
    the shuffle, to the least and greatest line hash: only keys that different lines share on both sides go on.
 3. Lines come back to those keys only (a broadcast if they are at most FEW_KEYS, else a join), equal ones once, and are
-   paired by key. Each pair is verified by a banded bit-parallel edit distance: the band of 2 * distance + 1 rows of the
+   paired by key under the condition that their letter counts agree. Each such pair is verified by a banded bit-parallel edit distance: the band of 2 * distance + 1 rows of the
    dynamic program's column is a few bits of a long, moved along the diagonal, for lines of any length.
 4. Each line's first place is compared with the first places of its near lines.
 
@@ -31,6 +31,7 @@ from tabletide.llm.quality import let
 
 FEW_KEYS = 400_000
 INDEX, PROBE = 1, 2
+LETTERS = " aeinorst"
 
 
 def text_lines(text: Column) -> Column:
@@ -43,30 +44,41 @@ def lines_of(docs: DataFrame, least: int) -> DataFrame:
     return own.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
 
 
-def segment(n: Column, i: int, distance: int) -> tuple[Column, Column]:
-    """Start (from 0) and length of segment i of a line of n characters: the last n % (distance + 1) are longer by one."""
-    parts = distance + 1
-    size, more = F.floor(n / parts), n % parts
-    before = F.greatest(F.lit(0), F.lit(i - parts) + more)
-    return (size * i + before).cast("int"), (size + (F.lit(i) >= parts - more).cast("int")).cast("int")
-
-
-def keys(line: Column, distance: int, least: int) -> Column:
-    """array<struct<key, side>>: what a line indexes, probes, or both."""
-    n = F.length(line)
+def variants(distance: int) -> Column:
+    """array<struct<shorter, i, shift, side>>: how much shorter the indexed line is, the segment, by how many characters it is
+    shifted in the probing line, and whether such a key is one that a line indexes too."""
     found = []
     for shorter in range(distance + 1):
-        m = n - shorter
         for i in range(distance + 1):
-            at, size = segment(m, i, distance)
             rest = distance - i
-            lo, hi = max(-i, shorter - rest), min(i, shorter + rest)
-            for shift in range(lo, hi + 1):
+            for shift in range(max(-i, shorter - rest), min(i, shorter + rest) + 1):
                 side = INDEX + PROBE if not shorter and not shift else PROBE
-                inside = (at + shift >= 0) & (at + shift + size <= n) & (m >= least)
-                key = F.xxhash64(m, F.lit(i), F.substring(line, at + shift + 1, size))
-                found.append(F.when(inside, F.struct(key.alias("key"), F.lit(side).alias("side"))))
-    return F.array_compact(F.array(*found))
+                found.append(F.struct(*[F.lit(v).alias(k) for k, v in (("shorter", shorter), ("i", i), ("shift", shift), ("side", side))]))
+    return F.array(*found)
+
+
+def keyed_lines(lines: DataFrame, distance: int, least: int) -> DataFrame:
+    """lines with a row for each key: key, side. A line of n characters is cut into even segments, of which the last
+    n % (distance + 1) are longer by one. The variants are exploded, not written out, so that each key is a few
+    expressions over columns."""
+    parts = distance + 1
+    rows = lines.withColumn("n", F.length("line")).select("*", F.explode(variants(distance)).alias("v")).select(*lines.columns, "n", "v.*")
+    m = F.col("n") - F.col("shorter")
+    rows = rows.where(m >= least).withColumns({"size": F.floor(m / parts).cast("int"), "more": (m % parts).cast("int")})
+    at = F.col("size") * F.col("i") + F.greatest(F.lit(0), F.col("i") - parts + F.col("more")) + F.col("shift")
+    size = F.col("size") + (F.col("i") >= parts - F.col("more")).cast("int")
+    key = F.xxhash64(m, "i", F.substring("line", at + 1, size))
+    return rows.where((at >= 0) & (at + size <= F.col("n"))).select(*lines.columns, key.alias("key"), "side")
+
+
+def letter_counts(line: Column) -> dict[str, Column]:
+    return {f"c{i}": F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for i, c in enumerate(LETTERS)}
+
+
+def counts_agree(distance: int) -> Column:
+    """Whether the counts a.c* and b.c* allow the distance: an edit changes at most two of a line's counts, by one each."""
+    gaps = [F.abs(F.col(f"a.c{i}") - F.col(f"b.c{i}")) for i in range(len(LETTERS))]
+    return sum(gaps[1:], gaps[0]) <= 2 * distance
 
 
 def within(a: Column, b: Column, distance: int) -> Column:
@@ -120,18 +132,20 @@ def within(a: Column, b: Column, distance: int) -> Column:
 
 def near_lines(docs: DataFrame, distance: int, least: int) -> DataFrame:
     """(a1, a2, b1, b2): hashes of pairs of different lines within the distance, a the shorter."""
-    keyed = lines_of(docs, least).withColumn("k", F.explode(keys(F.col("line"), distance, least))).select("line", "h1", "h2", "k.key", "k.side")
+    keyed = keyed_lines(lines_of(docs, least).select("line", "h1", "h2"), distance, least)
     short = F.shiftright("h1", 32).cast("int")
     shared = keyed.groupBy("key").agg(F.min(short).alias("lo"), F.max(short).alias("hi"), F.bit_or("side").alias("sides"))
     shared = materialize(shared.where((F.col("lo") != F.col("hi")) & (F.col("sides") == INDEX + PROBE)).select("key"), "line-keys")
     some = F.broadcast(shared) if shared.count() <= FEW_KEYS else shared
     rows = keyed.join(some, "key").groupBy("key", "h1", "h2", "line").agg(F.bit_or("side").alias("side"))
-    rows = materialize(rows, "line-candidates")
-    a = rows.where(F.col("side").bitwiseAND(INDEX) > 0).select("key", F.col("line").alias("a"), F.col("h1").alias("a1"), F.col("h2").alias("a2"))
-    b = rows.where(F.col("side").bitwiseAND(PROBE) > 0).select("key", F.col("line").alias("b"), F.col("h1").alias("b1"), F.col("h2").alias("b2"))
-    gap = F.length("b") - F.length("a")
-    pairs = a.join(b, "key").where((gap > 0) & (gap <= distance) | (gap == 0) & (F.col("a1") < F.col("b1"))).drop("key")
-    once = pairs.dropDuplicates(["a1", "a2", "b1", "b2"])
+    rows = materialize(rows.withColumns(letter_counts(F.col("line"))), "line-candidates")
+    a = rows.where(F.col("side").bitwiseAND(INDEX) > 0).withColumn("n", F.length("line")).alias("a")
+    b = rows.where(F.col("side").bitwiseAND(PROBE) > 0).withColumn("n", F.length("line")).alias("b")
+    gap = F.col("b.n") - F.col("a.n")
+    order = (gap > 0) & (gap <= distance) | (gap == 0) & (F.col("a.h1") < F.col("b.h1"))
+    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & order & counts_agree(distance))
+    names = {"a": "a.line", "a1": "a.h1", "a2": "a.h2", "b": "b.line", "b1": "b.h1", "b2": "b.h2"}
+    once = pairs.select(*[F.col(c).alias(n) for n, c in names.items()]).dropDuplicates(["a1", "a2", "b1", "b2"])
     return once.where(within(F.col("a"), F.col("b"), distance)).select("a1", "a2", "b1", "b2")
 
 
@@ -164,5 +178,9 @@ def drop_repeated_lines(docs: DataFrame, distance: int = 2, least: int = 20) ->
     stay = F.array_except(F.sequence(F.lit(0), F.size(text_lines(F.col("text"))) - 1), F.col("of_lines"))
     kept = let(text_lines(F.col("text")), lambda a: F.array_join(F.transform(stay, lambda i: F.get(a, i)), "\n"))
     text = F.when(F.col("of_lines").isNull(), F.col("text")).otherwise(kept)
-    changed = {"text": text} | ({"n_chars": F.when(F.col("of_lines").isNull(), F.col("n_chars")).otherwise(F.length(kept).cast("long"))} if "n_chars" in docs.columns else {})
-    return joined.withColumns(changed).select(*docs.columns)
+    # explode of one value: the new text is evaluated once and is a column of its own for n_chars
+    changed = joined.select("*", F.explode(F.array(text)).alias("of_text"))
+    new = {"text": F.col("of_text")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("of_lines").isNull(), F.col("n_chars")).otherwise(F.length("of_text").cast("long"))
+    return changed.withColumns(new).select(*docs.columns)
