@@ -82,7 +82,7 @@ class GameFold:
         return pd.DataFrame(found, columns=[x.split()[0] for x in STATE.split(", ")])
 
 
-def fold_game(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle_ms: int) -> Iterator[pd.DataFrame]:
+def fold_game(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idle_ms: int | None) -> Iterator[pd.DataFrame]:
     if state.hasTimedOut:
         state.remove()
         return
@@ -90,16 +90,18 @@ def fold_game(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState, idl
     for r in pd.concat(list(frames)).sort_values("seq").itertuples():
         game.apply(r)
     state.update((pickle.dumps(game),))
-    state.setTimeoutDuration(idle_ms)
+    if idle_ms is not None:
+        state.setTimeoutDuration(idle_ms)
     yield game.rows(key[0])
 
 
-def stream_game_state(log: DataFrame, idle_ms: int = 24 * 3600 * 1000) -> DataFrame:
+def stream_game_state(log: DataFrame, idle_ms: int | None = 24 * 3600 * 1000) -> DataFrame:
     """Update mode: for each game with new actions its players' state: seq of the last action, epoch, life_change (of the
-    epoch), damage_taken (floored), effects (in the order in which they were set). Actions of a batch are taken by seq."""
+    epoch), damage_taken (floored), effects (in the order in which they were set). Actions of a batch are taken by seq. A game without actions for idle_ms
+    leaves the state; with a time-out Spark goes on making batches, so a stream that is to end has idle_ms None."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         return fold_game(key, frames, state, idle_ms)
 
     rows = log.select("game_id", "seq", "action", "player_id", "source_id", "delta", "effect_type")
-    return rows.groupBy("game_id").applyInPandasWithState(run, STATE, "fold binary", "update", GroupStateTimeout.ProcessingTimeTimeout)
+    return rows.groupBy("game_id").applyInPandasWithState(run, STATE, "fold binary", "update", GroupStateTimeout.NoTimeout if idle_ms is None else GroupStateTimeout.ProcessingTimeTimeout)

@@ -51,7 +51,7 @@ def test_current_effects(spark, tmp_path):
 
 def test_game_state(spark, tmp_path):
     path, stream = stored(spark, tmp_path)
-    got = ran(spark, streaming.stream_game_state(stream), tmp_path, "update")
+    got = ran(spark, streaming.stream_game_state(stream, idle_ms=None), tmp_path, "update")
     newest = got.withColumn("top", F.max("seq").over(Window.partitionBy("game_id"))).where("seq = top")
     totals = life.life_totals(sources.read_game_log(spark, path), td.games(spark, SF), td.roster(spark, SF))
     want = {(r.game_id, r.player_id): r.life for r in totals.collect()}
