@@ -12,10 +12,8 @@ and an earlier line). Lines are judged on the input, not on what is left.
 3. Lines come back to those keys only (a broadcast if they are at most FEW_KEYS, else a join), equal ones once, and are
    paired by key under the condition that their letter counts agree. Each such pair is verified by a banded bit-parallel edit distance: the band of 2 * distance + 1 rows of the
    dynamic program's column is a few bits of a long, moved along the diagonal, for lines of any length.
-4. Each line's first place is compared with the first places of its near lines.
-
-Different lines that share a key are verified pair by pair, so the work follows the number of near pairs of distinct
-lines; equal lines, however many, are one.
+4. A line needs one earlier near line only: it is compared with the earliest line of each of its keys, and only if none of
+   these is near with the other earlier ones. A group of variants of one line thus costs a pair a variant.
 
 Cases: null and empty texts have one empty line, which is kept; rows that repeat a doc_id are one document (the same
 places), returned each; a null doc_id is before all others; an empty table gives an empty result; other columns are
@@ -130,23 +128,37 @@ def within(a: Column, b: Column, distance: int) -> Column:
     return let(packed, run)
 
 
-def near_lines(docs: DataFrame, distance: int, least: int) -> DataFrame:
-    """(a1, a2, b1, b2): hashes of pairs of different lines within the distance, a the shorter."""
+def verified(pairs: DataFrame, distance: int) -> DataFrame:
+    """(h1, h2) of the lines b of pairs (aliases a, b) that are within the distance of their a."""
+    shorter = F.col("a.n") <= F.col("b.n")
+    once = pairs.select(
+        F.col("b.h1").alias("h1"), F.col("b.h2").alias("h2"), F.col("a.h1").alias("o1"), F.col("a.h2").alias("o2"),
+        F.when(shorter, F.col("a.line")).otherwise(F.col("b.line")).alias("x"), F.when(shorter, F.col("b.line")).otherwise(F.col("a.line")).alias("y"),
+    ).dropDuplicates(["h1", "h2", "o1", "o2"])
+    return once.where(within(F.col("x"), F.col("y"), distance)).select("h1", "h2").distinct()
+
+
+def near_earlier(docs: DataFrame, firsts: DataFrame, distance: int, least: int) -> DataFrame:
+    """(h1, h2) of lines of which another line within the distance has an earlier first place.
+
+    One witness is enough. Each line is first compared with the earliest line of its keys, one pair a line and key; only
+    lines that this leaves open are paired with all earlier lines of their keys."""
     keyed = keyed_lines(lines_of(docs, least).select("line", "h1", "h2"), distance, least)
     short = F.shiftright("h1", 32).cast("int")
     shared = keyed.groupBy("key").agg(F.min(short).alias("lo"), F.max(short).alias("hi"), F.bit_or("side").alias("sides"))
     shared = materialize(shared.where((F.col("lo") != F.col("hi")) & (F.col("sides") == INDEX + PROBE)).select("key"), "line-keys")
     some = F.broadcast(shared) if shared.count() <= FEW_KEYS else shared
     rows = keyed.join(some, "key").groupBy("key", "h1", "h2", "line").agg(F.bit_or("side").alias("side"))
-    rows = materialize(rows.withColumns(letter_counts(F.col("line"))), "line-candidates")
-    a = rows.where(F.col("side").bitwiseAND(INDEX) > 0).withColumn("n", F.length("line")).alias("a")
-    b = rows.where(F.col("side").bitwiseAND(PROBE) > 0).withColumn("n", F.length("line")).alias("b")
-    gap = F.col("b.n") - F.col("a.n")
-    order = (gap > 0) & (gap <= distance) | (gap == 0) & (F.col("a.h1") < F.col("b.h1"))
-    pairs = a.join(b, (F.col("a.key") == F.col("b.key")) & order & counts_agree(distance))
-    names = {"a": "a.line", "a1": "a.h1", "a2": "a.h2", "b": "b.line", "b1": "b.h1", "b2": "b.h2"}
-    once = pairs.select(*[F.col(c).alias(n) for n, c in names.items()]).dropDuplicates(["a1", "a2", "b1", "b2"])
-    return once.where(within(F.col("a"), F.col("b"), distance)).select("a1", "a2", "b1", "b2")
+    counted = rows.withColumns({"n": F.length("line")} | letter_counts(F.col("line"))).join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
+    rows = materialize(counted, "line-candidates")
+    counts = [f"c{i}" for i in range(len(LETTERS))]
+    top = rows.groupBy("key").agg(F.min(F.struct("first", "h1", "h2", "n", "line", *counts)).alias("e")).select("key", "e.*")
+    near = (F.abs(F.col("a.n") - F.col("b.n")) <= distance) & counts_agree(distance) & (F.col("a.key") == F.col("b.key"))
+    pairs = top.alias("a").join(rows.alias("b"), near & (F.col("a.first") < F.col("b.first")))
+    found = materialize(verified(pairs, distance), "line-near")
+    left = rows.join(found, ["h1", "h2"], "left_anti")
+    sides = (F.col("a.side").bitwiseOR(F.col("b.side")) == INDEX + PROBE) & (F.col("a.first") < F.col("b.first"))
+    return found.unionByName(verified(rows.alias("a").join(left.alias("b"), near & sides), distance))
 
 
 def repeated_lines(docs: DataFrame, distance: int = 2, least: int = 20) -> DataFrame:
@@ -154,12 +166,9 @@ def repeated_lines(docs: DataFrame, distance: int = 2, least: int = 20) -> DataF
     own = lines_of(docs, least).select("doc_id", "line_no", "h1", "h2")
     place = F.struct("doc_id", "line_no")
     firsts = materialize(own.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-firsts")
-    links = materialize(near_lines(docs, distance, least), "line-links")
-    both = links.unionByName(links.select(F.col("b1").alias("a1"), F.col("b2").alias("a2"), F.col("a1").alias("b1"), F.col("a2").alias("b2")))
-    near = both.join(firsts.select(F.col("h1").alias("b1"), F.col("h2").alias("b2"), "first"), ["b1", "b2"]).groupBy("a1", "a2").agg(F.min("first").alias("near"))
-    best = firsts.join(near, (F.col("h1") == F.col("a1")) & (F.col("h2") == F.col("a2")), "left")
-    best = best.where((F.col("n") > 1) | F.col("near").isNotNull()).select("h1", "h2", F.least("first", F.coalesce("near", "first")).alias("best"))
-    return own.join(best, ["h1", "h2"]).where(place > F.col("best")).select("doc_id", "line_no").distinct()
+    near = materialize(near_earlier(docs, firsts, distance, least), "line-links").withColumn("near", F.lit(True))
+    gone = firsts.join(near, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near")).select("h1", "h2", "first", "near")
+    return own.join(gone, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (place > F.col("first"))).select("doc_id", "line_no").distinct()
 
 
 def line_report(docs: DataFrame, distance: int = 2, least: int = 20) -> DataFrame:
