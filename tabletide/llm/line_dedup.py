@@ -1,8 +1,9 @@
 """Line dedup by a segment-partition edit join. DataFrame functions only.
 
-Lines are a text's parts between newlines; those of at least `least` characters take part, all others are kept. A line is
-removed if an equal line, or one at edit distance `distance` or less, is earlier (smaller doc_id, or the same document
-and an earlier line). Lines are judged on the input, not on what is left.
+Lines are a text's parts between newlines. A line of at least `least` characters is removed if an equal line, or one at edit
+distance `distance` or less that is as long, is earlier (smaller doc_id, or the same document and an earlier line). With
+`every`, as in the query and the pipeline, a shorter line that isn't blank is removed if an equal line is earlier: its distance
+is 0. Else shorter lines are kept, as blank ones always are. Lines are judged on the input, not on what is left.
 
 1. Equal lines are aggregated by a 128-bit hash to their first place and count.
 2. A line of length n is cut into distance + 1 even segments; of two lines within the distance one segment of the shorter
@@ -25,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabletide.llm.common import materialize
-from tabletide.llm.quality import let
+from tabletide.llm.quality import WORD, let
 
 FEW_KEYS = 400_000
 INDEX, PROBE = 1, 2
@@ -36,9 +37,10 @@ def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def lines_of(docs: DataFrame, least: int) -> DataFrame:
-    """(doc_id, line_no, line, h1, h2) of the lines that take part."""
-    own = docs.select("doc_id", F.posexplode(text_lines(F.col("text"))).alias("line_no", "line")).where(F.length("line") >= least)
+def lines_of(docs: DataFrame, least: int, every: bool = False) -> DataFrame:
+    """(doc_id, line_no, line, h1, h2) of the lines of `least` characters, or of every line that isn't blank as well."""
+    part = (F.length("line") >= least) | F.col("line").rlike(WORD) if every else F.length("line") >= least
+    own = docs.select("doc_id", F.posexplode(text_lines(F.col("text"))).alias("line_no", "line")).where(part)
     return own.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
 
 
@@ -161,9 +163,9 @@ def near_earlier(docs: DataFrame, firsts: DataFrame, distance: int, least: int)
     return found.unionByName(verified(rows.alias("a").join(left.alias("b"), near & sides), distance))
 
 
-def repeated_lines(docs: DataFrame, distance: int = 2, least: int = 20) -> DataFrame:
+def repeated_lines(docs: DataFrame, distance: int = 2, least: int = 20, every: bool = False) -> DataFrame:
     """(doc_id, line_no) of the lines to remove."""
-    own = lines_of(docs, least).select("doc_id", "line_no", "h1", "h2")
+    own = lines_of(docs, least, every).select("doc_id", "line_no", "h1", "h2")
     place = F.struct("doc_id", "line_no")
     firsts = materialize(own.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-firsts")
     near = materialize(near_earlier(docs, firsts, distance, least), "line-links").withColumn("near", F.lit(True))
@@ -171,18 +173,18 @@ def repeated_lines(docs: DataFrame, distance: int = 2, least: int = 20) -> DataF
     return own.join(gone, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (place > F.col("first"))).select("doc_id", "line_no").distinct()
 
 
-def line_report(docs: DataFrame, distance: int = 2, least: int = 20) -> DataFrame:
+def line_report(docs: DataFrame, distance: int = 2, least: int = 20, every: bool = False) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines, n_removed, removed_lines (ascending, from 0)."""
-    gone = repeated_lines(docs, distance, least).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines"))
+    gone = repeated_lines(docs, distance, least, every).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines"))
     counted = docs.select("doc_id", F.size(text_lines(F.col("text"))).alias("n_lines"))
     joined = counted.join(gone.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
     empty = F.array().cast("array<int>")
     return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", empty).alias("removed_lines"))
 
 
-def drop_repeated_lines(docs: DataFrame, distance: int = 2, least: int = 20) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, distance: int = 2, least: int = 20, every: bool = False) -> DataFrame:
     """docs with the lines removed from text, and n_chars, if there, set anew. No document goes, even if it gets empty."""
-    gone = repeated_lines(docs, distance, least).groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list("line_no").alias("of_lines"))
+    gone = repeated_lines(docs, distance, least, every).groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list("line_no").alias("of_lines"))
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size(text_lines(F.col("text"))) - 1), F.col("of_lines"))
     kept = let(text_lines(F.col("text")), lambda a: F.array_join(F.transform(stay, lambda i: F.get(a, i)), "\n"))
