@@ -9,7 +9,7 @@ is 0. Else shorter lines are kept, as blank ones always are. Lines are judged on
 2. A line of length n is cut into distance + 1 even segments; of two lines within the distance one segment of the shorter
    is a substring of the longer, at a place that the length difference bounds. Each line's keys are the hashes of
    (length, segment number, substring) that it indexes or probes (twelve at distance 2). Keys are aggregated, partially before
-   the shuffle, to the least and greatest line hash: only keys that different lines share on both sides go on.
+   the shuffle, to the least and greatest of either half of the line hash: only keys that different lines share on both sides go on.
 3. Lines come back to those keys only (a broadcast if they are at most FEW_KEYS, else a join), equal ones once, and are
    paired by key under the condition that their letter counts agree. Each such pair is verified by a banded bit-parallel edit distance: the band of 2 * distance + 1 rows of the
    dynamic program's column is a few bits of a long, moved along the diagonal, for lines of any length.
@@ -146,9 +146,10 @@ def near_earlier(docs: DataFrame, firsts: DataFrame, distance: int, least: int)
     One witness is enough. Each line is first compared with the earliest line of its keys, one pair a line and key; only
     lines that this leaves open are paired with all earlier lines of their keys."""
     keyed = keyed_lines(lines_of(docs, least).select("line", "h1", "h2"), distance, least)
-    short = F.shiftright("h1", 32).cast("int")
-    shared = keyed.groupBy("key").agg(F.min(short).alias("lo"), F.max(short).alias("hi"), F.bit_or("side").alias("sides"))
-    shared = materialize(shared.where((F.col("lo") != F.col("hi")) & (F.col("sides") == INDEX + PROBE)).select("key"), "line-keys")
+    ends = [f(h).alias(f"{k}{h}") for h in ("h1", "h2") for k, f in (("lo", F.min), ("hi", F.max))]
+    shared = keyed.groupBy("key").agg(*ends, F.bit_or("side").alias("sides"))
+    differ = (F.col("loh1") != F.col("hih1")) | (F.col("loh2") != F.col("hih2"))
+    shared = materialize(shared.where(differ & (F.col("sides") == INDEX + PROBE)).select("key"), "line-keys")
     some = F.broadcast(shared) if shared.count() <= FEW_KEYS else shared
     rows = keyed.join(some, "key").groupBy("key", "h1", "h2", "line").agg(F.bit_or("side").alias("side"))
     counted = rows.withColumns({"n": F.length("line")} | letter_counts(F.col("line"))).join(firsts.select("h1", "h2", "first"), ["h1", "h2"])

@@ -3,8 +3,10 @@ a passage."""
 
 from __future__ import annotations
 
+import xxhash
+
 import corpus_pipeline
-from tabletide.llm import queries
+from tabletide.llm import line_dedup, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -24,3 +26,11 @@ def test_short_equal_lines(spark, tmp_path):
     for k, t in enumerate(texts):
         kept = "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[k])
         assert got[k] == (kept, len(kept))
+
+
+def test_lines_whose_hashes_agree_in_half(spark):
+    a, b = "a line of ƭĦ many characters", "a line of ɛÓ many characters"
+    upper = [xxhash.xxh64_intdigest(x.encode(), 42) >> 32 for x in (a, b)]
+    assert upper[0] == upper[1]
+    got = line_dedup.line_report(documents(spark, [(1, a), (2, b)])).collect()
+    assert {r.doc_id: r.removed_lines for r in got} == {1: [], 2: [0]}
