@@ -3,9 +3,10 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of documents. A stage judges all that its predecessor kept.
 
-quality: documents that the quality rules reject go. line_dedup: repeated lines go from the text (n_chars follows); no
-document goes. simhash: of each group of near-duplicates the document with the smallest doc_id stays. decontamination:
-contaminated documents go, others stay as they are. packing: one row for each piece of a document in a sequence."""
+quality: rows that the quality rules reject go. line_dedup: repeated lines go from the text (n_chars follows); no
+document goes. simhash: of each group of near-duplicates the row with the smallest doc_id (nulls last) stays, and no other.
+decontamination: contaminated rows go, others stay as they are. These three judge rows, so a null or repeated doc_id neither
+keeps nor drops one. packing: one row for each piece of a document in a sequence."""
 
 from __future__ import annotations
 

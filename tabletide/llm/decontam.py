@@ -28,10 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabletide.llm.common import as_bytes, row_slices, sorted_groups
+from tabletide.llm.common import as_bytes, content_key, row_slices, sorted_groups
 
 WINDOW = 13
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 32 for b in range(256))
+ID_TYPES = {"long": pa.int64(), "string": pa.string()}
 RESULT = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>"
 SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
@@ -181,21 +182,21 @@ def merge(spans: np.ndarray) -> np.ndarray:
     return np.stack([spans[new, 0], reach[np.append(np.flatnonzero(new)[1:] - 1, len(spans) - 1)]], axis=1)
 
 
-def result_rows(rows: list[tuple]) -> pa.RecordBatch:
+def result_rows(rows: list[tuple], id_type: str = "long") -> pa.RecordBatch:
     """From (doc_id, n_words, spans, items)."""
     out = []
     for doc, n, spans, items in rows:
         hit = int((spans[:, 1] - spans[:, 0]).sum())
         digest = hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
         out.append((doc, n, hit, len(items), digest, hit > 0 and 20 * hit >= n, [{"start": a, "end": b} for a, b in spans.tolist()]))
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), SPANS)
+    types = (ID_TYPES[id_type], pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), SPANS)
     return pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=[x.split()[0] for x in RESULT.split(", ")])
 
 
-def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 8 << 20, block_bytes: int = 4 << 20) -> DataFrame:
+def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = 8 << 20, block_bytes: int = 4 << 20, id_type: str = "long") -> DataFrame:
     """One row for each row of docs (doc_id, text): n_words, n_hit, n_items, items_sha256, contaminated, and the spans
-    of hit words. benchmark: (item_id, text)."""
-    spark = docs.sparkSession
+    of hit words. benchmark: (item_id, text). id_type: doc_id's type."""
+    spark, schema = docs.sparkSession, RESULT.replace("doc_id long", f"doc_id {id_type}")
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
     blocks = max(1, -(-int(total) // block_bytes))
@@ -209,17 +210,17 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
                 found = held.value.find(as_bytes(b.column("text")))
                 rows = list(zip(b.column("doc_id").to_pylist(), *found, strict=True))
                 if blocks == 1:
-                    yield result_rows(rows)
+                    yield result_rows(rows, id_type)
                 else:
                     keys = b.column("key").to_pylist()
                     cells = ([x for x, _ in zip(keys, rows, strict=True)], [r[0] for r in rows], [r[1] for r in rows], [r[2].ravel().tolist() for r in rows], [sorted(r[3]) for r in rows])
-                    types = (pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
+                    types = (pa.string(), ID_TYPES[id_type], pa.int64(), pa.list_(pa.int64()), pa.list_(pa.string()))
                     yield pa.record_batch([pa.array(c, t) for c, t in zip(cells, types, strict=True)], names=["key", "doc_id", "n_words", "flat", "items"])
 
         if blocks == 1:
-            return docs.select("doc_id", "text").mapInArrow(run, RESULT)
+            return docs.select("doc_id", "text").mapInArrow(run, schema)
         named = docs.select("doc_id", "text", F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.sha1(F.coalesce("text", F.lit("")))).alias("key"))
-        passes.append(named.mapInArrow(run, "key string, doc_id long, n_words long, flat array<long>, items array<string>").withColumn("pass", F.lit(k)))
+        passes.append(named.mapInArrow(run, f"key string, doc_id {id_type}, n_words long, flat array<long>, items array<string>").withColumn("pass", F.lit(k)))
     rows = passes[0]
     for p in passes[1:]:
         rows = rows.unionByName(p)
@@ -229,12 +230,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
             own = t.to_pylist()
             spans = np.array([x for r in own for x in r["flat"]], np.int64).reshape(-1, 2)
             one = (own[0]["doc_id"], own[0]["n_words"], merge(spans) if len(spans) else spans, {x for r in own for x in r["items"]})
-            yield result_rows([one] * sum(r["pass"] == 0 for r in own))
+            yield result_rows([one] * sum(r["pass"] == 0 for r in own), id_type)
 
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(combine, RESULT)
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(combine, schema)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that are contaminated; all others unchanged."""
-    gone = find_contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that are contaminated; all others unchanged. Each row goes or stays by its own text, whether
+    its doc_id is null, repeated or neither."""
+    keyed = docs.withColumn("of_key", content_key("doc_id", "text"))
+    found = find_contamination(keyed.select(F.col("of_key").alias("doc_id"), "text"), benchmark, id_type="string")
+    gone = found.where("contaminated").select(F.col("doc_id").alias("of_key")).distinct()
+    return keyed.join(gone, "of_key", "left_anti").select(*docs.columns)

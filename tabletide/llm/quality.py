@@ -26,7 +26,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabletide.llm.common import materialize
+from tabletide.llm.common import content_key, materialize
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
@@ -81,15 +81,16 @@ def repeat_words(w: Column) -> Column:
     return F.when(n < 2, F.lit(0)).otherwise(let(F.slice(spans, 1, F.greatest(n, F.lit(1))), twice))
 
 
-def base_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source, the base statistics of the contract, base_failed, and two counts for the vector."""
+def base_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, lang, source, the columns to carry on, the base statistics of the contract, base_failed, and two counts for the vector."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(WORD))
-    split = docs.select("doc_id", "lang", "source", words(F.col("text")).alias("w"), text.alias("text"))
+    split = docs.select("doc_id", "lang", "source", *carry, words(F.col("text")).alias("w"), text.alias("text"))
     found = split.select(
         "doc_id",
         "lang",
         "source",
+        *carry,
         F.size("w").cast("long").alias("n_words"),
         F.length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
@@ -212,9 +213,10 @@ def mcd(rows: DataFrame, key: list[str], share: float, steps: int, few: bool) ->
     return params
 
 
-def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float = 300.0, least: int = 50) -> DataFrame:
-    """One row for each row of docs (doc_id, text, lang, source): the contract's columns, and d2 (squared distance)."""
-    stats = materialize(base_statistics(docs), "quality")
+def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float = 300.0, least: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each row of docs (doc_id, text, lang, source): the contract's columns, d2 (squared distance), and the
+    columns of docs to carry on."""
+    stats = materialize(base_statistics(docs, carry), "quality")
     rows = vectors(stats).withColumns({"g_lang": F.coalesce("lang", F.lit("\0")), "g_source": F.coalesce("source", F.lit("\0"))})
     fit = rows.where(~F.col("base_failed")).select("g_lang", "g_source", *FEATURES)
     key = ["g_lang", "g_source"]
@@ -235,12 +237,14 @@ def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float =
     chosen = groups.select(*key, best.alias("e")).where(F.col("e").isNotNull()).select(*key, *[F.col(f"e.{c}").alias(c) for c in params])
     scored = with_distance(rows.where(~F.col("base_failed")), chosen, key, few)
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return scored.select(*out, (F.col("d2") <= cutoff).alias("kept"), F.col("d2")).unionByName(
-        rows.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2"))
+    return scored.select(*out, (F.col("d2") <= cutoff).alias("kept"), F.col("d2"), *carry).unionByName(
+        rows.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2"), *carry)
     )
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """docs without those that are rejected. Rows that repeat a doc_id go if one of them is."""
-    gone = judge(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the rows that are rejected. Each row goes or stays by its own lang, source and text, whether its doc_id
+    is null, repeated or neither."""
+    keyed = docs.withColumn("of_key", content_key("doc_id", "lang", "source", "text"))
+    gone = judge(keyed, carry=("of_key",)).where(~F.col("kept")).select("of_key").distinct()
+    return keyed.join(gone, "of_key", "left_anti").select(*docs.columns)

@@ -183,7 +183,11 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = SHINGLE, b
 
 
 def keep_first(docs: DataFrame, distance: int = 4) -> DataFrame:
-    """The documents that stay: of each group, the one with the smallest doc_id."""
-    groups = simhash_groups(docs, distance)
-    stay = groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
+    """One row of each group stays: the one with the smallest doc_id (nulls last), of several with that one the first row
+    of a table that is written with row numbers. So repeated rows and groups of null doc_ids leave one row as well."""
+    own = materialize(docs.withColumn("of_row", F.monotonically_increasing_id()), "simhash-rows")
+    groups = simhash_groups(own.select(F.col("of_row").alias("doc_id"), "text"), distance)
+    placed = own.select("of_row", "doc_id").join(groups.select(F.col("doc_id").alias("of_row"), "component_id"), "of_row")
+    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "of_row")).alias("first")
+    stay = placed.groupBy("component_id").agg(first).select(F.col("first.of_row").alias("of_row"))
+    return own.join(stay, "of_row", "left_semi").select(*docs.columns)

@@ -3,10 +3,15 @@ a passage."""
 
 from __future__ import annotations
 
+import random
+from collections import Counter
+from functools import partial
+
+import pytest
 import xxhash
 
 import corpus_pipeline
-from tabletide.llm import line_dedup, queries
+from tabletide.llm import decontam, line_dedup, queries
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -34,3 +39,36 @@ def test_lines_whose_hashes_agree_in_half(spark):
     assert upper[0] == upper[1]
     got = line_dedup.line_report(documents(spark, [(1, a), (2, b)])).collect()
     assert {r.doc_id: r.removed_lines for r in got} == {1: [], 2: [0]}
+
+
+def words_of(seed, n=60):
+    r = random.Random(seed)
+    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n)) + "."
+
+
+def rows_left(df):
+    return Counter((r.doc_id, r.text) for r in df.collect())
+
+
+def test_quality_stage_judges_rows(spark, tmp_path):
+    good = [words_of(i) for i in range(5)]
+    rows = [(None, good[0]), (None, "short"), (1, good[1]), (1, "too short"), (2, good[2]), (2, good[2]), (None, None), (3, ""), (None, good[3])]
+    got = rows_left(dict(corpus_pipeline.STAGES)["quality"](spark, documents(spark, rows), str(tmp_path)))
+    assert got == Counter((k, t) for k, t in rows if t in good)
+
+
+def test_near_duplicate_stage_leaves_one_row_a_group(spark, tmp_path):
+    t = [words_of(i) for i in range(5)]
+    rows = [(None, t[0]), (None, t[1]), (None, t[1]), (7, t[2]), (7, t[2]), (5, t[3]), (5, t[4]), (4, t[4]), (None, t[4]), (9, None), (None, "")]
+    got = rows_left(dict(corpus_pipeline.STAGES)["simhash"](spark, documents(spark, rows), str(tmp_path)))
+    assert got == Counter([(None, t[0]), (None, t[1]), (7, t[2]), (5, t[3]), (4, t[4]), (9, None)])
+
+
+@pytest.mark.parametrize("block_bytes", [4 << 20, 100])
+def test_decontamination_stage_judges_rows(spark, tmp_path, monkeypatch, block_bytes):
+    t = [words_of(i) for i in range(5)]
+    spark.createDataFrame([(1, t[0]), (2, t[1])], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    monkeypatch.setattr(decontam, "find_contamination", partial(decontam.find_contamination, block_bytes=block_bytes))
+    rows = [(None, t[0]), (None, t[2]), (1, t[1]), (1, t[3]), (2, t[4]), (2, t[4]), (None, None)]
+    got = rows_left(dict(corpus_pipeline.STAGES)["decontamination"](spark, documents(spark, rows), str(tmp_path)))
+    assert got == Counter((k, x) for k, x in rows if x not in t[:2])
