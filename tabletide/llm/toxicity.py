@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from tabletide.llm.common import as_bytes, materialize, row_slices
 from tabletide.llm.decontam import words
 
-SHORTEST, LONGEST, SKETCH = 4, 8, 4
+SHORTEST, LONGEST = 4, 8
+PHRASE, NEAR, BANDS, WIDE = 5, 0.8, 8, 4
 MOST_OF_ONE = 5  # occurrences of a token that count in one document
 PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
 
@@ -158,22 +159,39 @@ def calibrate(model: Model, rows: list[tuple[float, list, int, int]], mean_clean
 
 
 def one_of_copies(rows: DataFrame) -> DataFrame:
-    """rows without near copies, whose words would otherwise count once a copy: of the rows that share one of SKETCH
-    least hashes of three-word phrases, the smallest doc_id stays."""
+    """rows (row, doc_id, text, toxic) without near copies, whose words would otherwise count once a copy: a row goes if an
+    earlier one (by doc_id, then row) of its label stays and at least NEAR of the five-word phrases of both are in both.
+
+    BANDS hashes, each of WIDE min-hashes, only propose pairs: a row and the earliest of its label with the same hash. So
+    a few copies may stay, but none goes unverified. Rows, and so pairs, are bounded by the training rows."""
+
+    seeds = np.random.default_rng(5).integers(0, 1 << 63, (2, BANDS * WIDE), np.uint64)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, "text"):
-            found = []
+            bands, phrases = [], []
             for text in as_bytes(b.column("text")):
                 w = words(text)
-                h = np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + 3])) for i in range(max(1, len(w) - 2))], np.uint64)
-                found.append([int((h * np.uint64(2 * k + 0x9E3779B97F4A7C15)).min() >> np.uint64(1)) for k in range(SKETCH)])
-            yield pa.record_batch([b.column("doc_id").cast(pa.int64()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "hashes"])
-
-    each = rows.select("doc_id", "text").mapInArrow(sketch, "doc_id long, hashes array<long>").select("doc_id", F.posexplode("hashes").alias("k", "h"))
-    least = each.groupBy("k", "h").agg(F.min("doc_id").alias("least"))
-    stay = each.join(least, ["k", "h"]).groupBy("doc_id").agg(F.max(F.col("doc_id") > F.col("least")).alias("copy")).where(~F.col("copy"))
-    return rows.join(stay.select("doc_id"), "doc_id", "left_semi")
+                h = np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(w[i : i + PHRASE])) for i in range(max(1, len(w) - PHRASE + 1))], np.uint64))
+                least = np.array([((h ^ a) * (c | np.uint64(1))).min() for a, c in seeds.T], np.uint64).reshape(BANDS, WIDE)
+                bands.append([xxhash.xxh64_intdigest(x.tobytes()) >> 1 for x in least])
+                phrases.append(h.view(np.int64))
+            cells = [pa.array(bands, pa.list_(pa.int64())), pa.array(phrases, pa.list_(pa.int64()))]
+            yield pa.record_batch([b.column("row"), b.column("doc_id").cast(pa.int64()), b.column("kind"), *cells], names=["row", "doc_id", "kind", "bands", "phrases"])
+
+    named = rows.select("row", "doc_id", "text", (F.col("toxic") > 0).alias("kind"))
+    own = materialize(named.mapInArrow(sketch, "row long, doc_id long, kind boolean, bands array<long>, phrases array<long>"), "toxicity-sketches")
+    each = own.select(F.struct("doc_id", "row").alias("place"), "kind", F.posexplode("bands").alias("band", "h"))
+    least = each.groupBy("kind", "band", "h").agg(F.min("place").alias("first"))
+    pairs = each.join(least, ["kind", "band", "h"]).where(F.col("place") > F.col("first")).select("place", "first").distinct()
+    a, b = own.select(F.col("row").alias("a"), F.col("phrases").alias("p")), own.select(F.col("row").alias("b"), F.col("phrases").alias("q"))
+    both = pairs.join(a, F.col("first.row") == F.col("a")).join(b, F.col("place.row") == F.col("b")).withColumn("n", F.size(F.array_intersect("p", "q")))
+    near = both.where(F.col("n") >= NEAR * (F.size("p") + F.size("q") - F.col("n"))).select("place.*", F.col("first.row").alias("first")).collect()
+    gone: set[int] = set()
+    for r in sorted(near):  # in order, so that whether the first one stays is known
+        if r["first"] not in gone:
+            gone.add(r["row"])
+    return rows.join(F.broadcast(rows.sparkSession.createDataFrame([(x,) for x in gone], "row long")), "row", "left_anti")
 
 
 def train(docs: DataFrame, labels: DataFrame, most_rows: int, prior: float, least_z: float | None, drift: float) -> Model | None:
@@ -182,7 +200,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int, prior: float, leas
     n = known.count()
     spread = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30))
     chosen = known.where(spread < int((1 << 30) * min(1.0, 0.97 * most_rows / max(n, 1))) + (n <= most_rows) * (1 << 30))
-    labelled = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"), "toxicity-labelled")
+    labelled = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("row", F.monotonically_increasing_id()), "toxicity-labelled")
     rows = materialize(one_of_copies(labelled), "toxicity-rows")
     kinds = {r["toxic"] > 0: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:

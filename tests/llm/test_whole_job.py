@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tabletide.llm import decontam, line_dedup, queries
+from tabletide.llm import decontam, line_dedup, queries, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -72,3 +72,12 @@ def test_decontamination_stage_judges_rows(spark, tmp_path, monkeypatch, block_b
     rows = [(None, t[0]), (None, t[2]), (1, t[1]), (1, t[3]), (2, t[4]), (2, t[4]), (None, None)]
     got = rows_left(dict(corpus_pipeline.STAGES)["decontamination"](spark, documents(spark, rows), str(tmp_path)))
     assert got == Counter((k, x) for k, x in rows if x not in t[:2])
+
+
+def test_training_rows_that_share_a_passage_stay(spark):
+    passage, long = words_of(0, 30)[:-1], words_of(1, 300)[:-1]
+    texts = [f"{passage} {words_of(i, 60)}" for i in range(2, 12)]
+    rows = [(i, i, t, i % 2) for i, t in enumerate(texts)]
+    rows += [(20, 20, long, 0), (21, 21, long + " extra", 0), (22, 22, long + " extra", 1), (23, 20, long, 0), (24, 24, "", 0), (25, 25, None, 0)]
+    got = toxicity.one_of_copies(spark.createDataFrame(rows, "row long, doc_id long, text string, toxic int")).collect()
+    assert sorted(r.row for r in got) == [*range(10), 20, 22, 24]
