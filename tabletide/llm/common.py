@@ -40,10 +40,27 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def two_hashes(*parts: Column) -> tuple[Column, Column]:
+    """128 bits of hash as two longs. The hash of a value is the seed of the next one's, so the literal comes first: behind
+    the parts it would make the second long a function of the first."""
+    return F.xxhash64(*parts), F.xxhash64(F.lit(1), *parts)
+
+
 def content_key(*columns: str) -> Column:
     """128 bits of hash over these columns, nulls told apart from values: equal for rows that are equal in them."""
     parts = [c for name in columns for c in (F.isnull(name), F.col(name))]
-    return F.concat_ws("-", F.hex(F.xxhash64(*parts)), F.hex(F.xxhash64(*parts, F.lit(1))))
+    return F.concat_ws("-", *[F.hex(h) for h in two_hashes(*parts)])
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores behind those that df has already."""
+    taken, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        found.append(name)
+    return found
 
 
 def as_bytes(column: pa.Array | pa.ChunkedArray) -> list[bytes]:

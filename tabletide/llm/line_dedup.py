@@ -7,17 +7,25 @@ is 0. Else shorter lines are kept, as blank ones always are. Lines are judged on
 
 1. Equal lines are aggregated by a 128-bit hash to their first place and count.
 2. A line of length n is cut into distance + 1 even segments; of two lines within the distance one segment of the shorter
-   is a substring of the longer, at a place that the length difference bounds. Each line's keys are the hashes of
-   (length, segment number, substring) that it indexes or probes (twelve at distance 2). Keys are aggregated, partially before
-   the shuffle, to the least and greatest of either half of the line hash: only keys that different lines share on both sides go on.
-3. Lines come back to those keys only (a broadcast if they are at most FEW_KEYS, else a join), equal ones once, and are
-   paired by key under the condition that their letter counts agree. Each such pair is verified by a banded bit-parallel edit distance: the band of 2 * distance + 1 rows of the
-   dynamic program's column is a few bits of a long, moved along the diagonal, for lines of any length.
-4. A line needs one earlier near line only: it is compared with the earliest line of each of its keys, and only if none of
-   these is near with the other earlier ones. A group of variants of one line thus costs a pair a variant.
-
-Cases: null and empty texts have one empty line, which is kept; rows that repeat a doc_id are one document (the same
-places), returned each; a null doc_id is before all others; an empty table gives an empty result; other columns are
+   is a substring of the longer, at a place that the length difference bounds, with at most as many edits before it as there are
+   segments before it, and the rest behind it. Each line's keys are the hashes of (length, segment number, substring)
+   that it indexes or probes (twelve at distance 2). Keys are aggregated, partially before the shuffle, to the least and
+   greatest of either half of the line hash: only keys that different lines share go on, and lines come back to those only
+   (a broadcast if they are at most FEW_KEYS, else a join).
+3. One earlier near line is enough. Each line is first compared with the earliest line of each of its keys.
+4. Lines that this leaves open are compared with all earlier lines of a key if the key has at most `group` lines. In a larger
+   group the parts of the lines before and behind the segment remain, each with the edits that it may have. What all lines of
+   the group have at both ends of their longest part is taken off, and the core is cut into segments again: the group falls
+   into groups that share one more segment, and steps 3 and 4 are repeated for these. So no group is paired whole, however
+   many different lines share a segment. Only groups whose every remaining part is shorter than its segments would be
+   (at most 2 * distance characters, so a bounded number of different lines) are.
+5. Pairs must agree in their letter counts, are fetched once and verified by a banded bit-parallel edit distance on what is
+   between their common ends: the band of 2 * distance + 1 rows of the dynamic program's column is a few bits of a long, moved
+   along the diagonal, for lines of any length.
+
+Cases: null and empty texts have one empty line, which is kept; rows that repeat a doc_id and its text are one document (the
+same places), returned each; rows that repeat a doc_id with different texts are different documents, in the order of their texts' hashes; a null
+doc_id is before all others; an empty table gives an empty result; other columns, whatever their names, are
 ignored by `repeated_lines` and kept by `drop_repeated_lines`."""
 
 from __future__ import annotations
@@ -25,68 +33,96 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabletide.llm.common import materialize
+from tabletide.llm.common import materialize, two_hashes, unused
 from tabletide.llm.quality import WORD, let
 
 FEW_KEYS = 400_000
+GROUP = 32
 INDEX, PROBE = 1, 2
 LETTERS = " aeinorst"
+COUNTS = [f"c{i}" for i in range(len(LETTERS))]
+DOC = ["doc_id", "t1", "t2"]
 
 
 def text_lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
+def named(docs: DataFrame) -> DataFrame:
+    """(doc_id, t1, t2, text): t1 and t2 tell texts of one doc_id apart."""
+    t1, t2 = two_hashes(F.coalesce(F.col("text"), F.lit("")))
+    return docs.select("doc_id", t1.alias("t1"), t2.alias("t2"), "text")
+
+
 def lines_of(docs: DataFrame, least: int, every: bool = False) -> DataFrame:
-    """(doc_id, line_no, line, h1, h2) of the lines of `least` characters, or of every line that isn't blank as well."""
+    """(doc_id, t1, t2, line_no, line, h1, h2) of the lines of `least` characters, or of every line that isn't blank as well."""
     part = (F.length("line") >= least) | F.col("line").rlike(WORD) if every else F.length("line") >= least
-    own = docs.select("doc_id", F.posexplode(text_lines(F.col("text"))).alias("line_no", "line")).where(part)
-    return own.select("doc_id", "line_no", "line", F.xxhash64("line").alias("h1"), F.xxhash64("line", F.lit(1)).alias("h2"))
+    own = named(docs).select(*DOC, F.posexplode(text_lines(F.col("text"))).alias("line_no", "line")).where(part)
+    h1, h2 = two_hashes(F.col("line"))
+    return own.select("*", h1.alias("h1"), h2.alias("h2"))
 
 
-def variants(distance: int) -> Column:
-    """array<struct<shorter, i, shift, side>>: how much shorter the indexed line is, the segment, by how many characters it is
-    shifted in the probing line, and whether such a key is one that a line indexes too."""
+def variants(distance: int) -> list[Column]:
+    """structs of d (the distance), shorter, i, shift, side: how much shorter the indexed part is, the segment, by how many
+    characters it is shifted in the probing part, and whether such a key is one that a part indexes too."""
     found = []
     for shorter in range(distance + 1):
         for i in range(distance + 1):
             rest = distance - i
             for shift in range(max(-i, shorter - rest), min(i, shorter + rest) + 1):
                 side = INDEX + PROBE if not shorter and not shift else PROBE
-                found.append(F.struct(*[F.lit(v).alias(k) for k, v in (("shorter", shorter), ("i", i), ("shift", shift), ("side", side))]))
-    return F.array(*found)
-
-
-def keyed_lines(lines: DataFrame, distance: int, least: int) -> DataFrame:
-    """lines with a row for each key: key, side. A line of n characters is cut into even segments, of which the last
-    n % (distance + 1) are longer by one. The variants are exploded, not written out, so that each key is a few
-    expressions over columns."""
-    parts = distance + 1
-    rows = lines.withColumn("n", F.length("line")).select("*", F.explode(variants(distance)).alias("v")).select(*lines.columns, "n", "v.*")
-    m = F.col("n") - F.col("shorter")
-    rows = rows.where(m >= least).withColumns({"size": F.floor(m / parts).cast("int"), "more": (m % parts).cast("int")})
-    at = F.col("size") * F.col("i") + F.greatest(F.lit(0), F.col("i") - parts + F.col("more")) + F.col("shift")
-    size = F.col("size") + (F.col("i") >= parts - F.col("more")).cast("int")
-    key = F.xxhash64(m, "i", F.substring("line", at + 1, size))
-    return rows.where((at >= 0) & (at + size <= F.col("n"))).select(*lines.columns, key.alias("key"), "side")
+                found.append(F.struct(*[F.lit(v).alias(k) for k, v in (("v_d", distance), ("shorter", shorter), ("i", i), ("shift", shift), ("side", side))]))
+    return found
+
+
+def with_keys(rows: DataFrame, distances: list[int], least: int, seed: list[str]) -> DataFrame:
+    """rows (line, s, e, d, others, and more) with a row for each key of the characters from s to e, which may have d edits:
+    key, side, and parts, those of `others` and what is left before and behind the segment. A part of m characters is cut
+    into d + 1 even segments, of which the last m % (d + 1) are longer by one; if it is too short for that, its length
+    alone is the key. The variants are exploded, not written out, so that each key is a few expressions over columns."""
+    columns = [c for c in rows.columns if c not in ("s", "e", "d", "others")]
+    rows = rows.select("*", F.explode(F.array(*[v for d in distances for v in variants(d)])).alias("v")).select(*rows.columns, "v.*")
+    m, n = F.col("e") - F.col("s") - F.col("shorter"), F.col("d") + 1
+    rows = rows.where((F.col("v_d") == F.col("d")) & (m >= least)).withColumns({"size": F.floor(m / n).cast("int"), "more": (m % n).cast("int")})
+    at = F.col("s") + F.col("size") * F.col("i") + F.greatest(F.lit(0), F.col("i") - n + F.col("more")) + F.col("shift")
+    size = F.col("size") + (F.col("i") >= n - F.col("more")).cast("int")
+    short = m < n
+    key = F.xxhash64(*seed, m, "i", F.substring("line", at + 1, size))
+    part = lambda s, e, d: F.struct(s.alias("s"), e.alias("e"), d.alias("d"))
+    left = F.filter(F.array(part(F.col("s"), at, F.col("i")), part(at + size, F.col("e"), F.col("d") - F.col("i"))), lambda x: x["d"] > 0)
+    inside = F.when(short, F.col("i") == 0).otherwise((at >= F.col("s")) & (at + size <= F.col("e")))
+    return rows.where(inside).select(
+        *[c for c in columns if c != "key"],
+        F.when(short, F.xxhash64(*seed, m, F.lit(-1))).otherwise(key).alias("key"),
+        "side",
+        F.when(short, F.col("others")).otherwise(F.concat("others", left)).alias("parts"),
+    )
 
 
 def letter_counts(line: Column) -> dict[str, Column]:
-    return {f"c{i}": F.length(line) - F.length(F.replace(line, F.lit(c), F.lit(""))) for i, c in enumerate(LETTERS)}
+    return {c: F.length(line) - F.length(F.replace(line, F.lit(x), F.lit(""))) for c, x in zip(COUNTS, LETTERS, strict=True)}
 
 
 def counts_agree(distance: int) -> Column:
     """Whether the counts a.c* and b.c* allow the distance: an edit changes at most two of a line's counts, by one each."""
-    gaps = [F.abs(F.col(f"a.c{i}") - F.col(f"b.c{i}")) for i in range(len(LETTERS))]
+    gaps = [F.abs(F.col(f"a.{c}") - F.col(f"b.{c}")) for c in COUNTS]
     return sum(gaps[1:], gaps[0]) <= 2 * distance
 
 
+def shared_start(a: Column, b: Column) -> Column:
+    """How many characters a and b have in common at their start (or a little less, beyond two million)."""
+    most = F.least(F.length(a), F.length(b))
+    longer = lambda p, w: F.when((p + w <= most) & (F.substring(a, p + 1, w) == F.substring(b, p + 1, w)), p + w).otherwise(p)
+    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(20, -1, -1)]), F.lit(0), longer)
+
+
 def within(a: Column, b: Column, distance: int) -> Column:
     """Whether the edit distance of a and b is at most `distance`; a is the shorter, by at most `distance`.
 
     Bit k of a word stands for row j - distance + k of column j of the dynamic program (rows are a's characters). up and
     down are the vertical steps of the last column, moved to the rows of this one. The value at the band's lowest row is
-    followed along the diagonal until that row is a's last, and then along the row."""
+    followed along the diagonal until that row is a's last, and then along the row. Neighbours differ by one at most and
+    a diagonal never falls, so a value over three times the distance can't come back, and the rest is passed over."""
     width = 2 * distance + 1
     whole = (1 << width) - 1
     a_chars, b_chars = F.split(a, "", -1), F.split(b, "", -1)
@@ -100,7 +136,7 @@ def within(a: Column, b: Column, distance: int) -> Column:
             match = F.lit(0)
             for k in range(width):
                 match = match + F.when((row + k >= 1) & (row + k <= rows) & (F.get(p, row + k - 1) == letter), F.lit(1 << k)).otherwise(F.lit(0))
-            return let(
+            moved = let(
                 F.struct(match.alias("match"), s["up"].alias("up"), s["down"].alias("down"), s["value"].alias("value"), j.alias("j")),
                 lambda t: let(
                     F.struct(
@@ -110,6 +146,7 @@ def within(a: Column, b: Column, distance: int) -> Column:
                     after,
                 ),
             )
+            return F.when(s["value"] > 3 * distance, s).otherwise(moved)
 
         def after(y: Column) -> Column:
             level, t = y["level"], y["t"]
@@ -123,76 +160,151 @@ def within(a: Column, b: Column, distance: int) -> Column:
             change = F.when(last >= 2 * distance, F.lit(1) - F.shiftright(level, 2 * distance).bitwiseAND(1)).otherwise(along)
             return F.struct(up.alias("up"), next_level.bitwiseAND(right).alias("down"), (t["value"] + change).alias("value"))
 
-        start = F.struct(F.lit(whole - (1 << distance) + 1).alias("up"), F.lit(0).alias("down"), F.lit(distance).alias("value"))
-        return F.aggregate(F.sequence(F.lit(1), columns), start, step, lambda s: s["value"] <= distance)
+        start = F.struct(F.lit(whole - (1 << distance) + 1).alias("up"), F.lit(0).alias("down"), F.least(F.lit(distance), rows).alias("value"))
+        return F.when(columns == 0, rows <= distance).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(columns, F.lit(1))), start, step, lambda s: s["value"] <= distance))
 
     packed = F.struct(F.length(a).alias("m"), F.length(b).alias("n"), a_chars.alias("p"), b_chars.alias("q"))
     return let(packed, run)
 
 
-def verified(pairs: DataFrame, distance: int) -> DataFrame:
-    """(h1, h2) of the lines b of pairs (aliases a, b) that are within the distance of their a."""
-    shorter = F.col("a.n") <= F.col("b.n")
-    once = pairs.select(
-        F.col("b.h1").alias("h1"), F.col("b.h2").alias("h2"), F.col("a.h1").alias("o1"), F.col("a.h2").alias("o2"),
-        F.when(shorter, F.col("a.line")).otherwise(F.col("b.line")).alias("x"), F.when(shorter, F.col("b.line")).otherwise(F.col("a.line")).alias("y"),
-    ).dropDuplicates(["h1", "h2", "o1", "o2"])
-    return once.where(within(F.col("x"), F.col("y"), distance)).select("h1", "h2").distinct()
+def near(a: Column, b: Column, distance: int) -> Column:
+    """within() of what is between the common ends of a and b."""
+    length = lambda t, x, cut: F.length(t[x]) - cut
+    shorter = F.length(a) <= F.length(b)
+    ordered = F.struct(F.when(shorter, a).otherwise(b).alias("x"), F.when(shorter, b).otherwise(a).alias("y"))
 
+    def ends(t: Column) -> Column:
+        return let(F.struct(t["x"].alias("x"), t["y"].alias("y"), shared_start(t["x"], t["y"]).alias("p")), tail)
 
-def near_earlier(docs: DataFrame, firsts: DataFrame, distance: int, least: int) -> DataFrame:
-    """(h1, h2) of lines of which another line within the distance has an earlier first place.
+    def tail(t: Column) -> Column:
+        q = F.least(shared_start(F.reverse(t["x"]), F.reverse(t["y"])), F.length(t["x"]) - t["p"])
+        return let(F.struct(t["x"].alias("x"), t["y"].alias("y"), t["p"].alias("p"), (t["p"] + q).alias("cut")), core)
 
-    One witness is enough. Each line is first compared with the earliest line of its keys, one pair a line and key; only
-    lines that this leaves open are paired with all earlier lines of their keys."""
-    keyed = keyed_lines(lines_of(docs, least).select("line", "h1", "h2"), distance, least)
+    def core(t: Column) -> Column:
+        cores = F.struct(*[F.substring(t[x], t["p"] + 1, length(t, x, t["cut"])).alias(x) for x in ("x", "y")])
+        return let(cores, lambda c: F.when(F.length(c["y"]) <= distance, F.lit(True)).otherwise(within(c["x"], c["y"], distance)))
+
+    return let(ordered, ends)
+
+
+def verified(pairs: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
+    """(h1, h2) of the lines b of pairs (aliases a, b) that are within the distance of their a."""
+    ids = [F.col(f"{x}.h{i}").alias(f"{x}{i}") for x in "ab" for i in (1, 2)]
+    line = lambda x: texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"line_{x}"))
+    both = pairs.select(*ids).distinct().join(line("a"), ["a1", "a2"]).join(line("b"), ["b1", "b2"])
+    return both.where(near(F.col("line_a"), F.col("line_b"), distance)).select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct()
+
+
+def still_open(rows: DataFrame, found: DataFrame) -> DataFrame:
+    hit = found.select("h1", "h2", F.lit(True).alias("hit"))
+    return rows.join(hit, ["h1", "h2"], "left").withColumn("open", F.col("open") & F.col("hit").isNull()).drop("hit")
+
+
+def refined(rows: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
+    """rows of large groups, with keys that share one more segment. The group's common ends come from the least and greatest
+    of its parts and of these reversed, which are partial aggregates."""
+    own = rows.join(texts, ["h1", "h2"])
+    part = lambda j, c: F.get("parts", F.lit(j))[c]
+    piece = lambda j: F.substring("line", part(j, "s") + 1, part(j, "e") - part(j, "s"))
+
+    def core(j: int) -> Column:
+        def whole(p: Column) -> Column:
+            q = F.least(shared_start(F.col(f"r_lo_{j}"), F.col(f"r_hi_{j}")), F.col(f"least_{j}") - p)
+            return let(q, lambda x: F.struct((F.col(f"most_{j}") - p - x).alias("core"), F.lit(j).alias("pick"), p.alias("p"), x.alias("q")))
+
+        return let(shared_start(F.col(f"lo_{j}"), F.col(f"hi_{j}")), whole)
+
+    ends = []
+    for j in range(distance):
+        for x, least, most in ((piece(j), "lo", "hi"), (F.reverse(piece(j)), "r_lo", "r_hi"), (part(j, "e") - part(j, "s"), "least", "most")):
+            ends += [F.min(x).alias(f"{least}_{j}"), F.max(x).alias(f"{most}_{j}")]
+    cores = [core(j) for j in range(distance)]
+    groups = own.groupBy("key").agg(*ends).select("key", F.array_max(F.array(*cores)).alias("g")).select("key", "g.pick", "g.p", "g.q")
+    picked, keep = F.get("parts", "pick"), ["h1", "h2", "first", "n", *COUNTS, "open"]
+    staged = own.join(groups, "key").select(
+        *keep, "key", "line", (picked["s"] + F.col("p")).alias("s"), (picked["e"] - F.col("q")).alias("e"), picked["d"].alias("d"),
+        F.filter("parts", lambda x, i: i != F.col("pick")).alias("others"),
+    )
+    keyed = with_keys(staged.withColumn("of", F.col("key")), list(range(1, distance + 1)), 0, ["of"])
+    return keyed.groupBy("key", *keep, "parts").agg(F.bit_or("side").alias("side"))
+
+
+def near_earlier(docs: DataFrame, firsts: DataFrame, distance: int, least: int, group: int = GROUP) -> DataFrame:
+    """(h1, h2) of lines of which another line within the distance has an earlier first place."""
+    nothing = F.array().cast("array<struct<s:int,e:int,d:int>>")
+    lines = lines_of(docs, least).select("line", "h1", "h2", F.lit(0).alias("s"), F.length("line").alias("e"), F.lit(distance).alias("d"), nothing.alias("others"))
+    keyed = with_keys(lines, [distance], least, [])
     ends = [f(h).alias(f"{k}{h}") for h in ("h1", "h2") for k, f in (("lo", F.min), ("hi", F.max))]
     shared = keyed.groupBy("key").agg(*ends, F.bit_or("side").alias("sides"))
     differ = (F.col("loh1") != F.col("hih1")) | (F.col("loh2") != F.col("hih2"))
     shared = materialize(shared.where(differ & (F.col("sides") == INDEX + PROBE)).select("key"), "line-keys")
     some = F.broadcast(shared) if shared.count() <= FEW_KEYS else shared
-    rows = keyed.join(some, "key").groupBy("key", "h1", "h2", "line").agg(F.bit_or("side").alias("side"))
-    counted = rows.withColumns({"n": F.length("line")} | letter_counts(F.col("line"))).join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
-    rows = materialize(counted, "line-candidates")
-    counts = [f"c{i}" for i in range(len(LETTERS))]
-    top = rows.groupBy("key").agg(F.min(F.struct("first", "h1", "h2", "n", "line", *counts)).alias("e")).select("key", "e.*")
-    near = (F.abs(F.col("a.n") - F.col("b.n")) <= distance) & counts_agree(distance) & (F.col("a.key") == F.col("b.key"))
-    pairs = top.alias("a").join(rows.alias("b"), near & (F.col("a.first") < F.col("b.first")))
-    found = materialize(verified(pairs, distance), "line-near")
-    left = rows.join(found, ["h1", "h2"], "left_anti")
-    sides = (F.col("a.side").bitwiseOR(F.col("b.side")) == INDEX + PROBE) & (F.col("a.first") < F.col("b.first"))
-    return found.unionByName(verified(rows.alias("a").join(left.alias("b"), near & sides), distance))
-
-
-def repeated_lines(docs: DataFrame, distance: int = 2, least: int = 20, every: bool = False) -> DataFrame:
-    """(doc_id, line_no) of the lines to remove."""
-    own = lines_of(docs, least, every).select("doc_id", "line_no", "h1", "h2")
-    place = F.struct("doc_id", "line_no")
+    each = keyed.join(some, "key").groupBy("h1", "h2", "line").agg(F.collect_set(F.struct("key", "side", "parts")).alias("keys"))
+    counted = each.withColumns({"n": F.length("line"), "open": F.lit(True)} | letter_counts(F.col("line"))).join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
+    candidates = materialize(counted, "line-candidates")
+    texts = candidates.select("h1", "h2", "line")
+    rows = candidates.select("h1", "h2", "first", "n", *COUNTS, "open", F.explode("keys").alias("k")).select("*", "k.*").drop("k")
+
+    same = (F.col("a.key") == F.col("b.key")) & (F.col("a.first") < F.col("b.first")) & F.col("b.open")
+    alike = same & (F.abs(F.col("a.n") - F.col("b.n")) <= distance) & counts_agree(distance)
+    sides = F.col("a.side").bitwiseOR(F.col("b.side")) == INDEX + PROBE
+    found: list[DataFrame] = []
+    while True:
+        top = rows.groupBy("key").agg(F.min(F.struct("first", "h1", "h2", "n", *COUNTS)).alias("e")).select("key", "e.*")
+        found.append(materialize(verified(top.alias("a").join(rows.alias("b"), alike), texts, distance), "line-near"))
+        state = still_open(rows, found[-1])
+        keys = state.groupBy("key").agg(
+            F.count("*").alias("size"), F.max(F.when(F.col("open"), F.col("first"))).alias("last"), F.min("first").alias("head"), F.bit_or("side").alias("sides")
+        )
+        useful = keys.where((F.col("last") > F.col("head")) & (F.col("sides") == INDEX + PROBE)).select("key", "size", "last")
+        kept = materialize(state.join(useful, "key").where(F.col("first") <= F.col("last")).drop("last"), "line-open")
+        large = (F.col("size") > group) & (F.size("parts") > 0)
+        small = kept.where(~large)
+        found.append(materialize(verified(small.alias("a").join(small.alias("b"), alike & sides), texts, distance), "line-near"))
+        if kept.where(large).isEmpty():
+            break
+        rows = materialize(refined(still_open(kept.where(large).drop("size"), found[-1]), texts, distance), "line-rows")
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    return every.distinct()
+
+
+def repeated_lines(docs: DataFrame, distance: int = 2, least: int = 20, every: bool = False, group: int = GROUP) -> DataFrame:
+    """(doc_id, t1, t2, line_no) of the lines to remove; t1 and t2 are the two hashes of the text."""
+    own = lines_of(docs, least, every).select(*DOC, "line_no", "h1", "h2")
+    place = F.struct(*DOC, "line_no")
     firsts = materialize(own.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "line-firsts")
-    near = materialize(near_earlier(docs, firsts, distance, least), "line-links").withColumn("near", F.lit(True))
-    gone = firsts.join(near, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near")).select("h1", "h2", "first", "near")
-    return own.join(gone, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (place > F.col("first"))).select("doc_id", "line_no").distinct()
+    links = materialize(near_earlier(docs, firsts, distance, least, group), "line-links").withColumn("near", F.lit(True))
+    gone = firsts.join(links, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near")).select("h1", "h2", "first", "near")
+    return own.join(gone, ["h1", "h2"]).where(F.coalesce("near", F.lit(False)) | (place > F.col("first"))).select(*DOC, "line_no").distinct()
+
+
+def with_repeats(docs: DataFrame, repeats: DataFrame, to: str) -> DataFrame:
+    """docs with the ascending numbers of their repeated lines in the column `to` (null: none)."""
+    x, y, z = unused(docs, "of_doc", "of_t1", "of_t2")
+    lists = repeats.groupBy(*[F.col(c).alias(n) for c, n in zip(DOC, (x, y, z), strict=True)]).agg(F.sort_array(F.collect_list("line_no")).alias(to))
+    t1, t2 = two_hashes(F.coalesce(F.col("text"), F.lit("")))
+    return docs.join(lists, F.col("doc_id").eqNullSafe(F.col(x)) & (t1 == F.col(y)) & (t2 == F.col(z)), "left").drop(x, y, z)
 
 
-def line_report(docs: DataFrame, distance: int = 2, least: int = 20, every: bool = False) -> DataFrame:
+def line_report(docs: DataFrame, distance: int = 2, least: int = 20, every: bool = False, group: int = GROUP) -> DataFrame:
     """One row for each row of docs: doc_id, n_lines, n_removed, removed_lines (ascending, from 0)."""
-    gone = repeated_lines(docs, distance, least, every).groupBy("doc_id").agg(F.sort_array(F.collect_list("line_no")).alias("removed_lines"))
-    counted = docs.select("doc_id", F.size(text_lines(F.col("text"))).alias("n_lines"))
-    joined = counted.join(gone.withColumnRenamed("doc_id", "of"), F.col("doc_id").eqNullSafe(F.col("of")), "left")
-    empty = F.array().cast("array<int>")
-    return joined.select("doc_id", "n_lines", F.coalesce(F.size("removed_lines"), F.lit(0)).alias("n_removed"), F.coalesce("removed_lines", empty).alias("removed_lines"))
+    joined = with_repeats(docs.select("doc_id", "text"), repeated_lines(docs, distance, least, every, group), "removed")
+    removed = F.coalesce("removed", F.array().cast("array<int>"))
+    return joined.select("doc_id", F.size(text_lines(F.col("text"))).alias("n_lines"), F.size(removed).alias("n_removed"), removed.alias("removed_lines"))
 
 
-def drop_repeated_lines(docs: DataFrame, distance: int = 2, least: int = 20, every: bool = False) -> DataFrame:
+def drop_repeated_lines(docs: DataFrame, distance: int = 2, least: int = 20, every: bool = False, group: int = GROUP) -> DataFrame:
     """docs with the lines removed from text, and n_chars, if there, set anew. No document goes, even if it gets empty."""
-    gone = repeated_lines(docs, distance, least, every).groupBy(F.col("doc_id").alias("of_doc")).agg(F.collect_list("line_no").alias("of_lines"))
-    joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("of_doc")), "left")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(text_lines(F.col("text"))) - 1), F.col("of_lines"))
+    of_lines, of_text = unused(docs, "of_lines", "of_text")
+    joined = with_repeats(docs, repeated_lines(docs, distance, least, every, group), of_lines)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(text_lines(F.col("text"))) - 1), F.col(of_lines))
     kept = let(text_lines(F.col("text")), lambda a: F.array_join(F.transform(stay, lambda i: F.get(a, i)), "\n"))
-    text = F.when(F.col("of_lines").isNull(), F.col("text")).otherwise(kept)
+    text = F.when(F.col(of_lines).isNull(), F.col("text")).otherwise(kept)
     # explode of one value: the new text is evaluated once and is a column of its own for n_chars
-    changed = joined.select("*", F.explode(F.array(text)).alias("of_text"))
-    new = {"text": F.col("of_text")}
+    changed = joined.select("*", F.explode(F.array(text)).alias(of_text))
+    new = {"text": F.col(of_text)}
     if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(F.col("of_lines").isNull(), F.col("n_chars")).otherwise(F.length("of_text").cast("long"))
+        new["n_chars"] = F.when(F.col(of_lines).isNull(), F.col("n_chars")).otherwise(F.length(of_text).cast("long"))
     return changed.withColumns(new).select(*docs.columns)
