@@ -13,10 +13,11 @@ is 0. Else shorter lines are kept, as blank ones always are. Lines are judged on
    greatest of either half of the line hash: only keys that different lines share go on, and lines come back to those only
    (a broadcast if they are at most FEW_KEYS, else a join).
 3. One earlier near line is enough. Each line is first compared with the earliest line of each of its keys.
-4. Lines that this leaves open are compared with all earlier lines of a key if the key has at most `group` lines. In a larger
-   group the parts of the lines before and behind the segment remain, each with the edits that it may have. What all lines of
-   the group have at both ends of their longest part is taken off, and the core is cut into segments again: the group falls
-   into groups that share one more segment, and steps 3 and 4 are repeated for these. So no group is paired whole, however
+4. Lines that this leaves open are compared with all earlier lines of a key if the key has at most `group` lines. A larger
+   group is divided, and steps 3 and 4 are repeated for what it falls into: first by the counts of sets of letters, of
+   which one set at least agrees; then, as often as needed, by further segments: of the parts of the lines before and
+   behind the segment, each with the edits that it may have, the longest is taken, what all lines of the group have at
+   both its ends is taken off, and the core is cut into segments again. So no group is paired whole, however
    many different lines share a segment. Only groups whose every remaining part is shorter than its segments would be
    (at most 2 * distance characters, so a bounded number of different lines) are.
 5. Pairs must agree in their letter counts, are fetched once and verified by a banded bit-parallel edit distance on what is
@@ -41,6 +42,8 @@ GROUP = 32
 INDEX, PROBE = 1, 2
 LETTERS = " aeinorst"
 COUNTS = [f"c{i}" for i in range(len(LETTERS))]
+FREQUENT = "etaoinsrhldcumfpgwyb"
+PARTS = "array<struct<s:int,e:int,d:int>>"
 DOC = ["doc_id", "t1", "t2"]
 
 
@@ -63,7 +66,7 @@ def lines_of(docs: DataFrame, least: int, every: bool = False) -> DataFrame:
 
 
 def variants(distance: int) -> list[Column]:
-    """structs of d (the distance), shorter, i, shift, side: how much shorter the indexed part is, the segment, by how many
+    """structs of v_d (the distance), shorter, v_i, shift, side: how much shorter the indexed part is, the segment, by how many
     characters it is shifted in the probing part, and whether such a key is one that a part indexes too."""
     found = []
     for shorter in range(distance + 1):
@@ -71,32 +74,35 @@ def variants(distance: int) -> list[Column]:
             rest = distance - i
             for shift in range(max(-i, shorter - rest), min(i, shorter + rest) + 1):
                 side = INDEX + PROBE if not shorter and not shift else PROBE
-                found.append(F.struct(*[F.lit(v).alias(k) for k, v in (("v_d", distance), ("shorter", shorter), ("i", i), ("shift", shift), ("side", side))]))
+                found.append(F.struct(*[F.lit(v).alias(k) for k, v in (("v_d", distance), ("shorter", shorter), ("v_i", i), ("shift", shift), ("side", side))]))
     return found
 
 
 def with_keys(rows: DataFrame, distances: list[int], least: int, seed: list[str]) -> DataFrame:
-    """rows (line, s, e, d, others, and more) with a row for each key of the characters from s to e, which may have d edits:
-    key, side, and parts, those of `others` and what is left before and behind the segment. A part of m characters is cut
-    into d + 1 even segments, of which the last m % (d + 1) are longer by one; if it is too short for that, its length
-    alone is the key. The variants are exploded, not written out, so that each key is a few expressions over columns."""
-    columns = [c for c in rows.columns if c not in ("s", "e", "d", "others")]
+    """rows (line, s, e, d, and more) with a row for each key of the characters from s to e, which may have d edits: key,
+    side, and the segment's number i, begin and end; i is null if the part is too short to be cut, and then its length is
+    the key. A part of m characters is cut into d + 1 even segments, of which the last m % (d + 1) are longer by one.
+    The variants are exploded, not written out, so that each key is a few expressions over columns. A line of one-byte
+    characters is cut as bytes, which need not be counted from the start."""
+    columns = [c for c in rows.columns if c != "key"]
+    rows = rows.withColumns({"raw": F.col("line").cast("binary"), "plain": F.octet_length("line") == F.length("line")})
     rows = rows.select("*", F.explode(F.array(*[v for d in distances for v in variants(d)])).alias("v")).select(*rows.columns, "v.*")
     m, n = F.col("e") - F.col("s") - F.col("shorter"), F.col("d") + 1
     rows = rows.where((F.col("v_d") == F.col("d")) & (m >= least)).withColumns({"size": F.floor(m / n).cast("int"), "more": (m % n).cast("int")})
-    at = F.col("s") + F.col("size") * F.col("i") + F.greatest(F.lit(0), F.col("i") - n + F.col("more")) + F.col("shift")
-    size = F.col("size") + (F.col("i") >= n - F.col("more")).cast("int")
-    short = m < n
-    key = F.xxhash64(*seed, m, "i", F.substring("line", at + 1, size))
+    at = F.col("s") + F.col("size") * F.col("v_i") + F.greatest(F.lit(0), F.col("v_i") - n + F.col("more")) + F.col("shift")
+    rows = rows.withColumns({"begin": at, "end": at + F.col("size") + (F.col("v_i") >= n - F.col("more")).cast("int")})
+    short, size = m < n, F.col("end") - F.col("begin")
+    segment = F.when(F.col("plain"), F.substring("raw", F.col("begin") + 1, size)).otherwise(F.substring("line", F.col("begin") + 1, size).cast("binary"))
+    inside = F.when(short, F.col("v_i") == 0).otherwise((F.col("begin") >= F.col("s")) & (F.col("end") <= F.col("e")))
+    key = F.when(short, F.xxhash64(*seed, m, F.lit(-1))).otherwise(F.xxhash64(*seed, m, "v_i", segment))
+    return rows.where(inside).select(*columns, key.alias("key"), "side", F.when(~short, F.col("v_i")).alias("i"), "begin", "end")
+
+
+def parts_left(others: Column) -> Column:
+    """`others` and what is left before and behind the segment of with_keys(), with the edits that each may have."""
     part = lambda s, e, d: F.struct(s.alias("s"), e.alias("e"), d.alias("d"))
-    left = F.filter(F.array(part(F.col("s"), at, F.col("i")), part(at + size, F.col("e"), F.col("d") - F.col("i"))), lambda x: x["d"] > 0)
-    inside = F.when(short, F.col("i") == 0).otherwise((at >= F.col("s")) & (at + size <= F.col("e")))
-    return rows.where(inside).select(
-        *[c for c in columns if c != "key"],
-        F.when(short, F.xxhash64(*seed, m, F.lit(-1))).otherwise(key).alias("key"),
-        "side",
-        F.when(short, F.col("others")).otherwise(F.concat("others", left)).alias("parts"),
-    )
+    sides = F.array(part(F.col("s"), F.col("begin"), F.col("i")), part(F.col("end"), F.col("e"), F.col("d") - F.col("i")))
+    return F.when(F.col("i").isNull(), others).otherwise(F.concat(others, F.filter(sides, lambda x: x["d"] > 0)))
 
 
 def letter_counts(line: Column) -> dict[str, Column]:
@@ -225,21 +231,31 @@ def refined(rows: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
         *keep, "key", "line", (picked["s"] + F.col("p")).alias("s"), (picked["e"] - F.col("q")).alias("e"), picked["d"].alias("d"),
         F.filter("parts", lambda x, i: i != F.col("pick")).alias("others"),
     )
-    keyed = with_keys(staged.withColumn("of", F.col("key")), list(range(1, distance + 1)), 0, ["of"])
-    return keyed.groupBy("key", *keep, "parts").agg(F.bit_or("side").alias("side"))
+    keyed = with_keys(staged.withColumnRenamed("key", "of"), list(range(1, distance + 1)), 0, ["of"])
+    return keyed.select("*", parts_left(F.col("others")).alias("parts")).groupBy("key", *keep, "parts").agg(F.bit_or("side").alias("side"))
+
+
+def by_letters(rows: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
+    """rows of large groups, with keys that share the counts of some letters: an edit changes two counts at most, so of
+    2 * distance + 1 sets of letters one set has the same counts in both lines of a pair."""
+    sets = 2 * distance + 1
+    count = lambda x: F.length("line") - F.length(F.replace(F.col("line"), F.lit(x), F.lit("")))
+    keys = [F.xxhash64("key", F.lit(k), *[count(x) for x in FREQUENT[k::sets]]) for k in range(sets)]
+    keep = ["h1", "h2", "first", "n", *COUNTS, "open", "parts", "side"]
+    return rows.join(texts, ["h1", "h2"]).select(*keep, F.explode(F.array(*keys)).alias("key"))
 
 
 def near_earlier(docs: DataFrame, firsts: DataFrame, distance: int, least: int, group: int = GROUP) -> DataFrame:
     """(h1, h2) of lines of which another line within the distance has an earlier first place."""
-    nothing = F.array().cast("array<struct<s:int,e:int,d:int>>")
-    lines = lines_of(docs, least).select("line", "h1", "h2", F.lit(0).alias("s"), F.length("line").alias("e"), F.lit(distance).alias("d"), nothing.alias("others"))
+    lines = lines_of(docs, least).select("line", "h1", "h2", F.lit(0).alias("s"), F.length("line").alias("e"), F.lit(distance).alias("d"))
     keyed = with_keys(lines, [distance], least, [])
     ends = [f(h).alias(f"{k}{h}") for h in ("h1", "h2") for k, f in (("lo", F.min), ("hi", F.max))]
     shared = keyed.groupBy("key").agg(*ends, F.bit_or("side").alias("sides"))
     differ = (F.col("loh1") != F.col("hih1")) | (F.col("loh2") != F.col("hih2"))
     shared = materialize(shared.where(differ & (F.col("sides") == INDEX + PROBE)).select("key"), "line-keys")
     some = F.broadcast(shared) if shared.count() <= FEW_KEYS else shared
-    each = keyed.join(some, "key").groupBy("h1", "h2", "line").agg(F.collect_set(F.struct("key", "side", "parts")).alias("keys"))
+    parts = parts_left(F.array().cast(PARTS)).alias("parts")
+    each = keyed.join(some, "key").groupBy("h1", "h2", "line").agg(F.collect_set(F.struct("key", "side", parts)).alias("keys"))
     counted = each.withColumns({"n": F.length("line"), "open": F.lit(True)} | letter_counts(F.col("line"))).join(firsts.select("h1", "h2", "first"), ["h1", "h2"])
     candidates = materialize(counted, "line-candidates")
     texts = candidates.select("h1", "h2", "line")
@@ -263,7 +279,8 @@ def near_earlier(docs: DataFrame, firsts: DataFrame, distance: int, least: int,
         found.append(materialize(verified(small.alias("a").join(small.alias("b"), alike & sides), texts, distance), "line-near"))
         if kept.where(large).isEmpty():
             break
-        rows = materialize(refined(still_open(kept.where(large).drop("size"), found[-1]), texts, distance), "line-rows")
+        divided = by_letters if len(found) == 2 else refined
+        rows = materialize(divided(still_open(kept.where(large).drop("size"), found[-1]), texts, distance), "line-rows")
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)
