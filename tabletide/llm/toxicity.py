@@ -7,9 +7,11 @@ significant z-score are the lexicon, with the log-odds as score; a word has the
 any other word costs `drift`. In each document a linear-time scan (Ruzzo and Tompa) finds all maximal scoring segments:
 the toxic passages.
 
-Calibration. Maximal segment scores of clean texts follow an extreme-value law: with the rate lambda, at which the mean
-of exp(lambda * score) over clean words is 1, lambda * S - log(n) has a fixed location, which the clean training rows
-give. A segment's excess over it is its evidence, a document's is the sum over its significant segments (excess over
+Calibration. Maximal segment scores of clean texts follow an extreme-value (Gumbel) law: with the rate lambda, at which
+the mean of exp(lambda * score) over clean words is 1, a text of n words has no segment of score S or more with the
+probability exp(-n * K * exp(-lambda * S)). K is the maximum-likelihood estimate from the best scores of the clean training
+rows, of which those without a scoring word are censored at 0. This gives each segment a p-value, and its excess over the
+score of p-value SIGNIFICANT is its evidence; a document's is the sum over its significant segments (excess over
 zero), or the best excess if none is. A logistic curve of the evidence, fitted on training rows, gives the score.
 
 At most `most_rows` labelled rows are used for training, chosen by a hash of doc_id (a documented bound, so the labels may be
@@ -25,6 +27,7 @@ import math
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,10 @@ from tabletide.llm.decontam import words
 SHORTEST, LONGEST = 4, 8
 PHRASE, NEAR, BANDS, WIDE = 5, 0.8, 8, 4
 MOST_OF_ONE = 5  # occurrences of a token that count in one document
-PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
+MOST_KNOWN = 200_000
+SIGNIFICANT = 0.01
+AT_SIGNIFICANT = -math.log(-math.log1p(-SIGNIFICANT))
+PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64())]))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -51,6 +57,19 @@ def tokens(word: bytes) -> list[bytes]:
     return [word, *[text[:k].encode() + b"-" for k in range(SHORTEST, min(LONGEST, len(text)) + 1)]]
 
 
+class Known(dict):
+    """word -> its score, made when it is first asked for. Bounded."""
+
+    def __init__(self, lexicon: dict[bytes, tuple[float, float]], drift: float) -> None:
+        self.lexicon, self.none = lexicon, (0.0, -drift)
+
+    def __missing__(self, word: bytes) -> float:
+        if len(self) > MOST_KNOWN:
+            self.clear()
+        s = self[word] = max((self.lexicon[t] for t in tokens(word) if t in self.lexicon), default=self.none)[1]
+        return s
+
+
 @dataclass
 class Model:
     lexicon: dict[bytes, tuple[float, float]]  # token -> (z, log-odds)
@@ -61,39 +80,29 @@ class Model:
     offset: float = 0.0
 
     def __post_init__(self) -> None:
-        self.known: dict[bytes, float] = {}
-
-    def score_of(self, word: bytes) -> float:
-        s = self.known.get(word)
-        if s is None:
-            if len(self.known) > 200_000:
-                self.known.clear()
-            s = self.known[word] = max((self.lexicon[t] for t in tokens(word) if t in self.lexicon), default=(0.0, -self.drift))[1]
-        return s
+        self.known = Known(self.lexicon, self.drift)
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
+    def scores(self, w: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.known.__getitem__, w), float, len(w))
 
     def segments(self, w: list[bytes]) -> list[tuple[int, int, float]]:
         """All maximal scoring segments (start, end, score), in order. Only scoring words are visited one by one."""
-        scores = np.fromiter(map(self.score_of, w), float, len(w))
-        held: list[list] = []  # start, end, total before, total after
-        total, last = 0.0, 0
-        for i in np.flatnonzero(scores > 0).tolist():
-            total -= self.drift * (i - last)
-            last = i + 1
-            new = [i, i + 1, total, total + scores[i]]
-            total = new[3]
-            while True:
-                j = len(held) - 1
-                while j >= 0 and held[j][2] >= new[2]:
-                    j -= 1
-                if j < 0 or held[j][3] >= new[3]:
-                    held.append(new)
-                    break
-                new = [held[j][0], new[1], held[j][2], new[3]]
-                del held[j:]
-        return [(a, b, after - before) for a, b, before, after in held]
+        return maximal_segments(self.scores(w))
 
     def excess(self, s: float, n: int) -> float:
-        return self.rate * s - math.log(max(n, 1)) - self.location
+        """By how much a segment's normed score is beyond the one that clean texts of n words exceed with SIGNIFICANT."""
+        return self.rate * s - math.log(max(n, 1)) - self.location - AT_SIGNIFICANT
+
+    def p_value(self, s: float, n: int) -> float:
+        """The probability that the best segment of a clean text of n words scores s or more."""
+        return -math.expm1(-math.exp(min(700.0, math.log(max(n, 1)) + self.location - self.rate * s)))
 
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
         each = [self.excess(s, n) for _, _, s in segments] or [self.excess(0.0, n)]
@@ -103,6 +112,26 @@ class Model:
         return 1 / (1 + math.exp(-max(-50.0, min(50.0, self.slope * evidence + self.offset))))
 
 
+def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
+    """All maximal scoring segments (start, end, score), in linear time: each segment that is held links to the last one
+    before it with a smaller total before, so that those in between are never visited again."""
+    sums = np.concatenate([[0.0], np.cumsum(scores)])
+    held: list[tuple[int, int, float, float, int]] = []  # start, end, total before, total after, link
+    places = np.flatnonzero(scores > 0)
+    for start, before, after in zip(places.tolist(), sums[places].tolist(), sums[places + 1].tolist(), strict=True):
+        end, j = start + 1, len(held) - 1
+        while True:
+            while j >= 0 and held[j][2] >= before:
+                j = held[j][4]
+            if j < 0 or held[j][3] >= after:
+                held.append((start, end, before, after, j))
+                break
+            start, _, before, _, link = held[j]
+            del held[j:]
+            j = link
+    return [(a, b, after - before) for a, b, before, after, _ in held]
+
+
 def log_odds(counts: DataFrame, toxic: int, clean: int, prior: float, least_z: float | None, drift: float) -> Model:
     """counts: (token, t, c, tn, cn): documents of each kind that have the token, and its occurrences in them. The
     documents, in which one text can't speak for many, say whether a token is significant, by
@@ -151,8 +180,10 @@ def calibrate(model: Model, rows: list[tuple[float, list, int, int]], mean_clean
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if (n * np.exp(np.minimum(mid * s, 500))).sum() < 1 else (lo, mid)
     model.rate = lo
-    clean = [model.rate * best - math.log(max(k, 1)) for best, _, k, label in rows if not label]
-    model.location = float(np.mean(clean)) + 2 * float(np.std(clean))
+    # maximum likelihood of the location; texts without a scoring word only say that their best score is at most 0
+    clean = [(best, max(k, 1)) for best, _, k, label in rows if not label]
+    scored = max(1, sum(best > 0 for best, _ in clean))
+    model.location = math.log(scored / max(1e-300, sum(k * math.exp(-model.rate * best) for best, k in clean))) if clean else 0.0
     x = np.array([model.evidence([(0, 0, v) for v in each], k) for _, each, k, _ in rows])
     model.slope, model.offset = logistic(x, np.array([r[3] for r in rows], float))
     return model
@@ -179,7 +210,8 @@ def one_of_copies(rows: DataFrame) -> DataFrame:
             cells = [pa.array(bands, pa.list_(pa.int64())), pa.array(phrases, pa.list_(pa.int64()))]
             yield pa.record_batch([b.column("row"), b.column("doc_id").cast(pa.int64()), b.column("kind"), *cells], names=["row", "doc_id", "kind", "bands", "phrases"])
 
-    named = rows.select("row", "doc_id", "text", (F.col("toxic") > 0).alias("kind"))
+    spread = rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+    named = spread.select("row", "doc_id", "text", (F.col("toxic") > 0).alias("kind"))
     own = materialize(named.mapInArrow(sketch, "row long, doc_id long, kind boolean, bands array<long>, phrases array<long>"), "toxicity-sketches")
     each = own.select(F.struct("doc_id", "row").alias("place"), "kind", F.posexplode("bands").alias("band", "h"))
     least = each.groupBy("kind", "band", "h").agg(F.min("place").alias("first"))
@@ -201,19 +233,20 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int, prior: float, leas
     spread = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 30))
     chosen = known.where(spread < int((1 << 30) * min(1.0, 0.97 * most_rows / max(n, 1))) + (n <= most_rows) * (1 << 30))
     labelled = materialize(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").withColumn("row", F.monotonically_increasing_id()), "toxicity-labelled")
-    rows = materialize(one_of_copies(labelled), "toxicity-rows")
+    rows = materialize(one_of_copies(labelled), "toxicity-rows").repartition(2 * spark.sparkContext.defaultParallelism)  # at most most_rows
     kinds = {r["toxic"] > 0: r["n"] for r in rows.groupBy((F.col("toxic") > 0).cast("int").alias("toxic")).agg(F.count("*").alias("n")).collect()}
     if len(kinds) < 2:
         return None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = lru_cache(MOST_KNOWN)(tokens)
         for b in row_slices(batches, "text"):
             found = [Counter() for _ in range(4)]  # toxic, clean documents; occurrences in them
             for text, label in zip(as_bytes(b.column("text")), b.column("toxic").to_pylist(), strict=True):
-                kind, own = int(label <= 0), Counter()
+                kind, own = int(label <= 0), {}
                 for w, n in Counter(words(text)).items():
-                    for t in tokens(w):
-                        own[t] += n
+                    for t in known(w):
+                        own[t] = own.get(t, 0) + n
                 found[kind].update(own.keys())
                 found[kind + 2].update({t: min(n, MOST_OF_ONE) for t, n in own.items()})
             keys = list(found[0] | found[1])
@@ -233,7 +266,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int, prior: float, leas
                 each = [s for _, _, s in held.value.segments(w)]
                 out.append((int(label > 0), len(w), each, None, None))
                 if label <= 0:
-                    seen.update(round(held.value.score_of(x), 6) for x in w)
+                    seen.update(np.round(held.value.scores(w), 6).tolist())
             out += [(None, None, None, k, v) for k, v in seen.items()]
             types = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64())
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["label", "n", "scores", "score", "times"])
@@ -248,7 +281,7 @@ def score(
     docs: DataFrame, labels: DataFrame, most_rows: int = 40_000, prior: float = 0.1, least_z: float | None = None, drift: float = 0.2, threshold: float = 0.7
 ) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, held_out, score, predicted, passages (significant segments:
-    words start to end, and their score). labels: (doc_id, toxic)."""
+    words start to end, their score and p-value). labels: (doc_id, toxic)."""
     model = train(docs, labels, most_rows, prior, least_z, drift)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -259,9 +292,9 @@ def score(
                 w = words(text)
                 found = own.segments(w) if own else []
                 p = own.probability(own.evidence(found, len(w))) if own else 0.0
-                rows.append((p, int(p >= threshold), [{"start": s, "end": e, "score": v} for s, e, v in found if own.excess(v, len(w)) > 0]))
+                rows.append((p, int(p >= threshold), [{"start": s, "end": e, "score": v, "p_value": own.p_value(v, len(w))} for s, e, v in found if own.excess(v, len(w)) > 0]))
             cells = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.float64(), pa.int32(), PASSAGES))]
             yield pa.record_batch([b.column("doc_id").cast(pa.int64()), b.column("held_out"), *cells], names=["doc_id", "held_out", "score", "predicted", "passages"])
 
     named = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "text")
-    return named.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, passages array<struct<start:int,end:int,score:double>>")
+    return named.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, passages array<struct<start:int,end:int,score:double,p_value:double>>")
