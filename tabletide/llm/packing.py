@@ -4,10 +4,10 @@ A document is its token ids and then id 0; only documents longer than a sequence
 of which the first may be shorter. The program has a variable for each configuration (a multiset of lengths that fits
 a sequence) and asks for as few sequences as possible that cover the length histogram, which has at most `size`
 entries whatever the corpus. It is solved by multiplicative weights: each length has a price; a knapsack dynamic
-program over the capacity finds the configurations worth most (all within a tolerance of the dearest); each is taken as
-often as its scarcest length allows, in part, and the prices of the lengths that it covers fall exponentially in the
-share covered. The fractional solution is rounded down, and what is left over is packed by best fit decreasing, on the
-histogram as well.
+program over the capacity finds the configurations worth most (all within a tolerance of the dearest); a little of each is
+added to the solution, and the prices of the lengths that it covers fall exponentially in the share covered. The prices
+of each round, and dual feasible functions, give a lower bound. The fractional solution is rounded, and what is left over
+is packed by best fit decreasing, on the histogram as well; the result is never worse than best fit alone.
 
 The plan has a row for each configuration and length (bounded by the number of rounds and the capacity, not by the
 corpus), says which ranks of a length go to which sequences, and is broadcast. The rank of a piece among those of its
@@ -18,8 +18,10 @@ empty result; very long texts give many full pieces, which are sequences of thei
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -72,13 +74,89 @@ def traced(first: np.ndarray, start: int, room: int) -> dict[int, int]:
     return found
 
 
-def multiplicative_weights(histogram: dict[int, int], size: int, rounds: int, rate: float, tolerance: float) -> dict[Config, float]:
-    """A fractional solution: configuration -> how often. Covers no length more often than the histogram has it.
+@dataclass
+class Program:
+    """The linear program's best solution so far: configuration -> how often, which covers every length at least as often as
+    the histogram has it; what it costs; and the greatest dual bound found."""
 
-    A round has one dynamic program; of its table, the dearest configuration with each length is used, if it is worth
-    at most `tolerance` (a share) less than the dearest of all."""
+    solution: dict[Config, float]
+    cost: float
+    bound: float
+
+
+def dual_functions(lengths: np.ndarray, demand: np.ndarray, size: int) -> float:
+    """A lower bound from dual feasible functions: prices that no configuration sums to more than 1."""
+    share, found = lengths / size, float(demand @ lengths) / size
+    for least in np.unique(lengths[2 * lengths <= size]).tolist():
+        found = max(found, float(demand @ np.where(lengths > size - least, 1.0, np.where(lengths >= least, share, 0.0))))
+    for k in range(1, 20):
+        found = max(found, float(demand @ np.where((k + 1) * lengths % size == 0, share, (k + 1) * lengths // size / k)))
+    return found
+
+
+def near_dearest(price: np.ndarray, lengths: np.ndarray, size: int, tolerance: float) -> tuple[float, list[dict[int, int]]]:
+    """Worth of the dearest configuration, and of each length the dearest one with it, if it is worth at most `tolerance`
+    (a share) less."""
+    best, first = knapsack(price, lengths, size)
+    found = [traced(first, x, size - x) for i, x in enumerate(lengths.tolist()) if best[size - x] + price[i] >= (1 - tolerance) * best[size]]
+    return float(best[size]), found
+
+
+def multiplicative_weights(histogram: dict[int, int], size: int, rounds: int, step: float = 0.1, tolerance: float = 0.001, goal: float = 0.002) -> Program:
+    """Fractional covering. A round prices all lengths, adds a little of each near-dearest configuration to the solution, and
+    lowers the price of what these cover exponentially in the share covered. The sum over rounds, divided by what its
+    scarcest length is covered, is a solution; a third of the rounds only finds prices, with the whole step, and the
+    rest, with a quarter of it, is summed. Any prices give a dual bound: what all lengths cost, by the worth of the
+    dearest configuration. Ends early at a gap of `goal`."""
     lengths = np.array(sorted(histogram, reverse=True), np.int64)
-    demand = np.array([histogram[x] for x in lengths], float)
+    demand = np.array([histogram[x] for x in lengths.tolist()], float)
+    place = {int(x): i for i, x in enumerate(lengths)}
+    price, found = lengths / size, Program({}, math.inf, dual_functions(lengths, demand, size))
+    sums: dict[Config, float] = {}
+    cover, used = np.zeros(len(lengths)), 0.0
+    for k in range(rounds):
+        if k == rounds // 3:
+            sums, cover, used, step = {}, np.zeros(len(lengths)), 0.0, step / 4
+        worth, configs = near_dearest(price, lengths, size, tolerance)
+        found.bound = max(found.bound, float(demand @ price) / worth)
+        gain = np.zeros(len(lengths))
+        for config in configs:
+            at, take = np.array([place[x] for x in config]), np.array(list(config.values()), float)
+            often = step * min(demand.sum() / take.sum() / len(configs), float((demand[at] / take).min()))
+            key = tuple(sorted(config.items(), reverse=True))
+            sums[key] = sums.get(key, 0.0) + often
+            used += often
+            gain[at] += take * often / demand[at]
+        cover += gain
+        price = price * np.exp(-gain)
+        price /= price.max()
+        if (least := float(cover.min())) > 0 and used / least < found.cost:
+            found.cost, found.solution = used / least, {c: v / least for c, v in sums.items()} if k % 10 == 9 or k == rounds - 1 else found.solution
+        if found.cost <= (1 + goal) * found.bound:
+            found.solution = {c: v / cover.min() for c, v in sums.items()}
+            break
+    return found
+
+
+def rounded(solution: dict[Config, float], histogram: dict[int, int]) -> dict[Config, int]:
+    """Whole numbers of configurations, the most used first; what rounding leaves of one goes to the next, and none covers
+    more than what is left of a length."""
+    left, found, carry = dict(histogram), {}, 0.0
+    for config, often in sorted(solution.items(), key=lambda x: (-x[1], x[0])):
+        whole = min(int(often + carry + 1e-9), *(left[x] // n for x, n in config))
+        carry = min(1.0, often + carry - whole)
+        if whole > 0:
+            found[config] = whole
+            for x, n in config:
+                left[x] -= n * whole
+    return found
+
+
+def consumed(histogram: dict[int, int], size: int, rounds: int, rate: float = 0.01, tolerance: float = 0.001) -> dict[Config, float]:
+    """Another solution by the same prices and dynamic program: near-dearest configurations are taken as often as their
+    scarcest length is left, in part, so that nothing is covered more often than the histogram has it."""
+    lengths = np.array(sorted(histogram, reverse=True), np.int64)
+    demand = np.array([histogram[x] for x in lengths.tolist()], float)
     place = {int(x): i for i, x in enumerate(lengths)}
     left, price = demand.copy(), lengths / size
     solution: dict[Config, float] = {}
@@ -86,13 +164,8 @@ def multiplicative_weights(histogram: dict[int, int], size: int, rounds: int, ra
         open_ = np.flatnonzero(left >= 1)
         if not len(open_):
             break
-        best, first = knapsack(price[open_], lengths[open_], size)
         covered, used = np.zeros(len(lengths)), False
-        for i in open_:
-            length = int(lengths[i])
-            if best[size - length] + price[i] < (1 - tolerance) * best[size]:
-                continue
-            config = traced(first, length, size - length)
+        for config in near_dearest(price[open_], lengths[open_], size, tolerance)[1]:
             at = np.array([place[x] for x in config])
             take = np.array(list(config.values()), float)
             often = (left[at] / take).min()
@@ -142,19 +215,30 @@ def best_fit(histogram: dict[int, int], size: int) -> dict[Config, int]:
     return found
 
 
-def solve(histogram: dict[int, int], size: int = 2048, rounds: int = 60, rate: float = 0.01, tolerance: float = 0.001) -> dict[Config, int]:
-    """How often each configuration is used; every length is packed exactly as often as the histogram has it."""
-    found = {((size, 1),): histogram[size]} if histogram.get(size) else {}
+def solve_with_bound(histogram: dict[int, int], size: int = 2048, rounds: int = 60) -> tuple[dict[Config, int], float]:
+    """How often each configuration is used, and a lower bound of how many are needed; every length is packed exactly as
+    often as the histogram has it. The fewest sequences of three: the program's solution rounded, the consuming one
+    rounded, each with best fit for the rest, and best fit alone. With few lengths a round is cheap, and there are more."""
+    full = {((size, 1),): histogram[size]} if histogram.get(size) else {}
     rest = {x: n for x, n in histogram.items() if x < size and n}
-    if rest:
-        for config, often in multiplicative_weights(rest, size, rounds, rate, tolerance).items():
-            if whole := int(often + 1e-9):
-                found[config] = found.get(config, 0) + whole
-                for length, n in config:
-                    rest[length] -= n * whole
-        for config, n in best_fit(rest, size).items():
+    if not rest:
+        return full, float(sum(full.values()))
+    program = multiplicative_weights(rest, size, max(rounds, min(1000, 60_000 // len(rest))))
+    choices: list[dict[Config, int]] = []
+    for start in ({}, rounded(program.solution, rest), rounded(consumed(rest, size, rounds), rest)):
+        left, found = dict(rest), dict(start)
+        for config, n in start.items():
+            for x, k in config:
+                left[x] -= n * k
+        for config, n in best_fit(left, size).items():
             found[config] = found.get(config, 0) + n
-    return found
+        choices.append(found)
+    best = min(choices, key=lambda x: sum(x.values()))
+    return full | best, program.bound + sum(full.values())
+
+
+def solve(histogram: dict[int, int], size: int = 2048, rounds: int = 60) -> dict[Config, int]:
+    return solve_with_bound(histogram, size, rounds)[0]
 
 
 def plan_rows(solution: dict[Config, int]) -> list[tuple[int, int, int, int, int, int]]:
