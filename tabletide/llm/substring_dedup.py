@@ -19,8 +19,9 @@ it also starts earlier (smaller doc_id, or the same document and an earlier star
 5. Spans are joined to the documents.
 
 Cases: null and empty texts have no words (the hash of the empty string); fewer than 20 words are never removed; rows
-that repeat a doc_id are one document: each is returned, and none removes words of another with the same start; a null
-doc_id is never joined, so its row is returned whole; other columns are ignored; an empty table gives an empty result."""
+that repeat a doc_id and its text are one document, returned each; rows that repeat a doc_id with different texts are different
+documents, in the order of their texts' hashes; a null doc_id is before all others; other columns are ignored; an empty
+table gives an empty result."""
 
 from __future__ import annotations
 
@@ -35,11 +36,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabletide.llm.common import as_bytes, materialize, row_slices, sorted_groups
+from tabletide.llm.common import as_bytes, materialize, row_slices, sorted_groups, two_hashes
 
 WINDOW, SEED = 20, 5
 SLICE = 2 << 20
 FEW_COPIES = 500_000  # ids
+FEW_SEEDS = 500_000  # longs and counts
 STRETCH = "seed long, deal int, doc_id long, start int, words binary"
 FOUND = "doc_id long, start int, end int, hash binary"
 
@@ -103,9 +105,25 @@ def spaced(words: list[bytes]) -> bytes:
     return b" ".join(words) + b" " if words else b""
 
 
+def placed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, place): place is a long that orders documents as doc_id does and that only rows equal in both share. It
+    is the doc_id itself, unless some are null or stand for several texts: then the distinct pairs are sorted and numbered."""
+    h1, h2 = two_hashes(F.coalesce(F.col("text"), F.lit("")))
+    own = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"))
+    ends = own.groupBy("doc_id").agg(*[f(h).alias(f"{k}{h}") for h in ("h1", "h2") for k, f in (("lo", F.min), ("hi", F.max))])
+    if ends.where("doc_id is null or loh1 <> hih1 or loh2 <> hih2").isEmpty():
+        return docs.select("doc_id", "text", F.col("doc_id").cast("long").alias("place"))
+    numbered = materialize(own.distinct().orderBy("doc_id", "h1", "h2").withColumn("place", F.monotonically_increasing_id()), "repeats-places")
+    numbered = numbered.withColumnRenamed("doc_id", "of")
+    keyed = docs.select("doc_id", "text", h1.alias("k1"), h2.alias("k2"))
+    same = F.col("doc_id").eqNullSafe(F.col("of")) & (F.col("k1") == F.col("h1")) & (F.col("k2") == F.col("h2"))
+    return keyed.join(numbered, same).select("doc_id", "text", "place")
+
+
 def later_copies(docs: DataFrame) -> DataFrame:
     """(doc_id) of documents whose text a smaller doc_id has."""
-    own = docs.select("doc_id", F.xxhash64("text").alias("h1"), F.xxhash64("text", F.lit(1)).alias("h2"), F.octet_length("text").alias("n")).where("n > 0")
+    h1, h2 = two_hashes(F.col("text"))
+    own = docs.select("doc_id", h1.alias("h1"), h2.alias("h2"), F.octet_length("text").alias("n")).where("n > 0")
     firsts = own.groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
     return own.join(firsts, ["h1", "h2", "n"]).where("doc_id > first").select("doc_id").distinct()
 
@@ -152,7 +170,9 @@ def candidate_stretches(words: list[bytes], pos: np.ndarray) -> Iterator[tuple[i
 def stretches(docs: DataFrame, deal: int) -> DataFrame:
     """The stretches of words around seeds that are found twice or more."""
     often = seeds(docs).groupBy("seed").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    found = seeds(docs).join(often.select("seed", F.ceil(F.col("n") / deal).cast("int").alias("deals")), "seed")
+    # a table of its own, so that the join below has no aggregate on a side and its hot seeds can be split
+    often = materialize(often.select("seed", F.ceil(F.col("n") / deal).cast("int").alias("deals")), "repeats-seeds")
+    found = seeds(docs).join(F.broadcast(often) if often.count() <= FEW_SEEDS else often, "seed")
     by_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", "deals"))).alias("found"))
     by_doc = by_doc.select("doc_id", F.col("found.pos").alias("pos"), F.col("found.deals").alias("deals"))
 
@@ -261,11 +281,13 @@ def final_spans(found: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, deal: int = 20_000, block: int = 8_000, with_text: bool = False) -> DataFrame:
     """One row for each row of docs (doc_id, text): n_words, n_removed, kept_sha256 and, if asked for, kept_text (kept
     words joined by one space)."""
-    copies = materialize(later_copies(docs), "repeats-copies")
-    rest = docs.join(F.broadcast(copies) if copies.count() <= FEW_COPIES else copies, "doc_id", "left_anti")
+    whole = placed(docs)
+    named = whole.select(F.col("place").alias("doc_id"), "text")
+    copies = materialize(later_copies(named), "repeats-copies")
+    rest = named.join(F.broadcast(copies) if copies.count() <= FEW_COPIES else copies, "doc_id", "left_anti")
     spans = final_spans(materialize(repeated_spans(rest, deal, block), "repeats"))
     spans = spans.unionByName(copies.select("doc_id", F.lit(0).alias("start"), F.lit((1 << 31) - 1).alias("end")))
-    by_doc = spans.groupBy("doc_id").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    by_doc = spans.groupBy(F.col("doc_id").alias("place")).agg(F.collect_list(F.struct("start", "end")).alias("spans"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in row_slices(batches, "text", SLICE):
@@ -287,4 +309,4 @@ def remove_repeats(docs: DataFrame, deal: int = 20_000, block: int = 8_000, with
             yield pa.record_batch(cells, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: len(cells)])
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
-    return docs.select("doc_id", "text").join(by_doc, "doc_id", "left").mapInArrow(run, schema)
+    return whole.join(by_doc, "place", "left").select("doc_id", "text", "spans").mapInArrow(run, schema)
