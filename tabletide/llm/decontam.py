@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabletide.llm.common import as_bytes, content_key, row_slices, sorted_groups
+from tabletide.llm.common import as_bytes, content_key, row_slices, sorted_groups, unused
 
 WINDOW = 13
 WORD_BYTES = bytes(b if b >= 0x80 or 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A else 32 for b in range(256))
@@ -238,7 +238,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without the rows that are contaminated; all others unchanged. Each row goes or stays by its own text, whether
     its doc_id is null, repeated or neither."""
-    keyed = docs.withColumn("of_key", content_key("doc_id", "text"))
-    found = find_contamination(keyed.select(F.col("of_key").alias("doc_id"), "text"), benchmark, id_type="string")
-    gone = found.where("contaminated").select(F.col("doc_id").alias("of_key")).distinct()
-    return keyed.join(gone, "of_key", "left_anti").select(*docs.columns)
+    (key,) = unused(docs, "of_key")
+    keyed = docs.withColumn(key, content_key("doc_id", "text"))
+    found = find_contamination(keyed.select(F.col(key).alias("doc_id"), "text"), benchmark, id_type="string")
+    gone = found.where("contaminated").select(F.col("doc_id").alias(key)).distinct()
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabletide.llm.common import as_bytes, connected_components, materialize, row_slices, sorted_groups
+from tabletide.llm.common import as_bytes, connected_components, materialize, row_slices, sorted_groups, unused
 
 SEED, SHINGLE, FAN = 42, 4, 8
 
@@ -170,7 +170,7 @@ def link_fingerprints(fps: DataFrame, distance: int = 4, block: int = 4096) -> D
 
 def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = SHINGLE, block: int = 4096) -> DataFrame:
     """One row for each row of docs (doc_id, text): doc_id, fingerprint (16 hex digits), component_id (the smallest
-    doc_id that links reach, itself included), n_links (other distinct fingerprints' class: its size in fingerprints)."""
+    doc_id that links reach, itself included), class_fingerprints (how many distinct fingerprints its class has)."""
     marked = materialize(fingerprints(docs, shingle), "simhash")
     firsts = marked.groupBy("fp").agg(F.min("doc_id").alias("first_doc"))
     parts = connected_components(link_fingerprints(firsts.select("fp"), distance, block), "simhash-links")
@@ -185,9 +185,10 @@ def simhash_groups(docs: DataFrame, distance: int = 4, shingle: int = SHINGLE, b
 def keep_first(docs: DataFrame, distance: int = 4) -> DataFrame:
     """One row of each group stays: the one with the smallest doc_id (nulls last), of several with that one the first row
     of a table that is written with row numbers. So repeated rows and groups of null doc_ids leave one row as well."""
-    own = materialize(docs.withColumn("of_row", F.monotonically_increasing_id()), "simhash-rows")
-    groups = simhash_groups(own.select(F.col("of_row").alias("doc_id"), "text"), distance)
-    placed = own.select("of_row", "doc_id").join(groups.select(F.col("doc_id").alias("of_row"), "component_id"), "of_row")
-    first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "of_row")).alias("first")
-    stay = placed.groupBy("component_id").agg(first).select(F.col("first.of_row").alias("of_row"))
-    return own.join(stay, "of_row", "left_semi").select(*docs.columns)
+    (row,) = unused(docs, "of_row")
+    own = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "simhash-rows")
+    groups = simhash_groups(own.select(F.col(row).alias("doc_id"), "text"), distance)
+    placed = own.select(F.col(row).alias("row"), F.col("doc_id").alias("id")).join(groups.select(F.col("doc_id").alias("row"), "component_id"), "row")
+    first = F.min(F.struct(F.isnull("id").alias("none"), "id", "row")).alias("first")
+    stay = placed.groupBy("component_id").agg(first).select(F.col("first.row").alias(row))
+    return own.join(stay, row, "left_semi").select(*docs.columns)

@@ -59,7 +59,8 @@ class Encoder:
         with open(public.path(f"{name}.tiktoken"), "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.own = tiktoken.Encoding(name, pat_str=public.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.whole = lambda text: Tokenizer.from_file(public.path(f"{name}.json")).encode(text, add_special_tokens=False).ids
+        load = lru_cache(maxsize=1)(lambda: Tokenizer.from_file(public.path(f"{name}.json")))
+        self.whole = lambda text: load().encode(text, add_special_tokens=False).ids
         self.parts = Parts(self.own)
         self.token_bytes = np.zeros(len(ranks) + 2, np.int32)
         for b, i in ranks.items():
