@@ -1,18 +1,19 @@
 """Quality rules: fixed rules, then robust multivariate outliers for each language and source. DataFrame functions only.
 
 Words are the runs of [^\\x20\\x09-\\x0D] of a whole text. Each document has base statistics (`base_statistics`), and
-from them a vector of transformed statistics (`FEATURES`): logarithms of word length, of symbols, capitals and sentence
-marks a word, and of the repeated share. Each (lang, source) group gets a minimum-covariance-determinant estimate: from
-coordinatewise quartiles, concentration steps keep the `share` of rows nearest by Mahalanobis distance and estimate
-centre and covariance from them again, which never raises the determinant. Distances are binned on a fine logarithmic
+from them a vector of transformed statistics (`FEATURES`): the logarithm of the mean word length, and the roots of symbols, capitals,
+sentence marks and repeated words a word, which make the spread of counts about the same at any rate (Anscombe). Each (lang, source)
+group gets a minimum-covariance-determinant estimate. From three starts (a diagonal one of quartiles, the mean and
+covariance of all rows, and the covariance of the signs, that is of directions from the medians) concentration steps keep the
+`share` of rows nearest by Mahalanobis distance and estimate centre and covariance from them again, which lowers the
+determinant, until it settles; the start with the least determinant is used. Distances are binned on a fine logarithmic
 scale and the sums of each bin are aggregated, so a step is one partial aggregation: its result has a bounded number of
 rows a group, however large the group is, and no row is sorted or collected. A document whose squared distance from
-the final estimate, with the consistency factor of the share, exceeds `cutoff` is rejected.
+the final estimate, with the consistency factor of the share, is beyond the `quantile` of the chi-square law is rejected.
 
-Groups of fewer than `least` rows use the estimate of their language, and below that of all rows. `FLOOR` is added to
-the deviations, so statistics that hardly vary in a group (no symbols at all) neither make the covariance singular nor
-reject on trifles. The default cutoff is far beyond the chi-square quantile (0.9999: 25.7 for five statistics), as real
-statistics have longer tails than the normal.
+Groups of fewer than `least` rows use the estimate of their language, and if that has fewer, the one of all rows; these are made
+only if a group needs them. `FLOOR` is added to the deviations, so statistics that hardly vary in a group (no symbols at
+all) neither make the covariance singular nor reject on trifles.
 
 Cases: null and empty texts have no words, so they fail the base rule; null lang or source is a group of its own;
 rows that repeat a doc_id count and are returned each; an empty table gives an empty result; other columns are ignored.
@@ -26,15 +27,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabletide.llm.common import content_key, materialize
+from tabletide.llm.common import content_key, materialize, unused
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
-#: Least deviation of each transformed statistic.
-FLOOR = {"f_length": 0.08, "f_symbols": 0.10, "f_capitals": 0.15, "f_marks": 0.25, "f_repeats": 0.10}
-FEATURES = list(FLOOR)
+FEATURES = ["f_length", "f_symbols", "f_capitals", "f_marks", "f_repeats"]
+FLOOR = 0.1  # least deviation of a transformed statistic
+KEY = ["level", "g_lang", "g_source"]
 FEW_GROUPS, SALTS = 50_000, 64
 BINS = 16  # to a doubling of the squared distance
 
@@ -105,14 +106,14 @@ def base_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 def vectors(stats: DataFrame) -> DataFrame:
     n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    rate = lambda c: F.log(F.col(c) / n + 0.05)
+    rate = lambda c: F.sqrt((F.col(c) + 0.375) / n)
     return stats.select(
         "*",
         F.log((F.col("word_chars") + 1) / (n + 1)).alias("f_length"),
         rate("n_symbols").alias("f_symbols"),
         rate("n_capitals").alias("f_capitals"),
         rate("n_marks").alias("f_marks"),
-        F.log(F.col("n_repeat_words") / n + 0.1).alias("f_repeats"),
+        rate("n_repeat_words").alias("f_repeats"),
     )
 
 
@@ -126,13 +127,17 @@ def chi_square(x: float, k: int) -> float:
     return total * math.exp(-half + a * math.log(half) - math.lgamma(a))
 
 
-def consistency(share: float, p: int) -> float:
-    """By how much the covariance of the nearest share of normal rows is too small."""
+def chi_square_quantile(probability: float, k: int) -> float:
     lo, hi = 0.0, 200.0
     for _ in range(80):
         mid = (lo + hi) / 2
-        lo, hi = (mid, hi) if chi_square(mid, p) < share else (lo, mid)
-    return share / chi_square(lo, p + 2)
+        lo, hi = (mid, hi) if chi_square(mid, k) < probability else (lo, mid)
+    return lo
+
+
+def consistency(share: float, p: int) -> float:
+    """By how much the covariance of the nearest share of normal rows is too small."""
+    return share / chi_square(chi_square_quantile(share, p), p + 2)
 
 
 def cholesky_columns(params: DataFrame, p: int) -> DataFrame:
@@ -168,75 +173,93 @@ def with_distance(rows: DataFrame, params: DataFrame, key: list[str], few: bool)
     return joined.withColumn("d2", sum((F.col(f"z_{i}") ** 2 for i in range(1, p)), F.col("z_0") ** 2))
 
 
-def mcd(rows: DataFrame, key: list[str], share: float, steps: int, few: bool) -> DataFrame:
-    """A row a group: key, n, centre m_i and covariance c_i_j (i <= j), with floor and consistency factor."""
-    p, floor = len(FEATURES), [FLOOR[f] ** 2 for f in FEATURES]
-    quart = rows.groupBy(*key).agg(*[F.percentile_approx(f, [0.25, 0.5, 0.75], 10000).alias(f"q_{i}") for i, f in enumerate(FEATURES)])
-    params = quart.select(
-        *key,
-        *[F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(p)],
-        *[
-            (((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349) ** 2 + floor[i] if i == j else F.lit(0.0)).alias(f"c_{i}_{j}")
-            for i in range(p)
-            for j in range(i, p)
-        ],
-    )
-    factor = consistency(share, p)
-    below = Window.partitionBy(*key).orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    whole = Window.partitionBy(*key)
+def estimate(sums: DataFrame, columns: list[str], n: Column, factor: float, *more: Column) -> DataFrame:
+    """From sums s_i and s_i_j over n rows: columns, centre m_i, covariance c_i_j (i <= j) times the factor, with the floor."""
+    p = len(FEATURES)
+    mean = lambda i: F.col(f"s_{i}") / n
+    covariance = [
+        ((F.col(f"s_{i}_{j}") / n - mean(i) * mean(j)) * factor + (FLOOR**2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i, p)
+    ]
+    return sums.select(*columns, *more, *[mean(i).alias(f"m_{i}") for i in range(p)], *covariance)
+
+
+def sums_of(values: list[Column]) -> list[Column]:
+    pairs = [(i, j) for i in range(len(values)) for j in range(i, len(values))]
+    return [F.sum(x).alias(f"s_{i}") for i, x in enumerate(values)] + [F.sum(values[i] * values[j]).alias(f"s_{i}_{j}") for i, j in pairs]
+
+
+def log_determinant() -> Column:
+    return sum((F.log(F.col(f"l_{i}_{i}")) for i in range(1, len(FEATURES))), F.log("l_0_0")) * 2
+
+
+def starts(rows: DataFrame) -> DataFrame:
+    """KEY, start, m_i, c_i_j: three first estimates a group."""
+    p, own = len(FEATURES), [F.col(f) for f in FEATURES]
+    quartiles = [F.percentile_approx(f, [0.25, 0.5, 0.75], 10000).alias(f"q_{i}") for i, f in enumerate(FEATURES)]
+    first = materialize(rows.groupBy(*KEY).agg(F.count("*").alias("n"), *quartiles, *sums_of(own)), "quality-starts")
+    median, scale = [F.col(f"q_{i}")[1] for i in range(p)], [F.sqrt(((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349) ** 2 + FLOOR**2) for i in range(p)]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
-    for _ in range(steps):
-        bins = (
-            with_distance(rows, params, key, few)
-            .withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * BINS))
-            .groupBy(*key, "bin")
-            .agg(
-                F.count("*").alias("n"),
-                *[F.sum(f).alias(f"s_{i}") for i, f in enumerate(FEATURES)],
-                *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s_{i}_{j}") for i, j in pairs],
-            )
-        )
-        sums = ["n", *[f"s_{i}" for i in range(p)], *[f"s_{i}_{j}" for i, j in pairs]]
-        run = bins.select(*key, "bin", F.col("n").alias("here"), F.sum("n").over(whole).alias("all"), *[F.sum(c).over(below).alias(c) for c in sums])
+    centre = [m.alias(f"m_{i}") for i, m in enumerate(median)]
+    diagonal = first.select(*KEY, F.lit(0).alias("start"), *centre, *[(scale[i] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in pairs])
+    whole = estimate(first, KEY, F.col("n"), 1.0, F.lit(1).alias("start"))
+    named = first.select(*KEY, *centre, *[x.alias(f"scale_{i}") for i, x in enumerate(scale)])
+    turned = rows.join(F.broadcast(named) if named.count() <= FEW_GROUPS else named, KEY).withColumns({f"z_{i}": (own[i] - F.col(f"m_{i}")) / F.col(f"scale_{i}") for i in range(p)})
+    norm = sum((F.col(f"z_{i}") ** 2 for i in range(1, p)), F.col("z_0") ** 2) + 1e-12
+    # rows at the medians themselves have no direction, which the floor makes up for
+    mean = turned.withColumn("norm", norm).groupBy(*KEY).agg(*[F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("norm")).alias(f"u_{i}_{j}") for i, j in pairs])
+    sign = [(F.col(f"u_{i}_{j}") * p * F.col(f"scale_{i}") * F.col(f"scale_{j}") + (FLOOR**2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in pairs]
+    signs = mean.join(named, KEY).select(*KEY, F.lit(2).alias("start"), *[f"m_{i}" for i in range(p)], *sign)
+    return diagonal.unionByName(whole).unionByName(signs)
+
+
+def mcd(rows: DataFrame, share: float, steps: int, few: bool, settled: float = 0.01) -> DataFrame:
+    """A row a group: KEY, n, m_i and c_i_j, with floor and consistency factor. rows: KEY and FEATURES. Ends when no group's
+    determinant falls by more than the share `settled` in a step, and after `steps` at most."""
+    p, factor = len(FEATURES), consistency(share, len(FEATURES))
+    whole = Window.partitionBy(*KEY, "start")
+    below = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    names = [f"m_{i}" for i in range(p)] + [f"c_{i}_{j}" for i in range(p) for j in range(i, p)]
+    with_size = lambda x: cholesky_columns(x, p).withColumn("size", log_determinant())
+    now = materialize(with_size(starts(rows)).select(*KEY, "start", *names, F.lit(None).cast("long").alias("n"), "size", F.lit(None).cast("double").alias("before")), "quality-mcd")
+    for step in range(steps):
+        bins = with_distance(rows, now.select(*KEY, "start", *names), KEY, few).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * BINS))
+        bins = bins.groupBy(*KEY, "start", "bin").agg(F.count("*").alias("n"), *sums_of([F.col(f) for f in FEATURES]))
+        sums = [c for c in bins.columns if c[:2] == "s_" or c == "n"]
+        run = bins.select(*KEY, "start", "bin", F.col("n").alias("here"), F.sum("n").over(whole).alias("all"), *[F.sum(c).over(below).alias(c) for c in sums])
         cut = run.where((F.col("n") >= share * F.col("all")) & (F.col("n") - F.col("here") < share * F.col("all")))
-        params = cut.select(
-            *key,
-            F.col("all").alias("n"),
-            *[(F.col(f"s_{i}") / F.col("n")).alias(f"m_{i}") for i in range(p)],
-            *[
-                ((F.col(f"s_{i}_{j}") / F.col("n") - F.col(f"s_{i}") * F.col(f"s_{j}") / F.col("n") / F.col("n")) * factor + (floor[i] if i == j else 0.0)).alias(
-                    f"c_{i}_{j}"
-                )
-                for i, j in pairs
-            ],
-        )
-    return params
+        new = with_size(estimate(cut, [*KEY, "start"], F.col("n"), factor, F.col("all").alias("n")))
+        new = new.join(now.select(*KEY, "start", F.col("size").alias("before")), [*KEY, "start"])
+        now = materialize(new.select(*KEY, "start", *names, "n", "size", "before"), "quality-mcd")
+        if (now.agg(F.max(F.col("before") - F.col("size"))).first()[0] or 0.0) <= settled and step:
+            break
+    return now.groupBy(*KEY).agg(F.min_by(F.struct("n", *names), F.struct("size", "start")).alias("e")).select(*KEY, "e.*")
 
 
-def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float = 300.0, least: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
+def judge(docs: DataFrame, share: float = 0.75, steps: int = 20, quantile: float = 0.9999, least: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row for each row of docs (doc_id, text, lang, source): the contract's columns, d2 (squared distance), and the
     columns of docs to carry on."""
     stats = materialize(base_statistics(docs, carry), "quality")
-    rows = vectors(stats).withColumns({"g_lang": F.coalesce("lang", F.lit("\0")), "g_source": F.coalesce("source", F.lit("\0"))})
-    fit = rows.where(~F.col("base_failed")).select("g_lang", "g_source", *FEATURES)
-    key = ["g_lang", "g_source"]
-    params = [f"m_{i}" for i in range(len(FEATURES))] + [f"c_{i}_{j}" for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
-    # one estimate at each of three levels; '*' stands for all
-    levels = fit.select(
-        F.explode(F.array(*[F.struct(a.alias("g_lang"), b.alias("g_source")) for a, b in ((F.col("g_lang"), F.col("g_source")), (F.col("g_lang"), F.lit("*")), (F.lit("*"), F.lit("*")))])).alias("g"),
-        *FEATURES,
-    ).select("g.*", *FEATURES)
-    groups = materialize(rows.select(*key).distinct(), "quality-groups")
+    own = ["o_lang", "o_source"]
+    rows = vectors(stats).withColumns({"o_lang": F.coalesce("lang", F.lit("\0")), "o_source": F.coalesce("source", F.lit("\0"))})
+    fit = rows.where(~F.col("base_failed")).select(*own, *FEATURES)
+    # level 0 is a group of its own, 1 a language, 2 all rows
+    counts = fit.groupBy(*own).agg(F.count("*").alias("n"))
+    langs = counts.groupBy("o_lang").agg(F.sum("n").alias("lang_n"))
+    level = F.when(F.col("n") >= least, 0).when(F.col("lang_n") >= least, 1).otherwise(2)
+    groups = counts.join(langs, "o_lang").select(*own, level.alias("level"))
+    asked = groups.groupBy("o_lang").agg(F.max((F.col("level") == 1).cast("int")).alias("by_lang"))
+    groups = materialize(groups.join(asked, "o_lang"), "quality-groups")
+    by_all = not groups.where("level = 2").isEmpty()
     few = 3 * groups.count() <= FEW_GROUPS
-    found = materialize(mcd(levels, key, share, steps, few), "quality-mcd")
-    for level, (a, b) in enumerate((("g_lang", "g_source"), ("g_lang", "*"), ("*", "*"))):
-        of = found.select(F.col("g_lang").alias("x"), F.col("g_source").alias("y"), F.struct("n", *params).alias(f"e{level}"))
-        left_a, left_b = (F.col(a) if a != "*" else F.lit("*")), (F.col(b) if b != "*" else F.lit("*"))
-        groups = groups.join(of, (left_a == F.col("x")) & (left_b == F.col("y")), "left").drop("x", "y")
-    best = F.coalesce(*[F.when(F.col(f"e{i}.n") >= least, F.col(f"e{i}")) for i in range(3)], F.col("e2"))
-    chosen = groups.select(*key, best.alias("e")).where(F.col("e").isNotNull()).select(*key, *[F.col(f"e.{c}").alias(c) for c in params])
-    scored = with_distance(rows.where(~F.col("base_failed")), chosen, key, few)
+    target = lambda k: F.struct(F.lit(k).alias("level"), (F.col("o_lang") if k < 2 else F.lit("")).alias("g_lang"), (F.col("o_source") if k < 1 else F.lit("")).alias("g_source"))
+    wanted = F.array_compact(F.array(F.when(F.col("level") == 0, target(0)), F.when(F.col("by_lang") == 1, target(1)), F.when(F.lit(by_all), target(2))))
+    near = F.broadcast(groups) if few else groups
+    levels = materialize(fit.join(near, own).select(F.explode(wanted).alias("g"), *FEATURES).select("g.*", *FEATURES), "quality-vectors")
+    chosen = mcd(levels, share, steps, few)
+    use = groups.select(*own, F.when(F.col("level") == 0, target(0)).when(F.col("level") == 1, target(1)).otherwise(target(2)).alias("g")).select(*own, "g.*")
+    scored = with_distance(rows.where(~F.col("base_failed")), use.join(chosen.drop("n"), KEY).drop(*KEY), own, few)
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    cutoff = chi_square_quantile(quantile, len(FEATURES))
     return scored.select(*out, (F.col("d2") <= cutoff).alias("kept"), F.col("d2"), *carry).unionByName(
         rows.where("base_failed").select(*out, F.lit(False).alias("kept"), F.lit(None).cast("double").alias("d2"), *carry)
     )
@@ -245,6 +268,7 @@ def judge(docs: DataFrame, share: float = 0.75, steps: int = 3, cutoff: float =
 def keep_good(docs: DataFrame) -> DataFrame:
     """docs without the rows that are rejected. Each row goes or stays by its own lang, source and text, whether its doc_id
     is null, repeated or neither."""
-    keyed = docs.withColumn("of_key", content_key("doc_id", "lang", "source", "text"))
-    gone = judge(keyed, carry=("of_key",)).where(~F.col("kept")).select("of_key").distinct()
-    return keyed.join(gone, "of_key", "left_anti").select(*docs.columns)
+    (key,) = unused(docs, "of_key")
+    keyed = docs.withColumn(key, content_key("doc_id", "lang", "source", "text"))
+    gone = judge(keyed, carry=(key,)).where(~F.col("kept")).select(key).distinct()
+    return keyed.join(gone, key, "left_anti").select(*docs.columns)
