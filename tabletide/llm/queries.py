@@ -21,7 +21,7 @@ def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     rules = spark.createDataFrame(list(url_filter.RULES.items()), "rule string, verdict string")
-    return url_filter.judge(pages, rules, url_filter.listed_hosts(pages))
+    return url_filter.judge(pages, rules, url_filter.listed_pages(pages))
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,5 +70,36 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in QUERIES}
 
 
+#: The same in DuckDB, where SQL can say it: record types by payload digest, and rules by host suffix and path prefix.
+ORACLE = {
+    "op2_warc": """
+        with p as (select page_id, url, coalesce(html, '') as html from pages),
+        d as (select page_id, url, strlen(html)::bigint as payload_bytes, sha1(html) as payload_digest from p),
+        f as (select payload_digest, max(page_id) as first from d where payload_bytes >= 1000 group by 1)
+        select page_id, payload_bytes, payload_digest, url,
+            case when f.first <> page_id then 'revisit' else 'response' end as record_type,
+            case when f.first <> page_id then f.first end as refers_to
+        from d left join f using (payload_digest)
+    """,
+    "op3_url_filter": """
+        with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages),
+        s as (
+            select page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+                regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path
+            from u
+        ),
+        r(rule, verdict) as (values """ + ", ".join(f"('{k}', '{v}')" for k, v in url_filter.RULES.items()) + """),
+        h as (select rule, verdict, substr(rule, 1, instr(rule, '/') - 1) as of_host, substr(rule, instr(rule, '/')) as of_path from r),
+        b as (
+            select page_id, host, path, arg_max(rule, length(rule)) as rule, arg_max(verdict, length(rule)) as verdict
+            from s left join h on (host = of_host or suffix(host, '.' || of_host)) and starts_with(path, of_path)
+            group by all
+        )
+        select page_id, host, path, rule, coalesce(verdict, case when left(md5(host || path), 1) in ('0', '1') then 'block' else 'allow' end) as verdict
+        from b
+    """,
+}
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLE)

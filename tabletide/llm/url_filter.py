@@ -6,11 +6,13 @@ label borders, each with the prefixes of its path that have a listed rule's path
 cascade: level 0 is a Bloom filter of the listed keys; level 1 one of the keys of the corpus that pass level 0 without
 being listed; level 2 one of the listed keys that pass level 1; and so on until a level passes nothing wrongly. As the
 levels are built over every key of the corpus, the answer is exact for all of them, and no key is joined with a list.
-Allowing and blocking rules have a cascade each. A url that no rule fits is judged by a third cascade, over hosts.
+Allowing and blocking rules have a cascade each. A url that no rule fits is judged by a third cascade, over hosts with
+their whole paths.
 
 Filters are binary values in the plan. A cascade is built for one part of the keys (by hash) at a time, with as many
-parts as keep a part's level 0 within `part_bytes`; parts are looked up one after the other, so what tasks are sent
-doesn't grow with the list.
+parts as keep a part's level 0 within `part_bytes`; a bounded number of parts is looked up in a pass, so what tasks are
+sent doesn't grow with the list. Should levels not end, as with keys that share all hashes, the listed keys that pass
+all MOST_LEVELS of them are kept as they are.
 
 Host: after the first `://` up to `/`, `?`, `#` or the end, A-Z lower-cased; path: then up to `?`, `#` or the end.
 
@@ -23,6 +25,7 @@ import math
 import string
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +34,10 @@ from tabletide.llm.common import materialize
 
 #: The contract's rules.
 RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block", "com/fr/": "allow", "com/de/": "block"}
-#: Words in a host label by which the query's host list is made.
-LISTED_WORDS = ("adult", "casino", "porn", "spam")
+#: First digits of the MD5 of the pages in the query's list.
+LISTED_DIGITS = ("0", "1")
+BITS = 7  # of a filter's byte that are used, so that it is a character
+MOST_LEVELS = 40
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -51,9 +56,19 @@ def key_column(host: Column, path: Column, lengths: list[int]) -> Column:
     return F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda p: F.concat(s, p))))
 
 
+def spot(key: Column, number: int, i: int, size: int) -> Column:
+    """The i-th bit of a key in the filter of this number. The hash of a value is the seed of the next one's, so the key comes
+    last: before the numbers, two keys that share one hash would share the bits of all levels."""
+    return F.pmod(F.xxhash64(F.lit(number), F.lit(i), key), F.lit(size))
+
+
+def mask_of(at: Column) -> Column:
+    return F.get(F.array(*[F.lit(1 << b) for b in range(BITS)]), (at % BITS).cast("int"))
+
+
 @dataclass
 class Level:
-    """A Bloom filter: bits as a binary value (bit b is bit b % 8 of byte b // 8)."""
+    """A Bloom filter: bits as a binary value (bit b is bit b % BITS of byte b // BITS)."""
 
     number: int
     hashes: int
@@ -63,10 +78,9 @@ class Level:
         table = F.lit(self.bits)
 
         def one(i: int) -> Column:
-            at = F.pmod(F.xxhash64(key, F.lit(self.number), F.lit(i)), F.lit(8 * len(self.bits)))
-            byte = F.conv(F.hex(F.substring(table, F.shiftright(at, 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-            mask = F.get(F.array(*[F.lit(1 << b) for b in range(8)]), (at % 8).cast("int"))
-            return mask.bitwiseAND(byte) != 0
+            at = spot(key, self.number, i, BITS * len(self.bits))
+            byte = F.ascii(F.substring(table, F.floor(at / BITS).cast("int") + 1, F.lit(1)).cast("string"))
+            return mask_of(at).bitwiseAND(byte) != 0
 
         found = one(0)
         for i in range(1, self.hashes):
@@ -75,87 +89,103 @@ class Level:
 
 
 @dataclass
-class Cascade:
-    """parts[p] has the levels for the keys of part p."""
+class Part:
+    """Levels for a part of the keys. last: the listed keys among those that pass all levels, if the levels had to end."""
+
+    levels: list[Level] = field(default_factory=list)
+    last: list[str] | None = None
+
+    def has(self, key: Column) -> Column:
+        """Whether a key of this part is listed; exact for the keys over which the cascade was built."""
+        chain = None
+        for i, x in enumerate(self.levels):
+            missed, answer = ~x.passes(key), F.lit(i % 2 == 1)
+            chain = F.when(missed, answer) if chain is None else chain.when(missed, answer)
+        if chain is None:
+            return F.lit(False)
+        return chain.otherwise(F.lit(len(self.levels) % 2 == 1) if self.last is None else key.isin(self.last))
 
-    parts: list[list[Level]] = field(default_factory=list)
+
+@dataclass
+class Cascade:
+    parts: list[Part] = field(default_factory=list)
 
     def part_of(self, key: Column) -> Column:
-        return F.pmod(F.xxhash64(key, F.lit("part")), F.lit(len(self.parts)))
+        return F.pmod(F.xxhash64(F.lit("part"), key), F.lit(len(self.parts)))
 
-    def listed_in(self, part: int) -> Callable[[Column], Column]:
-        return lambda key: (self.part_of(key) == part) & self.has(part, key)
+    def has(self, numbers: list[int]) -> Callable[[Column], Column]:
+        """Whether a key is in one of these parts and listed."""
 
-    def has(self, part: int, key: Column) -> Column:
-        """Whether a key of this part is listed; exact for the keys over which the cascade was built."""
-        levels = self.parts[part]
-        if not levels:
-            return F.lit(False)
-        chain = None
-        for i, x in enumerate(levels):
-            missed = ~x.passes(key)
-            chain = F.when(missed, F.lit(i % 2 == 1)) if chain is None else chain.when(missed, F.lit(i % 2 == 1))
-        return chain.otherwise(F.lit(len(levels) % 2 == 1))
+        def one(key: Column) -> Column:
+            chain = F.when(F.lit(False), F.lit(False))
+            for k in numbers:
+                chain = chain.when(self.part_of(key) == k, self.parts[k].has(key))
+            return chain.otherwise(F.lit(False))
+
+        return one
 
 
 def bloom(keys: DataFrame, n: int, rate: float, number: int) -> Level:
     """A filter of n keys. Its bits are put together by bit_or before they come to the driver, a bounded number."""
-    size = max(64, 8 * math.ceil(n * -math.log(rate) / math.log(2) ** 2 / 8))
+    size = BITS * max(8, math.ceil(n * -math.log(rate) / math.log(2) ** 2 / BITS))
     hashes = max(1, round(size / max(n, 1) * math.log(2)))
-    spots = keys.select(F.explode(F.array(*[F.pmod(F.xxhash64("key", F.lit(number), F.lit(i)), F.lit(size)) for i in range(hashes)])).alias("at"))
-    masks = F.array(*[F.lit(1 << b) for b in range(8)])
-    bytes_ = spots.groupBy(F.shiftright("at", 3).cast("int").alias("byte")).agg(F.bit_or(F.get(masks, (F.col("at") % 8).cast("int"))).alias("v"))
-    table = bytearray(size // 8)
-    for r in bytes_.collect():  # at most size // 8 rows, which part_bytes bounds
+    spots = keys.select(F.explode(F.array(*[spot(F.col("key"), number, i, size) for i in range(hashes)])).alias("at"))
+    bytes_ = spots.groupBy(F.floor(F.col("at") / BITS).cast("int").alias("byte")).agg(F.bit_or(mask_of(F.col("at"))).alias("v"))
+    table = bytearray(size // BITS)
+    for r in bytes_.collect():  # at most size // BITS rows, which part_bytes bounds
         table[r["byte"]] = r["v"]
     return Level(number, hashes, bytes(table))
 
 
-def build(universe: DataFrame, part_bytes: int = 1 << 20) -> Cascade:
+def build(universe: DataFrame, part_bytes: int = 1 << 20, most_levels: int = MOST_LEVELS) -> Cascade:
     """universe: (key, listed), every key of the corpus and of the list, repeats allowed."""
     keys = materialize(universe.groupBy("key").agg(F.max("listed").alias("listed")), "url-keys")
     total, listed = (int(x or 0) for x in keys.agg(F.count("*"), F.sum(F.col("listed").cast("int"))).first())
     rate = min(0.5, max(1e-9, math.sqrt(0.5) * listed / max(1, total - listed)))
-    parts = max(1, math.ceil(listed * -math.log(rate) / math.log(2) ** 2 / 8 / part_bytes))
-    found = Cascade([[] for _ in range(parts)])
-    for part in range(parts if listed else 0):
-        own = keys.where(found.part_of(F.col("key")) == part) if parts > 1 else keys
+    parts = max(1, math.ceil(listed * -math.log(rate) / math.log(2) ** 2 / BITS / part_bytes))
+    found = Cascade([Part() for _ in range(parts)])
+    for k in range(parts if listed else 0):
+        own = keys.where(found.part_of(F.col("key")) == k) if parts > 1 else keys
         inside, outside = own.where("listed"), own.where(~F.col("listed"))
-        n = listed if parts == 1 else inside.count()
+        part, n = found.parts[k], listed if parts == 1 else inside.count()
         while n:
-            level = len(found.parts[part])
-            found.parts[part].append(bloom(inside, n, rate if level == 0 else 0.5, level))
-            wrong = outside.where(found.parts[part][-1].passes(F.col("key")))
+            level = len(part.levels)
+            if level == most_levels:  # what is left halves with each level, so this is nothing or a handful
+                part.last = [r["key"] for r in own.where("listed").where(reduce(lambda a, b: a & b, [x.passes(F.col("key")) for x in part.levels])).collect()]
+                break
+            part.levels.append(bloom(inside, n, rate if level == 0 else 0.5, level))
+            wrong = outside.where(part.levels[-1].passes(F.col("key")))
             inside, outside = wrong, inside
             n = inside.count()
     return found
 
 
-def lookup(rows: DataFrame, keys: str, cascade: Cascade, to: str) -> DataFrame:
-    """rows with the column `to`: those of the array column `keys` that the cascade has."""
+def lookup(rows: DataFrame, keys: str, cascade: Cascade, to: str, at_once: int = 32) -> DataFrame:
+    """rows with the column `to`: those of the array column `keys` that the cascade has. A pass over the rows has the
+    filters of `at_once` parts."""
     rows = rows.withColumn(to, F.array().cast("array<string>"))
-    for part in range(len(cascade.parts)):
-        mine = F.filter(F.col(keys), cascade.listed_in(part))
-        rows = rows.withColumn(to, F.concat(F.col(to), mine))
-        if part:
+    for first in range(0, len(cascade.parts), at_once):
+        own = list(range(first, min(first + at_once, len(cascade.parts))))
+        rows = rows.withColumn(to, F.concat(F.col(to), F.filter(F.col(keys), cascade.has(own))))
+        if own[-1] + 1 < len(cascade.parts):
             rows = materialize(rows, "url-part")
     return rows
 
 
-def judge(pages: DataFrame, rules: DataFrame, hosts: DataFrame, part_bytes: int = 1 << 20) -> DataFrame:
+def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, part_bytes: int = 1 << 20) -> DataFrame:
     """One row for each row of pages (page_id, url): page_id, host, path, rule, verdict.
 
-    rules: (rule, verdict); hosts: (host), listed hosts: a url that no rule fits is blocked if its host is listed."""
+    rules: (rule, verdict); listed: (key), hosts followed by a path: a url that no rule fits is blocked if its own is listed."""
     host, path = split_url(F.col("url"))
     lengths = [r[0] for r in rules.select(F.length(F.substring("rule", F.expr("greatest(instr(rule, '/'), 1)"), F.length("rule"))).alias("n")).distinct().orderBy("n").collect()]
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
-    rows = materialize(rows.withColumn("keys", key_column(F.col("host"), F.col("path"), lengths)).withColumn("hosts", F.array("host")), "url-rows")
+    rows = materialize(rows.withColumn("keys", key_column(F.col("host"), F.col("path"), lengths)).withColumn("own", F.array(F.concat("host", "path"))), "url-rows")
     universe = rows.select(F.explode("keys").alias("key"), F.lit(False).alias("listed"))
     for verdict in ("allow", "block"):
         mine = rules.where(F.col("verdict") == verdict).select(F.col("rule").alias("key"), F.lit(True).alias("listed"))
         rows = lookup(rows, "keys", build(universe.unionByName(mine), part_bytes), verdict)
-    known = rows.select(F.col("host").alias("key"), F.lit(False).alias("listed"))
-    rows = lookup(rows, "hosts", build(known.unionByName(hosts.select(F.col("host").alias("key"), F.lit(True).alias("listed"))), part_bytes), "listed")
+    known = rows.select(F.concat("host", "path").alias("key"), F.lit(False).alias("listed"))
+    rows = lookup(rows, "own", build(known.unionByName(listed.select("key", F.lit(True).alias("listed"))), part_bytes), "listed")
     hit = lambda v: F.transform(F.col(v), lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit(v).alias("verdict")))
     best = F.array_max(F.concat(hit("allow"), hit("block")))
     return rows.withColumn("best", best).select(
@@ -164,6 +194,8 @@ def judge(pages: DataFrame, rules: DataFrame, hosts: DataFrame, part_bytes: int
     )
 
 
-def listed_hosts(pages: DataFrame) -> DataFrame:
-    """The query's host list: hosts of the corpus with a listed word at the start of a part of a label."""
-    return pages.select(split_url(F.col("url"))[0].alias("host")).where(F.col("host").rlike(rf"(^|[.-])({'|'.join(LISTED_WORDS)})")).distinct()
+def listed_pages(pages: DataFrame) -> DataFrame:
+    """The query's list of blocked pages, which stands in for one that someone keeps: those of the corpus whose MD5 begins
+    with one of LISTED_DIGITS. Nothing in a key shows whether it is listed."""
+    host, path = split_url(F.col("url"))
+    return pages.select(F.concat(host, path).alias("key")).where(F.substring(F.md5("key"), 1, 1).isin(*LISTED_DIGITS)).distinct()

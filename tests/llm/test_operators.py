@@ -103,7 +103,7 @@ def judged(url, rules, listed):
         at = q.index("/")
         if (host == q[:at] or host.endswith("." + q[:at])) and path.startswith(q[at:]) and (best is None or len(q) > len(best)):
             best = q
-    return host, path, best, rules[best] if best else "block" if host in listed else "allow"
+    return host, path, best, rules[best] if best else "block" if host + path in listed else "allow"
 
 
 @pytest.mark.parametrize("part_bytes", [1 << 20, 8])
@@ -114,8 +114,8 @@ def test_url_filter(spark, part_bytes):
     urls = [None, "", "no scheme", "http://", "://org/"] + [f"http://{r.choice(hosts)}{r.choice(paths)}" for _ in range(120)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("x"))
     rules = spark.createDataFrame(list(url_filter.RULES.items()), "rule string, verdict string")
-    listed = ["de", "example.com", "never.seen"]
-    got = url_filter.judge(pages, rules, spark.createDataFrame([(x,) for x in listed], "host string"), part_bytes).collect()
+    listed = ["de", "example.com/", "a.example.org/deep/er", "m.example.com?", "never.seen"]
+    got = url_filter.judge(pages, rules, spark.createDataFrame([(x,) for x in listed], "key string"), part_bytes).collect()
     assert {x.page_id: (x.host, x.path, x.rule, x.verdict) for x in got} == {i: judged(u, url_filter.RULES, listed) for i, u in enumerate(urls)}
 
 
