@@ -14,10 +14,10 @@ is 0. Else shorter lines are kept, as blank ones always are. Lines are judged on
    (a broadcast if they are at most FEW_KEYS, else a join).
 3. One earlier near line is enough. Each line is first compared with the earliest line of each of its keys.
 4. Lines that this leaves open are compared with all earlier lines of a key if the key has at most `group` lines. A larger
-   group is divided, and steps 3 and 4 are repeated for what it falls into: first by the counts of sets of letters, of
-   which one set at least agrees; then, as often as needed, by further segments: of the parts of the lines before and
-   behind the segment, each with the edits that it may have, the longest is taken, what all lines of the group have at
-   both its ends is taken off, and the core is cut into segments again. So no group is paired whole, however
+   group is divided, and steps 3 and 4 are repeated for what it falls into: first by where the lines leave the group's
+   earliest one, from the start and then from the end; then by a further segment, and so on in turn: of the parts of the lines
+   before and behind the segment, each with the edits that it may have, the longest is taken, what all lines of the group have
+   at both its ends is taken off, and the core is cut into segments again. So no group is paired whole, however
    many different lines share a segment. Only groups whose every remaining part is shorter than its segments would be
    (at most 2 * distance characters, so a bounded number of different lines) are.
 5. Pairs must agree in their letter counts, are fetched once and verified by a banded bit-parallel edit distance on what is
@@ -38,11 +38,10 @@ from tabletide.llm.common import materialize, two_hashes, unused
 from tabletide.llm.quality import WORD, let
 
 FEW_KEYS = 400_000
-GROUP = 32
+GROUP = 64
 INDEX, PROBE = 1, 2
 LETTERS = " aeinorst"
 COUNTS = [f"c{i}" for i in range(len(LETTERS))]
-FREQUENT = "etaoinsrhldcumfpgwyb"
 PARTS = "array<struct<s:int,e:int,d:int>>"
 DOC = ["doc_id", "t1", "t2"]
 
@@ -117,9 +116,13 @@ def counts_agree(distance: int) -> Column:
 
 def shared_start(a: Column, b: Column) -> Column:
     """How many characters a and b have in common at their start (or a little less, beyond two million)."""
-    most = F.least(F.length(a), F.length(b))
-    longer = lambda p, w: F.when((p + w <= most) & (F.substring(a, p + 1, w) == F.substring(b, p + 1, w)), p + w).otherwise(p)
-    return F.aggregate(F.array(*[F.lit(1 << k) for k in range(20, -1, -1)]), F.lit(0), longer)
+
+    def run(t: Column) -> Column:
+        same = lambda p, w: F.substring(t["a"], p + 1, w) == F.substring(t["b"], p + 1, w)
+        longer = lambda p, w: F.when((p + w <= t["most"]) & same(p, w), p + w).otherwise(p)
+        return F.aggregate(F.array(*[F.lit(1 << k) for k in range(20, -1, -1)]), F.lit(0), longer)
+
+    return let(F.struct(a.alias("a"), b.alias("b"), F.least(F.length(a), F.length(b)).alias("most")), run)
 
 
 def within(a: Column, b: Column, distance: int) -> Column:
@@ -235,14 +238,40 @@ def refined(rows: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
     return keyed.select("*", parts_left(F.col("others")).alias("parts")).groupBy("key", *keep, "parts").agg(F.bit_or("side").alias("side"))
 
 
-def by_letters(rows: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
-    """rows of large groups, with keys that share the counts of some letters: an edit changes two counts at most, so of
-    2 * distance + 1 sets of letters one set has the same counts in both lines of a pair."""
-    sets = 2 * distance + 1
-    count = lambda x: F.length("line") - F.length(F.replace(F.col("line"), F.lit(x), F.lit("")))
-    keys = [F.xxhash64("key", F.lit(k), *[count(x) for x in FREQUENT[k::sets]]) for k in range(sets)]
-    keep = ["h1", "h2", "first", "n", *COUNTS, "open", "parts", "side"]
-    return rows.join(texts, ["h1", "h2"]).select(*keep, F.explode(F.array(*keys)).alias("key"))
+def by_pivot(rows: DataFrame, texts: DataFrame, distance: int, backward: bool) -> DataFrame:
+    """rows of large groups, with keys that share a place of the group's earliest line, the pivot. p is where a line leaves the
+    pivot, and reach how far in the pivot a prefix of the line comes with `distance` edits (the furthest-reaching points of
+    Ukkonen and Myers). Of a near pair, the line that leaves later is the pivot up to there, so the other's
+    reach is not less: they meet at the later p, which the later line indexes and the other one probes. Backward:
+    the same from the lines' ends."""
+    turn = F.reverse if backward else (lambda x: x)
+    pivots = rows.groupBy("key").agg(F.min(F.struct("first", "h1", "h2")).alias("e")).select("key", "e.h1", "e.h2")
+    pivots = pivots.join(texts, ["h1", "h2"]).select("key", turn(F.col("line")).alias("r"))
+    own = rows.join(texts, ["h1", "h2"]).withColumn("a", turn(F.col("line"))).drop("line").join(pivots, "key")
+    after = lambda x, at: F.substring(x, at + 1, F.length(x))
+
+    def held(df: DataFrame, values: dict[str, Column]) -> DataFrame:
+        """df with these columns; the explode of one struct keeps their expressions from being written out in the next ones'."""
+        one = F.explode_outer(F.array(F.struct(*[x.alias(c) for c, x in values.items()]))).alias("held")
+        return df.select("*", one).select(*df.columns, "held.*")
+
+    reached: dict[int, str] = {}  # by diagonal (place in a less place in the pivot): column with the place in the pivot
+    for k in range(distance + 1):
+        starts, ends = {}, {}
+        for g in range(-k, k + 1):
+            before = [F.col(reached[g + by]) + step for by, step in ((0, 1), (-1, 0), (1, 1)) if g + by in reached]
+            at = F.greatest(*before) if len(before) > 1 else before[0] if before else F.lit(0)
+            starts[f"from_{k}_{g + k}"] = F.greatest(F.least(at, F.length("r"), F.length("a") - g), F.lit(max(0, -g)))
+            at = F.col(f"from_{k}_{g + k}")
+            ends[f"to_{k}_{g + k}"] = at + shared_start(after(F.col("a"), at + g), after(F.col("r"), at))
+        own = held(held(own, starts), ends)
+        reached = {g: f"to_{k}_{g + k}" for g in range(-k, k + 1)}
+    reach = F.greatest(F.col("to_0_0"), *[F.col(c) for c in reached.values()])
+    # outer, for which no filter is inferred: it would be pushed down and write all of the above out again
+    places = own.withColumn("place", F.explode_outer(F.sequence(F.col("to_0_0"), reach)))
+    side = F.when(F.col("place") == F.col("to_0_0"), F.lit(INDEX + PROBE)).otherwise(F.lit(PROBE))
+    keep = ["h1", "h2", "first", "n", *COUNTS, "open", "parts"]
+    return places.select(*keep, F.xxhash64("key", F.lit(backward), "place").alias("key"), side.alias("side"))
 
 
 def near_earlier(docs: DataFrame, firsts: DataFrame, distance: int, least: int, group: int = GROUP) -> DataFrame:
@@ -279,8 +308,9 @@ def near_earlier(docs: DataFrame, firsts: DataFrame, distance: int, least: int,
         found.append(materialize(verified(small.alias("a").join(small.alias("b"), alike & sides), texts, distance), "line-near"))
         if kept.where(large).isEmpty():
             break
-        divided = by_letters if len(found) == 2 else refined
-        rows = materialize(divided(still_open(kept.where(large).drop("size"), found[-1]), texts, distance), "line-rows")
+        rest, level = still_open(kept.where(large).drop("size"), found[-1]), len(found) // 2
+        divided = refined(rest, texts, distance) if level % 3 == 0 else by_pivot(rest, texts, distance, level % 3 == 2)
+        rows = materialize(divided, "line-rows")
     every = found[0]
     for x in found[1:]:
         every = every.unionByName(x)

@@ -245,7 +245,8 @@ def edit(a, b):
     return p[-1]
 
 
-def test_line_dedup(spark, none):
+@pytest.mark.parametrize("group", [64, 3])
+def test_line_dedup(spark, none, group):
     r = random.Random(2)
     base = ["".join(r.choice("abcé ") for _ in range(r.randint(18, 30))) for _ in range(25)]
     lines = base[:]
@@ -266,8 +267,10 @@ def test_line_dedup(spark, none):
                 if any(abs(len(x) - len(y)) <= 2 and edit(x, y) <= 2 for y in seen):
                     want[k].append(i)
                 seen.append(x)
-    assert {x.doc_id: x.removed_lines for x in line_dedup.line_report(df).collect()} == want
-    for x in line_dedup.drop_repeated_lines(df).collect():
+    assert {x.doc_id: x.removed_lines for x in line_dedup.line_report(df, group=group).collect()} == want
+    if group == 3:
+        return
+    for x in line_dedup.drop_repeated_lines(df.withColumns({c: F.lit(0) for c in ("of_doc", "of_lines", "of_text")})).collect():
         if want[x.doc_id]:
             kept = "\n".join(y for i, y in enumerate(texts[x.doc_id].split("\n")) if i not in want[x.doc_id])
             assert (x.text, x.n_chars) == (kept, len(kept))
@@ -332,3 +335,21 @@ def test_links_in_small_blocks(spark):
             label[b] = a
         names = {}
         assert all(names.setdefault(top(x), w) == w for x, w in zip(signed, want, strict=True)) and len(set(names.values())) == len(names)
+
+
+def test_large_groups_of_variants(spark):
+    """Variants of one line share segments with each other: the group is divided, and no near pair is lost by it."""
+    r = random.Random(6)
+    base, lines = "".join(r.choice("abcdefgh ") for _ in range(48)), []
+    for k in range(60):
+        y = list(base)
+        for _ in range(1 + k % 6):
+            at = r.randrange(len(y))
+            y[at : at + r.randint(0, 1)] = r.choice(["", "a", "é", "bc"])
+        lines.append("".join(y))
+    lines += [f"Page {r.randrange(2000)} of a long text for all" for _ in range(40)]
+    r.shuffle(lines)
+    want = [k for k, x in enumerate(lines) if any(abs(len(x) - len(y)) <= 2 and edit(x, y) <= 2 for y in lines[:k])]
+    df = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+    got = {x.doc_id for x in line_dedup.line_report(df, group=8).collect() if x.n_removed}
+    assert got == set(want) and 10 < len(want) < 90
