@@ -11,7 +11,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from tabletide.llm import decontam, line_dedup, queries, toxicity
+from tabletide.llm import decontam, line_dedup, queries, substring_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -81,3 +81,19 @@ def test_training_rows_that_share_a_passage_stay(spark):
     rows += [(20, 20, long, 0), (21, 21, long + " extra", 0), (22, 22, long + " extra", 1), (23, 20, long, 0), (24, 24, "", 0), (25, 25, None, 0)]
     got = toxicity.one_of_copies(spark.createDataFrame(rows, "row long, doc_id long, text string, toxic int")).collect()
     assert sorted(r.row for r in got) == [*range(10), 20, 22, 24]
+
+
+def test_second_hash_is_not_a_function_of_the_first(spark):
+    from pyspark.sql import functions as F
+
+    from tabletide.llm.common import two_hashes
+
+    h1, h2 = two_hashes(F.col("x"))
+    row = spark.createDataFrame([("some text",)], "x string").select(h1.alias("h1"), h2.alias("h2"), F.xxhash64("x", F.lit(1)).alias("chained")).first()
+    assert row.h2 != row.chained
+
+
+def test_texts_of_one_doc_id_are_told_apart(spark):
+    w, v = words_of(1, 25), words_of(2, 25)
+    got = substring_dedup.remove_repeats(documents(spark, [(1, w), (2, w), (2, v), (None, v[:-1] + ".")]), with_text=True).collect()
+    assert Counter((r.doc_id, r.n_removed, r.kept_text) for r in got) == Counter([(1, 0, w), (2, 25, ""), (2, 25, ""), (None, 0, v)])
