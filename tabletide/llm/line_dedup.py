@@ -13,8 +13,8 @@ is 0. Else shorter lines are kept, as blank ones always are. Lines are judged on
    greatest of either half of the line hash: only keys that different lines share go on, and lines come back to those only
    (a broadcast if they are at most FEW_KEYS, else a join).
 3. One earlier near line is enough. Each line is first compared with the earliest line of each of its keys.
-4. Lines that this leaves open are compared with all earlier lines of a key if the key has at most `group` lines. A larger
-   group is divided, and steps 3 and 4 are repeated for what it falls into: first by where the lines leave the group's
+4. Lines that this leaves open are compared with the others of a key, those that index it with those that probe it, if at most
+   `group` lines index it (twice that after each division, but no more than WIDEST times): so a row makes at most WIDEST * `group` pairs. A larger group is divided, and steps 3 and 4 are repeated for what it falls into: first by where the lines leave the group's
    earliest one, from the start and then from the end; then by a further segment, and so on in turn: of the parts of the lines
    before and behind the segment, each with the edits that it may have, the longest is taken, what all lines of the group have
    at both its ends is taken off, and the core is cut into segments again. So no group is paired whole, however
@@ -40,7 +40,8 @@ from tabletide.llm.quality import WORD, let
 FEW_KEYS = 400_000
 GROUP = 64
 INDEX, PROBE = 1, 2
-LETTERS = " aeinorst"
+WIDEST, BLOCK = 8, 32
+LETTERS = " aeinorstdhlu.,w"
 COUNTS = [f"c{i}" for i in range(len(LETTERS))]
 PARTS = "array<struct<s:int,e:int,d:int>>"
 DOC = ["doc_id", "t1", "t2"]
@@ -131,7 +132,8 @@ def within(a: Column, b: Column, distance: int) -> Column:
     Bit k of a word stands for row j - distance + k of column j of the dynamic program (rows are a's characters). up and
     down are the vertical steps of the last column, moved to the rows of this one. The value at the band's lowest row is
     followed along the diagonal until that row is a's last, and then along the row. Neighbours differ by one at most and
-    a diagonal never falls, so a value over three times the distance can't come back, and the rest is passed over."""
+    a diagonal never falls, so a value over three times the distance can't come back, and the rest is passed over, by blocks of
+    columns."""
     width = 2 * distance + 1
     whole = (1 << width) - 1
     a_chars, b_chars = F.split(a, "", -1), F.split(b, "", -1)
@@ -155,7 +157,11 @@ def within(a: Column, b: Column, distance: int) -> Column:
                     after,
                 ),
             )
-            return F.when(s["value"] > 3 * distance, s).otherwise(moved)
+            return moved
+
+        def block(s: Column, first: Column) -> Column:
+            own = F.aggregate(F.sequence(first, F.least(first + (BLOCK - 1), columns)), s, step)
+            return F.when(s["value"] > 3 * distance, s).otherwise(own)
 
         def after(y: Column) -> Column:
             level, t = y["level"], y["t"]
@@ -170,7 +176,7 @@ def within(a: Column, b: Column, distance: int) -> Column:
             return F.struct(up.alias("up"), next_level.bitwiseAND(right).alias("down"), (t["value"] + change).alias("value"))
 
         start = F.struct(F.lit(whole - (1 << distance) + 1).alias("up"), F.lit(0).alias("down"), F.least(F.lit(distance), rows).alias("value"))
-        return F.when(columns == 0, rows <= distance).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(columns, F.lit(1))), start, step, lambda s: s["value"] <= distance))
+        return F.when(columns == 0, rows <= distance).otherwise(F.aggregate(F.sequence(F.lit(1), F.greatest(columns, F.lit(1)), F.lit(BLOCK)), start, block, lambda s: s["value"] <= distance))
 
     packed = F.struct(F.length(a).alias("m"), F.length(b).alias("n"), a_chars.alias("p"), b_chars.alias("q"))
     return let(packed, run)
@@ -197,8 +203,9 @@ def near(a: Column, b: Column, distance: int) -> Column:
 
 
 def verified(pairs: DataFrame, texts: DataFrame, distance: int) -> DataFrame:
-    """(h1, h2) of the lines b of pairs (aliases a, b) that are within the distance of their a."""
-    ids = [F.col(f"{x}.h{i}").alias(f"{x}{i}") for x in "ab" for i in (1, 2)]
+    """(h1, h2) of the later lines of pairs (aliases a, b) that are within the distance of the earlier ones."""
+    turned = F.col("a.first") > F.col("b.first")
+    ids = [F.when(turned, F.col(f"{y}.h{i}")).otherwise(F.col(f"{x}.h{i}")).alias(f"{x}{i}") for x, y in ("ab", "ba") for i in (1, 2)]
     line = lambda x: texts.select(F.col("h1").alias(f"{x}1"), F.col("h2").alias(f"{x}2"), F.col("line").alias(f"line_{x}"))
     both = pairs.select(*ids).distinct().join(line("a"), ["a1", "a2"]).join(line("b"), ["b1", "b2"])
     return both.where(near(F.col("line_a"), F.col("line_b"), distance)).select(F.col("b1").alias("h1"), F.col("b2").alias("h2")).distinct()
@@ -291,21 +298,23 @@ def near_earlier(docs: DataFrame, firsts: DataFrame, distance: int, least: int,
     rows = candidates.select("h1", "h2", "first", "n", *COUNTS, "open", F.explode("keys").alias("k")).select("*", "k.*").drop("k")
 
     same = (F.col("a.key") == F.col("b.key")) & (F.col("a.first") < F.col("b.first")) & F.col("b.open")
-    alike = same & (F.abs(F.col("a.n") - F.col("b.n")) <= distance) & counts_agree(distance)
-    sides = F.col("a.side").bitwiseOR(F.col("b.side")) == INDEX + PROBE
+    alike = (F.abs(F.col("a.n") - F.col("b.n")) <= distance) & counts_agree(distance)
+    indexes = F.col("side").bitwiseAND(INDEX) > 0
+    before, after = F.col("a.first") < F.col("b.first"), F.col("a.first") > F.col("b.first")
+    met = (F.col("a.key") == F.col("b.key")) & ((before & F.col("b.open")) | (after & F.col("a.open") & (F.col("b.side") == PROBE)))
     found: list[DataFrame] = []
     while True:
         top = rows.groupBy("key").agg(F.min(F.struct("first", "h1", "h2", "n", *COUNTS)).alias("e")).select("key", "e.*")
-        found.append(materialize(verified(top.alias("a").join(rows.alias("b"), alike), texts, distance), "line-near"))
+        found.append(materialize(verified(top.alias("a").join(rows.alias("b"), same & alike), texts, distance), "line-near"))
         state = still_open(rows, found[-1])
         keys = state.groupBy("key").agg(
-            F.count("*").alias("size"), F.max(F.when(F.col("open"), F.col("first"))).alias("last"), F.min("first").alias("head"), F.bit_or("side").alias("sides")
+            F.count_if(indexes).alias("size"), F.max(F.when(F.col("open"), F.col("first"))).alias("last"), F.min("first").alias("head"), F.bit_or("side").alias("sides")
         )
         useful = keys.where((F.col("last") > F.col("head")) & (F.col("sides") == INDEX + PROBE)).select("key", "size", "last")
         kept = materialize(state.join(useful, "key").where(F.col("first") <= F.col("last")).drop("last"), "line-open")
-        large = (F.col("size") > group) & (F.size("parts") > 0)
+        large = (F.col("size") > group * min(1 << len(found) // 2, WIDEST)) & (F.size("parts") > 0)
         small = kept.where(~large)
-        found.append(materialize(verified(small.alias("a").join(small.alias("b"), alike & sides), texts, distance), "line-near"))
+        found.append(materialize(verified(small.where(indexes).alias("a").join(small.alias("b"), met & alike), texts, distance), "line-near"))
         if kept.where(large).isEmpty():
             break
         rest, level = still_open(kept.where(large).drop("size"), found[-1]), len(found) // 2
