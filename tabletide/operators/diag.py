@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabletide.functions import lookup
@@ -23,19 +25,21 @@ def log_level_filter(lines: DataFrame, settings: DataFrame) -> DataFrame:
 
 def log_rotation(sessions: DataFrame, limit: int = ROTATION_LIMIT) -> DataFrame:
     """device_id, session_no, start_bytes, rotated, generation of sessions (device_id, session_no, bytes). The file grows over
-    sessions; at a session's start it is moved away if it is larger than limit, and begins at 0."""
-    own = sessions.groupBy("device_id").agg(F.array_sort(F.collect_list(F.struct("session_no", "bytes"))).alias("s"))
-
-    def step(done: Column, x: Column) -> Column:
-        size = F.coalesce(F.get(done, F.size(done) - 1)["end"], F.lit(0).cast("bigint"))
-        generation = F.coalesce(F.get(done, F.size(done) - 1)["generation"], F.lit(0))
-        rotated = size > limit
-        entry = F.struct(
-            x["session_no"].cast("bigint").alias("session_no"), size.alias("start_bytes"), rotated.alias("rotated"),
-            (generation + rotated.cast("int")).alias("generation"), (F.when(rotated, F.lit(0).cast("bigint")).otherwise(size) + x["bytes"]).alias("end"),
-        )
-        return F.concat(done, F.array(entry))
-
-    empty = F.array().cast("array<struct<session_no:bigint,start_bytes:bigint,rotated:boolean,generation:int,end:bigint>>")
-    rows = own.select("device_id", F.explode(F.aggregate("s", empty, step)).alias("x"))
-    return rows.select("device_id", "x.session_no", "x.start_bytes", "x.rotated", "x.generation")
+    sessions; at a session's start it is moved away if it is larger than limit, and begins at 0. A session without bytes
+    adds none. Each rotation is found in the running totals by a binary search, so a device's sessions are read once."""
+
+    def rotate(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("session_no", kind="stable")
+        total = np.concatenate([[0], own["bytes"].fillna(0).astype("int64").cumsum()])
+        begins, rotated = [0], np.zeros(len(own), bool)
+        while (at := int(np.searchsorted(total, total[begins[-1]] + limit, side="right"))) < len(own):
+            begins.append(at)
+            rotated[at] = True
+        generation = rotated.cumsum()
+        start = total[:-1] - total[np.array(begins)[generation - rotated]]
+        columns = {"device_id": own["device_id"], "session_no": own["session_no"], "start_bytes": start, "rotated": rotated, "generation": generation}
+        return pd.DataFrame(columns)
+
+    device = sessions.schema["device_id"].dataType.simpleString()
+    rows = sessions.select("device_id", F.col("session_no").cast("long").alias("session_no"), "bytes")
+    return rows.groupBy("device_id").applyInPandas(rotate, f"device_id {device}, session_no long, start_bytes long, rotated boolean, generation int")

@@ -73,12 +73,13 @@ def visible_slots(roster: DataFrame) -> DataFrame:
 
 def pick_player(roster: DataFrame, exclude: DataFrame | None = None, seed: int = 0) -> DataFrame:
     """game_id, player_id: one player a game out of those not excluded (game_id, player_id), uniform over games and the same
-    for the same seed; no row for an empty pool."""
+    for the same seed (the first 15 digits of an MD5, modulo the pool's size); no row for an empty pool."""
     ordered = clockwise_order(roster)
     pool = ordered if exclude is None else ordered.join(exclude, ["game_id", "player_id"], "left_anti")
     game = Window.partitionBy("game_id")
     ranked = pool.withColumns({"k": F.row_number().over(game.orderBy("position")) - 1, "n": F.count("*").over(game)})
-    return ranked.where(F.col("k") == F.pmod(F.xxhash64("game_id", F.lit(seed)), F.col("n"))).select("game_id", "player_id")
+    drawn = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("game_id").cast("string"), F.lit(str(seed)))), 1, 15), 16, 10).cast("long")
+    return ranked.where(F.col("k") == drawn % F.col("n")).select("game_id", "player_id")
 
 
 def current_roster(log: DataFrame, roster: DataFrame) -> DataFrame:

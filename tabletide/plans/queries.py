@@ -136,7 +136,7 @@ QUERIES: dict[str, Query] = {
     "table_phase": lambda s, d: actions.table_phase(td.game_log(s, d), td.games(s, d)).select("game_id", "seq", "phase", "absorbing"),
     "life_timeline": lambda s, d: life.life_timeline(td.game_log(s, d), td.games(s, d)),
     "pending_delta": lambda s, d: life.pending_delta(td.game_log(s, d), "6 hours"),
-    "pending_sessions": lambda s, d: life.pending_sessions(td.game_log(s, d), "6 hours").drop("start"),
+    "pending_sessions": lambda s, d: life.pending_sessions(td.game_log(s, d), "6 hours"),
     "effect_tenures": lambda s, d: effects.effect_tenures(td.game_log(s, d), effects.registry(s)),
     "clockwise_order": lambda s, d: seating.clockwise_order(td.mixed_roster(s, d)).select("game_id", "player_id", "position"),
     "opponent_rotation": lambda s, d: seating.opponent_rotation(td.mixed_roster(s, d)),
@@ -248,7 +248,7 @@ ORACLE: dict[str, tuple[list[str], str]] = {
         FROM (SELECT *, sum(new) OVER (PARTITION BY game_id, epoch, player_id, source_id ORDER BY seq) AS session FROM (
         SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY game_id, epoch, player_id, source_id ORDER BY seq) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM (
         SELECT game_id, epoch, player_id, source_id, seq, ts, delta d FROM ep WHERE action = 'life' UNION ALL SELECT game_id, epoch, player_id, source_id, seq, ts, applied FROM dmg WHERE applied <> 0)))"""),
-    "pending_sessions": ([EPOCHS], """SELECT game_id, CAST(epoch AS BIGINT) epoch, player_id, CAST(sum(delta) AS BIGINT) pending, count(*) n FROM (SELECT *, sum(new) OVER (PARTITION BY game_id, epoch, player_id ORDER BY seq) AS session FROM (
+    "pending_sessions": ([EPOCHS], """SELECT game_id, CAST(epoch AS BIGINT) epoch, player_id, min(ts) AS start, CAST(sum(delta) AS BIGINT) pending, count(*) n FROM (SELECT *, sum(new) OVER (PARTITION BY game_id, epoch, player_id ORDER BY seq) AS session FROM (
         SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY game_id, epoch, player_id ORDER BY seq) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM ep WHERE action = 'life')) GROUP BY game_id, epoch, player_id, session"""),
     "effect_tenures": ([], """SELECT game_id, effect_type, player_id, seq from_seq, to_seq FROM (SELECT *, lead(seq) OVER (PARTITION BY game_id, effect_type ORDER BY seq) to_seq FROM (
         SELECT game_id, seq, action, effect_type, player_id FROM game_log WHERE action IN ('set_effect', 'clear_effect') UNION ALL
@@ -277,6 +277,8 @@ ORACLE: dict[str, tuple[list[str], str]] = {
         (SELECT game_id, player_id, arg_max(seat, seq) seat FROM game_log WHERE action = 'seat_move' GROUP BY ALL) m ON m.game_id = r.game_id AND m.player_id = r.player_id"""),
     "seat_plan": ([], "SELECT game_id lobby_id, slot, player_id, seat FROM roster"),
 }
+ORACLE["pick_player"] = ([CLOCK], """SELECT game_id, player_id FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY position) - 1 k, count(*) OVER (PARTITION BY game_id) m FROM clock WHERE slot <> 0)
+    WHERE k = CAST('0x' || left(md5(game_id || ':7'), 15) AS BIGINT) % m""")
 ORACLE["next_color"] = ([], """SELECT game_id, CAST([4283076825, 4293348412, 4280790624, 4287513773, 4293295650, 4279672965][least(coalesce(min(i) FILTER (NOT used), 5), 5) + 1] AS BIGINT) color_argb FROM (
     SELECT game_id, i, EXISTS (SELECT 1 FROM roster r WHERE r.game_id = g.game_id AND r.slot = i AND (r.slot <> r.game_id % 3 OR r.slot = 5)) used FROM games g, range(0, 6) t(i)) GROUP BY ALL""")
 ORACLE["log_rotation"] = (["ordered AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY session_no) rn FROM sessions)",
