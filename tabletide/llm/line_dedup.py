@@ -14,7 +14,8 @@ is 0. Else shorter lines are kept, as blank ones always are. Lines are judged on
    (a broadcast if they are at most FEW_KEYS, else a join).
 3. One earlier near line is enough. Each line is first compared with the earliest line of each of its keys.
 4. Lines that this leaves open are compared with the others of a key, those that index it with those that probe it, if at most
-   `group` lines index it (twice that after each division, but no more than WIDEST times): so a row makes at most WIDEST * `group` pairs. A larger group is divided, and steps 3 and 4 are repeated for what it falls into: first by where the lines leave the group's
+   `group` lines index it (twice that after each division, but no more than WIDEST times): so a key makes at most its rows times WIDEST * `group`
+   pairs. A larger group is divided, and steps 3 and 4 are repeated for what it falls into: first by where the lines leave the group's
    earliest one, from the start and then from the end; then by a further segment, and so on in turn: of the parts of the lines
    before and behind the segment, each with the edits that it may have, the longest is taken, what all lines of the group have
    at both its ends is taken off, and the core is cut into segments again. So no group is paired whole, however
