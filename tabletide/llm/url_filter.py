@@ -38,6 +38,9 @@ RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block
 LISTED_DIGITS = ("0", "1")
 BITS = 7  # of a filter's byte that are used, so that it is a character
 MOST_LEVELS = 40
+#: False positives of the levels behind the first. One half would take the fewest bits (2.9 a key over all levels, against
+#: 4.9), but each level is a pass over what is left, and an eighth takes a third of the levels.
+LATER_RATE = 0.125
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -137,9 +140,16 @@ def bloom(keys: DataFrame, n: int, rate: float, number: int) -> Level:
     return Level(number, hashes, bytes(table))
 
 
-def build(universe: DataFrame, part_bytes: int = 1 << 20, most_levels: int = MOST_LEVELS) -> Cascade:
-    """universe: (key, listed), every key of the corpus and of the list, repeats allowed."""
-    keys = materialize(universe.groupBy("key").agg(F.max("listed").alias("listed")), "url-keys")
+def distinct_keys(universe: DataFrame) -> DataFrame:
+    """universe: (key and flags), every key of the corpus and of the lists, repeats allowed. Each key once, as a written table."""
+    flags = [c for c in universe.columns if c != "key"]
+    return materialize(universe.groupBy("key").agg(*[F.max(c).alias(c) for c in flags]), "url-keys")
+
+
+def build(keys: DataFrame, flag: str, part_bytes: int = 1 << 20, most_levels: int = MOST_LEVELS) -> Cascade:
+    """A cascade of the keys with this flag, over distinct_keys. What is left behind a level is written, so that the next
+    one reads that alone; it shrinks by LATER_RATE with each."""
+    keys = keys.select("key", F.col(flag).alias("listed"))
     total, listed = (int(x or 0) for x in keys.agg(F.count("*"), F.sum(F.col("listed").cast("int"))).first())
     rate = min(0.5, max(1e-9, math.sqrt(0.5) * listed / max(1, total - listed)))
     parts = max(1, math.ceil(listed * -math.log(rate) / math.log(2) ** 2 / BITS / part_bytes))
@@ -150,11 +160,11 @@ def build(universe: DataFrame, part_bytes: int = 1 << 20, most_levels: int = MOS
         part, n = found.parts[k], listed if parts == 1 else inside.count()
         while n:
             level = len(part.levels)
-            if level == most_levels:  # what is left halves with each level, so this is nothing or a handful
+            if level == most_levels:  # what is left shrinks with each level, so this is nothing or a handful
                 part.last = [r["key"] for r in own.where("listed").where(reduce(lambda a, b: a & b, [x.passes(F.col("key")) for x in part.levels])).collect()]
                 break
-            part.levels.append(bloom(inside, n, rate if level == 0 else 0.5, level))
-            wrong = outside.where(part.levels[-1].passes(F.col("key")))
+            part.levels.append(bloom(inside, n, rate if level == 0 else LATER_RATE, level))
+            wrong = materialize(outside.where(part.levels[-1].passes(F.col("key"))), "url-wrong")
             inside, outside = wrong, inside
             n = inside.count()
     return found
@@ -180,12 +190,14 @@ def judge(pages: DataFrame, rules: DataFrame, listed: DataFrame, part_bytes: int
     lengths = [r[0] for r in rules.select(F.length(F.substring("rule", F.expr("greatest(instr(rule, '/'), 1)"), F.length("rule"))).alias("n")).distinct().orderBy("n").collect()]
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rows = materialize(rows.withColumn("keys", key_column(F.col("host"), F.col("path"), lengths)).withColumn("own", F.array(F.concat("host", "path"))), "url-rows")
-    universe = rows.select(F.explode("keys").alias("key"), F.lit(False).alias("listed"))
-    for verdict in ("allow", "block"):
-        mine = rules.where(F.col("verdict") == verdict).select(F.col("rule").alias("key"), F.lit(True).alias("listed"))
-        rows = lookup(rows, "keys", build(universe.unionByName(mine), part_bytes), verdict)
+    verdicts = ("allow", "block")
+    universe = rows.select(F.explode("keys").alias("key"), *[F.lit(False).alias(v) for v in verdicts])
     known = rows.select(F.concat("host", "path").alias("key"), F.lit(False).alias("listed"))
-    rows = lookup(rows, "own", build(known.unionByName(listed.select("key", F.lit(True).alias("listed"))), part_bytes), "listed")
+    keys = distinct_keys(universe.unionByName(rules.select(F.col("rule").alias("key"), *[(F.col("verdict") == v).alias(v) for v in verdicts])))
+    for verdict in verdicts:
+        rows = lookup(rows, "keys", build(keys, verdict, part_bytes), verdict)
+    pages_known = distinct_keys(known.unionByName(listed.select("key", F.lit(True).alias("listed"))))
+    rows = lookup(rows, "own", build(pages_known, "listed", part_bytes), "listed")
     hit = lambda v: F.transform(F.col(v), lambda k: F.struct(F.length(k).alias("n"), k.alias("rule"), F.lit(v).alias("verdict")))
     best = F.array_max(F.concat(hit("allow"), hit("block")))
     return rows.withColumn("best", best).select(
