@@ -41,7 +41,8 @@ from tabletide.llm.decontam import words
 SHORTEST, LONGEST = 4, 8
 PHRASE, NEAR, BANDS, WIDE = 5, 0.8, 8, 4
 MOST_OF_ONE = 5  # occurrences of a token that count in one document
-MOST_KNOWN = 200_000
+#: What a Python worker holds at once: scores of words, token lists of words, bytes of text whose tokens are counted.
+MOST_KNOWN, MOST_SPLIT, MOST_COUNTED = 50_000, 20_000, 1 << 20
 SIGNIFICANT = 0.01
 AT_SIGNIFICANT = -math.log(-math.log1p(-SIGNIFICANT))
 PASSAGES = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64()), ("p_value", pa.float64())]))
@@ -238,8 +239,8 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int, prior: float, leas
         return None
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = lru_cache(MOST_KNOWN)(tokens)
-        for b in row_slices(batches, "text"):
+        known = lru_cache(MOST_SPLIT)(tokens)
+        for b in row_slices(batches, "text", MOST_COUNTED):  # the slices' counts are merged by the aggregation, before its shuffle
             found = [Counter() for _ in range(4)]  # toxic, clean documents; occurrences in them
             for text, label in zip(as_bytes(b.column("text")), b.column("toxic").to_pylist(), strict=True):
                 kind, own = int(label <= 0), {}
@@ -248,7 +249,7 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int, prior: float, leas
                         own[t] = own.get(t, 0) + n
                 found[kind].update(own.keys())
                 found[kind + 2].update({t: min(n, MOST_OF_ONE) for t, n in own.items()})
-            keys = list(found[0] | found[1])
+            keys = list(found[0].keys() | found[1].keys())
             cells = [pa.array(keys, pa.binary()), pa.array([not k.endswith(b"-") for k in keys])]
             yield pa.record_batch(cells + [pa.array([f[k] for k in keys], pa.int64()) for f in found], names=["token", "is_word", "t", "c", "tn", "cn"])
 
@@ -262,10 +263,11 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int, prior: float, leas
             out, seen = [], Counter()
             for text, label in zip(as_bytes(b.column("text")), b.column("toxic").to_pylist(), strict=True):
                 w = words(text)
-                each = [s for _, _, s in held.value.segments(w)]
+                scores = held.value.scores(w)
+                each = [s for _, _, s in maximal_segments(scores)]
                 out.append((int(label > 0), len(w), each, None, None))
                 if label <= 0:
-                    seen.update(np.round(held.value.scores(w), 6).tolist())
+                    seen.update(np.round(scores, 6).tolist())
             out += [(None, None, None, k, v) for k, v in seen.items()]
             types = (pa.int32(), pa.int64(), pa.list_(pa.float64()), pa.float64(), pa.int64())
             yield pa.record_batch([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], names=["label", "n", "scores", "score", "times"])
