@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tabletide.llm import decontam, line_dedup, packing, quality, simhash, substring_dedup, token_counts, toxicity, url_filter, warc
+from tabletide.llm import (
+    conversation_repair, decontam, exact_dedup, hard_negatives, line_dedup, packing, quality, simhash, substring_dedup, token_counts, toxicity, url_filter, warc,
+)
 from tabletide.llm.common import table
 
 
@@ -52,6 +55,19 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=shifted)
+
+
 QUERIES = (
     op1_substring_dedup,
     op2_warc,
@@ -63,6 +79,9 @@ QUERIES = (
     op8_decontamination,
     op9_line_dedup,
     op10_simhash,
+    op11_exact_dedup,
+    op12_conversation_repair,
+    op13_hard_negatives,
 )
 
 
@@ -98,6 +117,31 @@ ORACLE = {
         select page_id, host, path, rule, coalesce(verdict, case when left(md5(host || path), 1) in ('0', '1') then 'block' else 'allow' end) as verdict
         from b
     """,
+    "op11_exact_dedup": """
+        select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size, doc_id = max(doc_id) over w as kept, sha256(coalesce(text, '')) as text_sha256
+        from documents window w as (partition by coalesce(text, ''))
+    """,
+    "op13_hard_negatives": """
+        with e as (
+            select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                [floor(256 * cast(x as double)) for x in embedding] as v
+            from embeddings
+            where vec_id is not null and label is not null and embedding is not null and len([x for x in embedding if x is null or not isfinite(x)]) = 0
+        ),
+        s as (
+            select a.vec_id as anchor_id, a.label = b.label as same, b.vec_id, cast(list_dot_product(a.v, b.v) as bigint) as score
+            from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0
+        ),
+        p as (
+            select anchor_id, vec_id as positive_id, score as positive_score from s where same
+            qualify row_number() over (partition by anchor_id order by score desc, vec_id) <= 5
+        )
+        select anchor_id, positive_id, cast(row_number() over w as int) as rank, vec_id as negative_id, positive_score, score as negative_score
+        from p join s using (anchor_id)
+        where not same and 80 * positive_score <= 100 * score and score <= positive_score
+        window w as (partition by anchor_id, positive_id order by score desc, vec_id)
+        qualify row_number() over w <= 5
+    """,
 }
 
 
