@@ -19,7 +19,8 @@ def with_applied(log: DataFrame) -> DataFrame:
     total = log.withColumn("total", F.when(is_damage, F.sum(F.when(is_damage, F.col("delta"))).over(so_far(*CELL))))
     least = F.least(F.lit(0), F.min("total").over(so_far(*CELL)))
     value = total.withColumn("damage", F.when(is_damage, F.col("total") - least))
-    before = F.lag("damage").over(Window.partitionBy(*CELL).orderBy("seq"))
+    earlier = Window.partitionBy(*CELL).orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last("damage", ignorenulls=True).over(earlier)  # damage without a known attacker shares its cell with other actions
     return value.withColumn("applied", F.when(is_damage, F.col("damage") - F.coalesce(before, F.lit(0)))).drop("total")
 
 

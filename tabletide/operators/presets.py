@@ -69,6 +69,68 @@ def upsert_presets(presets: DataFrame, changes: DataFrame) -> DataFrame:
     return left.unionByName(adds).select("owner_id", place.alias("pos"), *COLUMNS[2:])
 
 
+def replay_presets(presets: DataFrame, edits: DataFrame) -> DataFrame:
+    """presets after any number of edits an owner (owner_id, seq, op, id, name, starting_life, player_count), replayed in
+    order of seq: add appends (ids may repeat), update replaces the first entry that has the id at that moment, if any, and
+    remove takes all that do. Positions are numbered anew.
+
+    No list is folded. Entries are only appended, so the order of birth is the order of positions, and what happens to an id is
+    its own affair: removes cut its history into lives; entries of the last life are what is left; the first born of a life is
+    its first entry as long as it lasts, and shows the last update after its birth. An owner's ids are thus separate keys, and
+    an owner with very many edits is spread over tasks but for the numbering of what is left. Presets stand before all
+    edits. Edits without an owner, id or seq, and other kinds, have no effect. Of edits with one seq, an owner's are taken in
+    the order update, remove, add."""
+    rank = F.when(F.col("op") == "update", 1).when(F.col("op") == "remove", 2).when(F.col("op") == "add", 3)
+    usable = edits.where(F.col("owner_id").isNotNull() & F.col("id").isNotNull() & F.col("seq").isNotNull() & rank.isNotNull())
+    at = lambda before, seq, tie: F.struct(before.alias("edit"), seq.cast("long").alias("seq"), tie.cast("int").alias("tie"))
+    told = usable.select("owner_id", "id", *COLUMNS[3:], "op", at(F.lit(1), F.col("seq"), rank).alias("at"))
+    old = presets.select("owner_id", "id", *COLUMNS[3:], F.lit("add").alias("op"), at(F.lit(0), F.col("pos"), F.lit(0)).alias("at"))
+    of_id = Window.partitionBy("owner_id", "id").orderBy("at")
+    so_far = of_id.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = old.unionByName(told).withColumn("life", F.count_if(F.col("op") == "remove").over(so_far))
+    rows = rows.withColumn("last_life", F.max("life").over(Window.partitionBy("owner_id", "id"))).where((F.col("life") == F.col("last_life")) & (F.col("op") != "remove"))
+    born = F.row_number().over(Window.partitionBy("owner_id", "id", "op").orderBy("at"))
+    rows = rows.withColumn("first", (F.col("op") == "add") & (born == 1))
+    begun = F.min(F.when(F.col("op") == "add", F.col("at"))).over(Window.partitionBy("owner_id", "id"))
+    rows = rows.withColumn("begun", begun)
+    values = F.struct(*COLUMNS[3:])
+    newest = F.max_by(values, F.when((F.col("op") == "update") & (F.col("at") > F.col("begun")), F.col("at"))).over(Window.partitionBy("owner_id", "id"))
+    shown = F.when(F.col("first"), F.coalesce("newest", values)).otherwise(values)
+    left = rows.withColumn("newest", newest).where(F.col("op") == "add").select("owner_id", "id", "at", shown.alias("v"))
+    place = (F.row_number().over(Window.partitionBy("owner_id").orderBy("at")) - 1).cast("int")
+    return left.select("owner_id", place.alias("pos"), "id", "v.*")
+
+
+def replay_lists(presets: DataFrame, edits: DataFrame) -> DataFrame:
+    """`replay_presets` with moves as well (from_pos, to_pos; without effect out of range), which change what comes first: a fold
+    over an owner's list. For owners whose edits a task can hold."""
+    item = "struct<id:string,name:string,starting_life:bigint,player_count:bigint>"
+    entry = lambda x: F.struct(x["id"].alias("id"), *[x[c].cast("long" if c != "name" else "string").alias(c) for c in COLUMNS[3:]])
+    rank = F.when(F.col("op") == "update", 1).when(F.col("op") == "remove", 2).when(F.col("op") == "add", 3).when(F.col("op") == "move", 4)
+    steps = F.struct("seq", rank.alias("rank"), "op", "id", *COLUMNS[3:], "from_pos", "to_pos")
+    told = edits.where(F.col("owner_id").isNotNull() & F.col("seq").isNotNull() & rank.isNotNull()).groupBy("owner_id").agg(F.array_sort(F.collect_list(steps)).alias("steps"))
+    lists = presets.groupBy("owner_id").agg(F.array_sort(F.collect_list(F.struct("pos", *COLUMNS[2:]))).alias("old"))
+
+    def step(now: Column, e: Column) -> Column:
+        n = F.size(now)
+        first = F.array_position(F.transform(now, lambda x: x["id"]), e["id"])
+        updated = F.transform(now, lambda x, i: F.when(i + 1 == first, entry(e)).otherwise(x))
+        removed = F.filter(now, lambda x: ~F.coalesce(x["id"] == e["id"], F.lit(False)))
+        rest = F.concat(F.slice(now, 1, e["from_pos"]), F.slice(now, e["from_pos"] + 2, n))
+        moved = F.concat(F.slice(rest, 1, e["to_pos"]), F.slice(now, e["from_pos"] + 1, 1), F.slice(rest, e["to_pos"] + 1, n))
+        ok = (e["from_pos"] >= 0) & (e["from_pos"] < n) & (e["to_pos"] >= 0) & (e["to_pos"] < n)
+        known = e["id"].isNotNull()
+        return (
+            F.when(known & (e["op"] == "update"), updated).when(known & (e["op"] == "remove"), removed).when(known & (e["op"] == "add"), F.concat(now, F.array(entry(e))))
+            .when((e["op"] == "move") & ok, moved).otherwise(now)
+        )
+
+    both = lists.join(told, "owner_id", "full")
+    start = F.coalesce(F.transform("old", entry), F.array().cast(f"array<{item}>"))
+    folded = F.when(F.col("steps").isNull(), start).otherwise(F.aggregate("steps", start, step))
+    return both.select("owner_id", F.posexplode(folded).alias("pos", "v")).select("owner_id", "pos", "v.*")
+
+
 def decode_presets(text: Column) -> Column:
     """A strict list of presets, as array<struct>. Null text, invalid JSON, anything but a list, or any element with a
     missing or wrong field gives an empty list; a missing or null playerCount is 2; unknown keys are ignored. (An object

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tabletide import functions as fn
 from tabletide import testdata as td
-from tabletide.operators import actions, damage, diag, effects, life, presets, rolls, seating, settings
+from tabletide.operators import actions, damage, diag, effects, life, presets, rolls, scans, seating, settings
 from tabletide.sources import read_diag_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -99,6 +99,9 @@ def lobby_drafts(s: SparkSession, d: str) -> DataFrame:
     return seating.seat_plan(r.select(F.col("game_id").alias("lobby_id"), F.col("slot").cast("long").alias("seq"), F.lit("add").alias("op"), "player_id", F.lit(None).cast("string").alias("seat"), F.lit(None).cast("int").alias("target")))
 
 
+#: Rows of a block where a query is to cut games of the size that the test tables have.
+SMALL_BLOCK = 40
+
 QUERIES: dict[str, Query] = {
     "read_game_log": td.game_log,
     "read_settings_log": td.settings_log,
@@ -150,8 +153,16 @@ QUERIES: dict[str, Query] = {
     "current_roster": lambda s, d: seating.current_roster(td.game_log(s, d), td.roster(s, d)),
     "seat_plan": lobby_drafts,
     "log_rotation": lambda s, d: diag.log_rotation(td.device_sessions(s, d)),
+    "life_totals_in_blocks": lambda s, d: scans.life_totals_in_blocks(td.game_log(s, d), td.games(s, d), td.roster(s, d), SMALL_BLOCK),
+    "damage_timeline_in_blocks": lambda s, d: scans.damage_timeline_in_blocks(td.game_log(s, d), SMALL_BLOCK),
+    "damage_matrix_in_blocks": lambda s, d: scans.damage_matrix_in_blocks(td.game_log(s, d), td.roster(s, d), SMALL_BLOCK),
+    "roster_changes": lambda s, d: scans.roster_changes(td.roster_log(s, d), td.games(s, d), SMALL_BLOCK, 8),
+    "replay_presets": lambda s, d: presets.replay_presets(td.presets(s, d), td.preset_edits(s, d)),
+    "seat_plan_drafts": lambda s, d: seating.seat_plan(td.seat_drafts(s, d)),
+    "log_rotation_split": lambda s, d: diag.log_rotation(td.device_sessions(s, d), 20000, SMALL_BLOCK, 16),
 }
 
+
 EPOCHS = "ep AS (SELECT *, sum(CASE WHEN action IN ('new_game', 'reset') THEN 1 ELSE 0 END) OVER (PARTITION BY game_id ORDER BY seq) epoch FROM game_log)"
 LAST = "lst AS (SELECT * FROM ep QUALIFY epoch = max(epoch) OVER (PARTITION BY game_id))"
 CELLS = """run AS (SELECT *, sum(delta) OVER (PARTITION BY game_id, epoch, player_id, source_id ORDER BY seq) s FROM ep WHERE action = 'cmd_damage'),
@@ -281,10 +292,42 @@ ORACLE["pick_player"] = ([CLOCK], """SELECT game_id, player_id FROM (SELECT *, r
     WHERE k = CAST('0x' || left(md5(game_id || ':7'), 15) AS BIGINT) % m""")
 ORACLE["next_color"] = ([], """SELECT game_id, CAST([4283076825, 4293348412, 4280790624, 4287513773, 4293295650, 4279672965][least(coalesce(min(i) FILTER (NOT used), 5), 5) + 1] AS BIGINT) color_argb FROM (
     SELECT game_id, i, EXISTS (SELECT 1 FROM roster r WHERE r.game_id = g.game_id AND r.slot = i AND (r.slot <> r.game_id % 3 OR r.slot = 5)) used FROM games g, range(0, 6) t(i)) GROUP BY ALL""")
-ORACLE["log_rotation"] = (["ordered AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY session_no) rn FROM sessions)",
+ROTATION = ["ordered AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY session_no) rn FROM sessions)",
     """fold AS (SELECT device_id, rn, CAST(session_no AS BIGINT) session_no, CAST(0 AS BIGINT) start_bytes, false rotated, 0 generation, bytes size FROM ordered WHERE rn = 1
-    UNION ALL SELECT o.device_id, o.rn, CAST(o.session_no AS BIGINT), f.size, f.size > 524288, f.generation + CASE WHEN f.size > 524288 THEN 1 ELSE 0 END, CASE WHEN f.size > 524288 THEN 0 ELSE f.size END + o.bytes
-    FROM fold f JOIN ordered o ON o.device_id = f.device_id AND o.rn = f.rn + 1)"""], "SELECT device_id, session_no, start_bytes, rotated, generation FROM fold")
+    UNION ALL SELECT o.device_id, o.rn, CAST(o.session_no AS BIGINT), f.size, f.size > {0}, f.generation + CASE WHEN f.size > {0} THEN 1 ELSE 0 END, CASE WHEN f.size > {0} THEN 0 ELSE f.size END + o.bytes
+    FROM fold f JOIN ordered o ON o.device_id = f.device_id AND o.rn = f.rn + 1)"""]
+for name, limit in (("log_rotation", "524288"), ("log_rotation_split", "20000")):
+    ORACLE[name] = ([x.replace("{0}", limit) for x in ROTATION], "SELECT device_id, session_no, start_bytes, rotated, generation FROM fold")
+ORACLE["life_totals_in_blocks"] = ORACLE["life_totals"]
+ORACLE["damage_timeline_in_blocks"] = ORACLE["commander_damage_timeline"]
+ORACLE["damage_matrix_in_blocks"] = ORACLE["commander_damage_matrix"]
+ORACLE["roster_changes"] = (["ordered AS (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY seq) rn FROM roster_log)",
+    """step AS (SELECT game_id, 0 rn, CAST(NULL AS BIGINT) seq, CAST(NULL AS VARCHAR) action, CAST(NULL AS VARCHAR) player_id, n_players n_before, n_players n_after FROM games
+    UNION ALL SELECT o.game_id, o.rn, o.seq, o.action, o.player_id, s.n_after, CASE o.action WHEN 'add_player' THEN least(6, s.n_after + 1) WHEN 'remove_player' THEN greatest(1, s.n_after - 1)
+    WHEN 'new_game' THEN o.n ELSE s.n_after END FROM step s JOIN ordered o ON o.game_id = s.game_id AND o.rn = s.rn + 1)"""],
+    "SELECT game_id, seq, action, player_id, n_before, n_after, n_before = n_after refused FROM step WHERE action IN ('add_player', 'remove_player')")
+ORACLE["replay_presets"] = (["ordered AS (SELECT *, row_number() OVER (PARTITION BY owner_id ORDER BY seq) rn FROM preset_edits)",
+    """fold AS (SELECT owner_id, 0 rn, coalesce(now, []) AS now FROM (SELECT DISTINCT owner_id FROM presets UNION SELECT DISTINCT owner_id FROM preset_edits) LEFT JOIN
+        (SELECT owner_id, list({'id': id, 'name': name, 'l': starting_life, 'c': player_count} ORDER BY pos) AS now FROM presets GROUP BY ALL) USING (owner_id)
+    UNION ALL SELECT owner_id, rn, CASE WHEN op = 'add' THEN now || [new] WHEN op = 'remove' THEN [x for x in now if x.id <> new.id]
+        WHEN p > 0 THEN now[:p - 1] || [new] || now[p + 1:] ELSE now END FROM (SELECT f.owner_id, e.rn, e.op, f.now, {'id': e.id, 'name': e.name, 'l': e.starting_life, 'c': e.player_count} AS new,
+        coalesce(list_position([x.id for x in f.now], e.id), 0) p FROM fold f JOIN ordered e ON e.owner_id = f.owner_id AND e.rn = f.rn + 1))"""],
+    """SELECT owner_id, CAST(pos - 1 AS INT) pos, now[pos].id id, now[pos].name AS name, now[pos].l starting_life, now[pos].c player_count
+    FROM (SELECT owner_id, now, unnest(range(1, len(now) + 1)) pos FROM (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY owner_id ORDER BY rn DESC) = 1))""")
+ORACLE["seat_plan_drafts"] = (["""ordered AS (SELECT *, row_number() OVER (PARTITION BY lobby_id ORDER BY seq, sub) rn FROM
+        (SELECT *, unnest(CASE WHEN op = 'format' THEN range(0, 7) ELSE [0] END) sub FROM seat_drafts))""",
+    """fold AS (SELECT DISTINCT lobby_id, CAST(0 AS BIGINT) rn, CAST([] AS STRUCT(p VARCHAR, s VARCHAR)[]) AS now FROM seat_drafts
+    UNION ALL SELECT lobby_id, rn, CASE WHEN op IN ('remove', 'seat', 'cut') AND len(after) = 1 THEN [{'p': after[1].p, 's': 'bottomEdge'}] ELSE after END FROM (SELECT lobby_id, rn, op,
+        CASE WHEN op = 'remove' THEN CASE WHEN n > 1 THEN [x for x in now if x.p <> id] ELSE now END WHEN op = 'seat' THEN [{'p': x.p, 's': CASE WHEN x.p = id THEN seat ELSE x.s END} for x in now]
+        WHEN op = 'cut' THEN now[:target] WHEN n >= 6 OR op = 'fill' AND n >= target THEN now
+        WHEN n % 2 = 0 THEN now || [{'p': id, 's': 'bottomEdge'}] WHEN b > 0 THEN now[:b - 1] || [{'p': now[b].p, 's': small}] || now[b + 1:] || [{'p': id, 's': CASE small WHEN 'leftSide' THEN 'rightSide' ELSE 'leftSide' END}]
+        ELSE now || [{'p': id, 's': small}] END AS after
+        FROM (SELECT *, CASE WHEN op = 'fill' THEN player_id || '_' || (n + 1) ELSE player_id END id FROM (SELECT o.lobby_id, o.rn, o.player_id, o.seat, o.target, f.now, CAST(len(f.now) AS BIGINT) n,
+            CASE WHEN o.op <> 'format' THEN o.op WHEN o.sub = 0 THEN 'cut' ELSE 'fill' END op, coalesce(list_position([x.s for x in f.now], 'bottomEdge'), 0) b,
+            CASE WHEN len([x for x in f.now if x.s = 'leftSide']) <= len([x for x in f.now if x.s = 'rightSide']) THEN 'leftSide' ELSE 'rightSide' END small
+            FROM fold f JOIN ordered o ON o.lobby_id = f.lobby_id AND o.rn = f.rn + 1))))"""],
+    """SELECT lobby_id, CAST(pos - 1 AS INT) slot, now[pos].p player_id, now[pos].s seat
+    FROM (SELECT lobby_id, now, unnest(range(1, len(now) + 1)) pos FROM (SELECT * FROM fold QUALIFY row_number() OVER (PARTITION BY lobby_id ORDER BY rn DESC) = 1))""")
 
 
 def queries() -> dict[str, Query]:

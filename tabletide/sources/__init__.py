@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,6 +53,24 @@ def read_diag_log(lines: DataFrame, pattern: str = LINE) -> DataFrame:
     })
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, a temporary one, in local mode only."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not found:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        found = tempfile.mkdtemp(prefix="spark-shared-")
+        spark.sparkContext.setCheckpointDir(found)
+    return found.rstrip("/")
+
+
+def stored(df: DataFrame, tag: str, form: str = "parquet") -> DataFrame:
+    """df as a table in the shared folder, read back: what is built on it neither recomputes it nor grows its plan."""
+    path = f"{shared_dir(df.sparkSession)}/{tag}-{uuid.uuid4().hex}"
+    df.write.format(form).save(path)
+    return df.sparkSession.read.format(form).schema(df.schema).load(path)
+
+
 def write_table(df: DataFrame, path: str, partition_cols: list[str] | None = None, mode: str = "errorifexists") -> None:
     """Store a result as Parquet, in folders by the partition columns."""
     df.write.mode(mode).partitionBy(*partition_cols or []).parquet(path)

@@ -155,6 +155,32 @@ def device_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("device_id", F.datediff("day", F.lit("2024-01-01")).alias("session_no"), "bytes")
 
 
+def roster_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(game_id, seq, action, player_id): clicks and views as adds and removes, and what starts anew."""
+    e = events(spark, sf_dir)
+    kind = F.col("event_type")
+    what = F.when(kind.isin("click", "view"), F.when(F.col("k") % 100 < 52, "add_player").otherwise("remove_player")).when(kind == "signup", F.when(F.col("k") < 20, "new_game").otherwise("reset"))
+    return e.select(F.col("user_id").alias("game_id"), F.col("event_id").alias("seq"), what.alias("action"), player(F.col("k") % F.col("n")).alias("player_id")).where("action is not null")
+
+
+def preset_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(owner_id, seq, op, id, name, starting_life, player_count): orders as edits of few ids."""
+    o, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return o.select(
+        F.floor(F.col("o_custkey") / 6).cast("long").alias("owner_id"), key.alias("seq"), pick(["add", "add", "update", "update", "remove"], key % 5).alias("op"),
+        F.concat(F.lit("f"), (F.floor("o_totalprice").cast("long") % 5).cast("string")).alias("id"), F.concat(F.lit("n"), key.cast("string")).alias("name"),
+        (key % 60).cast("long").alias("starting_life"), (key % 9).cast("long").alias("player_count"),
+    )
+
+
+def seat_drafts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(lobby_id, seq, op, player_id, seat, target): drafts of all kinds."""
+    e = events(spark, sf_dir)
+    op = pick(["add", "seat", "remove", "format", "add"], F.when(F.col("event_type") == "click", 0).when(F.col("event_type") == "view", 1).when(F.col("event_type") == "signup", 2).when(F.col("event_type") == "purchase", 3).otherwise(4))
+    name = F.concat(F.when(op == "format", "y").otherwise("x"), (F.col("k") % 7).cast("string"))
+    return e.select(F.col("user_id").alias("lobby_id"), F.col("event_id").alias("seq"), op.alias("op"), name.alias("player_id"), pick(SEATS, F.col("v") % 4).alias("seat"), (F.col("v") % 9).cast("int").alias("target"))
+
+
 def order_life(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A large life log without an order: (game_id, player_id, delta)."""
     li = table(spark, sf_dir, "lineitem")
@@ -198,5 +224,12 @@ presets AS (SELECT p_partkey // 6 owner_id, CAST(p_partkey % 6 AS INT) pos, 'f'
 gestures AS (SELECT user_id game_id, event_id seq, 'p' || (k % n) player_id, ts, CASE WHEN k % 2 = 0 THEN 1 ELSE -1 END side,
     CAST(v * 137 % 3000 AS INT) held_ms, k % 5 = 0 cancelled, ['short', 'medium', 'long'][k % 3 + 1] sensitivity FROM ev WHERE event_type IN ('click', 'view')),
 sessions AS (SELECT user_id device_id, CAST(date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS INT) session_no, CAST(sum(v) * 2000 AS BIGINT) bytes
-    FROM ev GROUP BY user_id, CAST(ts AS DATE))
+    FROM ev GROUP BY user_id, CAST(ts AS DATE)),
+roster_log AS (SELECT * FROM (SELECT user_id game_id, event_id seq, CASE WHEN event_type IN ('click', 'view') THEN CASE WHEN k % 100 < 52 THEN 'add_player' ELSE 'remove_player' END
+    WHEN event_type = 'signup' THEN CASE WHEN k < 20 THEN 'new_game' ELSE 'reset' END END action, 'p' || (k % n) player_id, n FROM ev) WHERE action IS NOT NULL),
+preset_edits AS (SELECT o_custkey // 6 owner_id, o_orderkey seq, ['add', 'add', 'update', 'update', 'remove'][o_orderkey % 5 + 1] op, 'f' || (CAST(floor(o_totalprice) AS BIGINT) % 5) id,
+    'n' || o_orderkey AS name, CAST(o_orderkey % 60 AS BIGINT) starting_life, CAST(o_orderkey % 9 AS BIGINT) player_count FROM orders),
+seat_drafts AS (SELECT user_id lobby_id, event_id seq, op, CASE WHEN op = 'format' THEN 'y' ELSE 'x' END || (k % 7) player_id,
+    ['rightSide', 'leftSide', 'topEdge', 'bottomEdge'][v % 4 + 1] seat, greatest(1, least(6, CAST(v % 9 AS INT))) target
+    FROM (SELECT *, CASE event_type WHEN 'click' THEN 'add' WHEN 'view' THEN 'seat' WHEN 'signup' THEN 'remove' WHEN 'purchase' THEN 'format' ELSE 'add' END op FROM ev))
 """
