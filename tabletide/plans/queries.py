@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabletide import functions as fn
+from tabletide import sources
 from tabletide import testdata as td
 from tabletide.operators import actions, damage, diag, effects, life, presets, rolls, scans, seating, settings
 from tabletide.sources import read_diag_log
@@ -15,6 +16,30 @@ from tabletide.sources import read_diag_log
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def as_json(rows: DataFrame, tag: str) -> str:
+    """A log as lines of JSON in the shared folder, some of them cut short (seq % 50 = 7) or without what they need (11)."""
+    whole = F.to_json(F.struct(*rows.columns), {"timestampFormat": sources.JSON_TIME})
+    lacking = F.to_json(F.struct(*[c for c in rows.columns if c not in ("game_id", "user_id")]), {"timestampFormat": sources.JSON_TIME})
+    at = F.col("seq") % 50
+    line = F.when(at == 7, F.substring(whole, 1, 20)).when(at == 11, lacking).otherwise(whole)
+    return sources.stored_path(rows.select(line.alias("value")), tag, "text")
+
+
+def json_log(s: SparkSession, d: str) -> DataFrame:
+    return sources.read_game_log(s, as_json(td.game_log(s, d), "game-log"), form="json")
+
+
+def json_settings(s: SparkSession, d: str) -> DataFrame:
+    return sources.read_settings_log(s, as_json(td.settings_log(s, d), "settings-log"), form="json")
+
+
+def left_out(s: SparkSession, d: str) -> DataFrame:
+    """Records that the readers leave out, by log and reason."""
+    actions_ = sources.read_game_log_with_rest(s, as_json(td.game_log(s, d), "game-log"))[1].select(F.lit("game").alias("log"), "reason")
+    writes = sources.read_settings_log_with_rest(s, as_json(td.settings_log(s, d), "settings-log"))[1].select(F.lit("settings").alias("log"), "reason")
+    return actions_.unionByName(writes).groupBy("log", "reason").agg(F.count("*").alias("n"))
+
+
 def effect_log(s: SparkSession, d: str) -> DataFrame:
     return effects.current_effects(td.game_log(s, d), effects.registry(s))
 
@@ -103,8 +128,9 @@ def lobby_drafts(s: SparkSession, d: str) -> DataFrame:
 SMALL_BLOCK = 40
 
 QUERIES: dict[str, Query] = {
-    "read_game_log": td.game_log,
-    "read_settings_log": td.settings_log,
+    "read_game_log": json_log,
+    "read_settings_log": json_settings,
+    "quarantine": left_out,
     "read_diag_log": lambda s, d: read_diag_log(td.diag_lines(s, d)).select("device_id", "line_no", "level", "time", "message"),
     "with_quarter_turns": lambda s, d: seating.with_quarter_turns(td.mixed_roster(s, d)).select("game_id", "slot", "seat", "quarter_turns"),
     "hold_threshold_ms": lambda s, d: td.gestures(s, d).select("game_id", "seq", fn.hold_threshold_ms(F.col("sensitivity")).alias("ms"), fn.hold_sensitivity(fn.hold_threshold_ms(F.col("sensitivity"))).alias("back")),
@@ -195,8 +221,10 @@ wide AS (SELECT user_id, max(value) FILTER (key = 'app.themeMode') theme, max(va
 
 #: name -> (further common table expressions, the query)
 ORACLE: dict[str, tuple[list[str], str]] = {
-    "read_game_log": ([], "SELECT * FROM game_log"),
-    "read_settings_log": ([], "SELECT user_id, ts, seq, key, value FROM settings_log"),
+    "read_game_log": ([], "SELECT * FROM game_log WHERE seq % 50 NOT IN (7, 11)"),
+    "read_settings_log": ([], "SELECT user_id, CAST(ts AS TIMESTAMP) ts, seq, key, value FROM settings_log WHERE seq % 50 NOT IN (7, 11)"),
+    "quarantine": ([], """SELECT log, reason, count(*) n FROM (SELECT 'game' log, CASE seq % 50 WHEN 7 THEN 'unreadable' ELSE 'no game' END reason, seq FROM game_log
+        UNION ALL SELECT 'settings', CASE seq % 50 WHEN 7 THEN 'unreadable' ELSE 'no user' END, seq FROM settings_log) WHERE seq % 50 IN (7, 11) GROUP BY ALL"""),
     "read_diag_log": ([], """SELECT user_id device_id, event_id line_no, CASE WHEN k % 10 <> 9 THEN ['trace', 'debug', 'info', 'warning', 'error'][k % 5 + 1] END AS level,
         CASE WHEN k % 10 <> 9 THEN strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') END AS time, CASE WHEN k % 10 <> 9 THEN event_type ELSE '  at ' || event_type END message FROM ev"""),
     "with_quarter_turns": ([], "SELECT game_id, slot, seat, CASE seat WHEN 'rightSide' THEN 3 WHEN 'leftSide' THEN 1 WHEN 'topEdge' THEN 2 ELSE 0 END quarter_turns FROM mixed"),

@@ -7,6 +7,10 @@ GAME_LOG = (
     "effect_type string, seat string, starting_life long"
 )
 SETTINGS_LOG = "user_id long, ts timestamp, seq long, key string, value string"
+#: Actions of a log, and those that need a player, a delta, an effect.
+ACTIONS = ["new_game", "reset", "life", "cmd_damage", "set_effect", "clear_effect", "seat_move", "add_player", "remove_player", "gamba_tap", "gamba_done", "gamba_confirm",
+    "gamba_skip", "pick_open", "pick_close", "random_start", "random_done", "random_confirm", "coin_flip", "die_roll"]
+NEED_PLAYER, NEED_DELTA, NEED_EFFECT = ["life", "cmd_damage", "set_effect", "seat_move"], ["life", "cmd_damage"], ["set_effect", "clear_effect"]
 DIAG_LINES = "device_id long, session_id long, line_no long, line string"
 
 MOST_PLAYERS = 6
