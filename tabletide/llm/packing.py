@@ -3,11 +3,11 @@
 A document is its token ids and then id 0; only documents longer than a sequence are cut, into pieces of full length,
 of which the first may be shorter. The program has a variable for each configuration (a multiset of lengths that fits
 a sequence) and asks for as few sequences as possible that cover the length histogram, which has at most `size`
-entries whatever the corpus. It is solved by multiplicative weights: each length has a price; a knapsack dynamic
-program over the capacity finds the configurations worth most (all within a tolerance of the dearest); a little of each is
-added to the solution, and the prices of the lengths that it covers fall exponentially in the share covered. The prices
-of each round, and dual feasible functions, give a lower bound. The fractional solution is rounded, and what is left over
-is packed by best fit decreasing, on the histogram as well; the result is never worse than best fit alone.
+entries whatever the corpus. It is solved by multiplicative weights on both sides: each length has a weight, which falls as
+it is covered, and each known configuration a share, which grows with what its lengths are worth. A knapsack dynamic
+program over the capacity prices the lengths: it finds the configurations worth most, which join the known ones, and by the
+dearest one the prices give a lower bound. The fractional solution is rounded, and what is left over is packed by best
+fit decreasing, on the histogram as well; the result is never worse than best fit alone.
 
 The plan has a row for each configuration and length (bounded by the number of rounds and the capacity, not by the
 corpus), says which ranks of a length go to which sequences, and is broadcast. The rank of a piece among those of its
@@ -102,39 +102,89 @@ def near_dearest(price: np.ndarray, lengths: np.ndarray, size: int, tolerance: f
     return float(best[size]), found
 
 
-def multiplicative_weights(histogram: dict[int, int], size: int, rounds: int, step: float = 0.1, tolerance: float = 0.001, goal: float = 0.002) -> Program:
-    """Fractional covering. A round prices all lengths, adds a little of each near-dearest configuration to the solution, and
-    lowers the price of what these cover exponentially in the share covered. The sum over rounds, divided by what its
-    scarcest length is covered, is a solution; a third of the rounds only finds prices, with the whole step, and the
-    rest, with a quarter of it, is summed. Any prices give a dual bound: what all lengths cost, by the worth of the
-    dearest configuration. Ends early at a gap of `goal`."""
+def columns(configs: list[Config], place: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """Configurations as two arrays: places of their lengths, and how many of each (0 where there are fewer lengths)."""
+    at, take = np.zeros((len(configs), max(map(len, configs))), np.int64), np.zeros((len(configs), max(map(len, configs))))
+    for i, c in enumerate(configs):
+        at[i, : len(c)], take[i, : len(c)] = [place[x] for x, _ in c], [n for _, n in c]
+    return at, take
+
+
+def covered(at: np.ndarray, take: np.ndarray, often: np.ndarray, n: int) -> np.ndarray:
+    return np.bincount(at.ravel(), weights=(take * often[:, None]).ravel(), minlength=n)
+
+
+def play(at: np.ndarray, take: np.ndarray, demand: np.ndarray, often: np.ndarray, price: np.ndarray, steps: int, rate: float, most: float = 3.0) -> tuple[np.ndarray, np.ndarray]:
+    """Multiplicative weights on both sides of the covering program over these configurations: a configuration's share grows
+    with what its lengths are worth, a length's weight falls with how much of it is covered, each step with the last gain
+    once more in place of the one before (optimistic steps, which settle where plain ones circle). Gains are cut at `most`, as
+    what is covered often enough needs no more. Returns the averages: shares (sum 1) and prices of a piece."""
+    total = often.sum()
+    shares, weights = np.log(np.maximum(often / total, 1e-9)), np.log(np.maximum(price * demand, 1e-300))
+    sums, before = (np.zeros(len(often)), np.zeros(len(demand))), None
+    for _ in range(steps):
+        x, w = np.exp(shares - shares.max()), np.exp(weights - weights.max())
+        x, w = x / x.sum(), w / w.sum()
+        sums[0][:] += x
+        sums[1][:] += w
+        gain = np.minimum(((w / demand)[at] * take).sum(axis=1) * total, most), np.minimum(covered(at, take, x, len(demand)) * total / demand, most)
+        last = before or gain
+        shares, weights, before = shares + rate * (2 * gain[0] - last[0]), weights - rate * (2 * gain[1] - last[1]), gain
+    return sums[0] / steps, sums[1] / steps / demand
+
+
+def completed(often: dict[Config, float], histogram: dict[int, int], size: int, fine: int = 1000) -> dict[Config, float]:
+    """The configurations and, for what they leave open of a length, best fit of that in `fine`ths of a piece."""
+    left = {x: float(n) for x, n in histogram.items()}
+    for config, v in often.items():
+        for x, n in config:
+            left[x] -= n * v
+    rest = best_fit({x: math.ceil(v * fine - 1e-6) for x, v in left.items() if v * fine > 1e-6}, size)
+    found = dict(often)
+    for config, n in rest.items():
+        found[config] = found.get(config, 0.0) + n / fine
+    return found
+
+
+def multiplicative_weights(histogram: dict[int, int], size: int, rounds: int, steps: int = 400, tolerance: float = 0.02, goal: float = 0.002) -> Program:
+    """Fractional covering by configurations that the knapsack program prices. It begins with those of `consumed`. A round plays
+    multiplicative weights over the configurations known so far, takes the average as a solution (at a few scales, the
+    rest completed), and prices all lengths by the average of the weights: by the dearest configuration these give a dual
+    bound, and of each length the dearest configuration with it, if it is within `tolerance`, joins the known ones, which
+    the next round plays. Ends at a gap of `goal`."""
     lengths = np.array(sorted(histogram, reverse=True), np.int64)
     demand = np.array([histogram[x] for x in lengths.tolist()], float)
     place = {int(x): i for i, x in enumerate(lengths)}
-    price, found = lengths / size, Program({}, math.inf, dual_functions(lengths, demand, size))
-    sums: dict[Config, float] = {}
-    cover, used = np.zeros(len(lengths)), 0.0
-    for k in range(rounds):
-        if k == rounds // 3:
-            sums, cover, used, step = {}, np.zeros(len(lengths)), 0.0, step / 4
-        worth, configs = near_dearest(price, lengths, size, tolerance)
-        found.bound = max(found.bound, float(demand @ price) / worth)
-        gain = np.zeros(len(lengths))
-        for config in configs:
-            at, take = np.array([place[x] for x in config]), np.array(list(config.values()), float)
-            often = step * min(demand.sum() / take.sum() / len(configs), float((demand[at] / take).min()))
-            key = tuple(sorted(config.items(), reverse=True))
-            sums[key] = sums.get(key, 0.0) + often
-            used += often
-            gain[at] += take * often / demand[at]
-        cover += gain
-        price = price * np.exp(-gain)
-        price /= price.max()
-        if (least := float(cover.min())) > 0 and used / least < found.cost:
-            found.cost, found.solution = used / least, {c: v / least for c, v in sums.items()} if k % 10 == 9 or k == rounds - 1 else found.solution
+    found = Program({}, math.inf, dual_functions(lengths, demand, size))
+
+    def offer(often: dict[Config, float]) -> None:
+        solution = completed(often, histogram, size)
+        if (cost := sum(solution.values())) < found.cost:
+            found.solution, found.cost = solution, cost
+
+    offer(consumed(histogram, size, 60))
+    known, price, rate, best_bound = dict(found.solution), lengths / size, 0.5, 0.0
+    for _ in range(rounds):
         if found.cost <= (1 + goal) * found.bound:
-            found.solution = {c: v / cover.min() for c, v in sums.items()}
             break
+        configs = list(known)
+        at, take = columns(configs, place)
+        shares, played = play(at, take, demand, np.array([known[c] for c in configs]), price, steps, rate)
+        before = found.cost
+        for scale in (0.97, 1.0, 1.03):
+            offer({c: v * found.cost * scale for c, v in zip(configs, shares.tolist(), strict=True) if v > 1e-7})
+        worth, dearest = near_dearest(played, lengths, size, tolerance)
+        bound = float(demand @ played) / worth
+        if bound > best_bound:
+            best_bound, price = bound, played
+        found.bound = max(found.bound, bound)
+        rate = rate if found.cost < before else max(0.7 * rate, 0.05)
+        value = (played[at] * take).sum(axis=1)
+        known = {c: 0.5 * v * found.cost for c, v, y in zip(configs, shares.tolist(), value, strict=True) if v > 1e-7 or y > (1 - tolerance) * worth}
+        for c, v in found.solution.items():
+            known[c] = known.get(c, 0.0) + 0.5 * v
+        new = {tuple(sorted(c.items(), reverse=True)) for c in dearest} - known.keys()
+        known |= dict.fromkeys(sorted(new), 0.02 * found.cost / max(1, len(new)))
     return found
 
 
@@ -215,17 +265,17 @@ def best_fit(histogram: dict[int, int], size: int) -> dict[Config, int]:
     return found
 
 
-def solve_with_bound(histogram: dict[int, int], size: int = 2048, rounds: int = 60) -> tuple[dict[Config, int], float]:
+def solve_with_bound(histogram: dict[int, int], size: int = 2048, rounds: int = 40) -> tuple[dict[Config, int], float]:
     """How often each configuration is used, and a lower bound of how many are needed; every length is packed exactly as
-    often as the histogram has it. The fewest sequences of three: the program's solution rounded, the consuming one
-    rounded, each with best fit for the rest, and best fit alone. With few lengths a round is cheap, and there are more."""
+    often as the histogram has it. The fewest sequences of: the program's solution rounded, the consuming one rounded, each with
+    best fit for the rest, and best fit alone; the earlier of equals."""
     full = {((size, 1),): histogram[size]} if histogram.get(size) else {}
     rest = {x: n for x, n in histogram.items() if x < size and n}
     if not rest:
         return full, float(sum(full.values()))
-    program = multiplicative_weights(rest, size, max(rounds, min(1000, 60_000 // len(rest))))
+    program = multiplicative_weights(rest, size, rounds)
     choices: list[dict[Config, int]] = []
-    for start in ({}, rounded(program.solution, rest), rounded(consumed(rest, size, rounds), rest)):
+    for start in (rounded(program.solution, rest), rounded(consumed(rest, size, 60), rest), {}):
         left, found = dict(rest), dict(start)
         for config, n in start.items():
             for x, k in config:
@@ -237,7 +287,7 @@ def solve_with_bound(histogram: dict[int, int], size: int = 2048, rounds: int =
     return full | best, program.bound + sum(full.values())
 
 
-def solve(histogram: dict[int, int], size: int = 2048, rounds: int = 60) -> dict[Config, int]:
+def solve(histogram: dict[int, int], size: int = 2048, rounds: int = 40) -> dict[Config, int]:
     return solve_with_bound(histogram, size, rounds)[0]
 
 
@@ -256,7 +306,7 @@ def plan_rows(solution: dict[Config, int]) -> list[tuple[int, int, int, int, int
     return rows
 
 
-def pack(docs: DataFrame, size: int = 2048, rounds: int = 60, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, size: int = 2048, rounds: int = 40, vocabulary: str = VOCABULARY) -> DataFrame:
     """One row a piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
     own = materialize(pieces(docs, size, vocabulary).withColumn("row", F.monotonically_increasing_id()), "pieces")

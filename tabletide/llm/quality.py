@@ -1,8 +1,10 @@
 """Quality rules: fixed rules, then robust multivariate outliers for each language and source. DataFrame functions only.
 
 Words are the runs of [^\\x20\\x09-\\x0D] of a whole text. Each document has base statistics (`base_statistics`), and
-from them a vector of transformed statistics (`FEATURES`): the logarithm of the mean word length, and the roots of symbols, capitals,
-sentence marks and repeated words a word, which make the spread of counts about the same at any rate (Anscombe). Each (lang, source)
+from them a vector of transformed statistics (`FEATURES`), each in the unit of its own sampling noise, so that short and long
+documents vary alike: the logarithm of the mean word length, less its group's median, times the root of the words; and of symbols,
+capitals, sentence marks and repeated words twice the root of the count less the root of what the group's median rate
+lets expect (Anscombe's transform; repeated words come in pairs of windows, which are what is counted). Each (lang, source)
 group gets a minimum-covariance-determinant estimate. From three starts (a diagonal one of quartiles, the mean and
 covariance of all rows, and the covariance of the signs, that is of directions from the medians) concentration steps keep the
 `share` of rows nearest by Mahalanobis distance and estimate centre and covariance from them again, which lowers the
@@ -12,8 +14,9 @@ rows a group, however large the group is, and no row is sorted or collected. A d
 the final estimate, with the consistency factor of the share, is beyond the `quantile` of the chi-square law is rejected.
 
 Groups of fewer than `least` rows use the estimate of their language, and if that has fewer, the one of all rows; these are made
-only if a group needs them. `FLOOR` is added to the deviations, so statistics that hardly vary in a group (no symbols at
-all) neither make the covariance singular nor reject on trifles.
+only if a group needs them. With fewer rows in all there is no estimate: medians and unit covariance, that of sampling noise,
+stand for it. A statistic that doesn't vary among a group's nearest rows (no symbols at all: a variance below
+CONSTANT) has no covariance to be judged by; it gets the variance 1 that counts of its expectation have, and others are as estimated.
 
 Cases: null and empty texts have no words, so they fail the base rule; null lang or source is a group of its own;
 rows that repeat a doc_id count and are returned each; an empty table gives an empty result; other columns are ignored.
@@ -34,7 +37,7 @@ WORD = r"[^\x20\x09-\x0D]"
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 8
 FEATURES = ["f_length", "f_symbols", "f_capitals", "f_marks", "f_repeats"]
-FLOOR = 0.1  # least deviation of a transformed statistic
+CONSTANT = 0.01  # a variance below this is that of a constant
 KEY = ["level", "g_lang", "g_source"]
 FEW_GROUPS, SALTS = 50_000, 64
 BINS = 16  # to a doubling of the squared distance
@@ -104,17 +107,29 @@ def base_statistics(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     return found.withColumn("base_failed", failed)
 
 
-def vectors(stats: DataFrame) -> DataFrame:
-    n = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
-    rate = lambda c: F.sqrt((F.col(c) + 0.375) / n)
-    return stats.select(
-        "*",
-        F.log((F.col("word_chars") + 1) / (n + 1)).alias("f_length"),
-        rate("n_symbols").alias("f_symbols"),
-        rate("n_capitals").alias("f_capitals"),
-        rate("n_marks").alias("f_marks"),
-        rate("n_repeat_words").alias("f_repeats"),
-    )
+#: What is counted, and how many words a count stands for.
+COUNTS = {"f_symbols": ("n_symbols", 1), "f_capitals": ("n_capitals", 1), "f_marks": ("n_marks", 1), "f_repeats": ("n_repeat_words", 2 * WINDOW)}
+RAW = ["n_words", "word_chars", *[c for c, _ in COUNTS.values()]]
+
+
+def mean_length() -> Column:
+    return F.log((F.col("word_chars") + 1) / (F.col("n_words") + 1))
+
+
+def centres(rows: DataFrame) -> DataFrame:
+    """KEY and the medians of a group's mean word length and rates."""
+    rates = [(F.col(c) / per / F.greatest(F.col("n_words"), F.lit(1))).alias(f) for f, (c, per) in COUNTS.items()]
+    found = rows.select(*KEY, mean_length().alias("f_length"), *rates)
+    return found.groupBy(*KEY).agg(*[F.percentile_approx(f, 0.5, 10000).alias(f"r_{f}") for f in FEATURES])
+
+
+def vectors(rows: DataFrame) -> DataFrame:
+    """rows (RAW and centres) with FEATURES."""
+    n = F.col("n_words").cast("double")
+    count = lambda f, c, per: 2 * (F.sqrt(F.col(c) / per + 0.375) - F.sqrt(n * F.col(f"r_{f}") + 0.375))
+    return rows.select(
+        "*", (F.sqrt(n) * (mean_length() - F.col("r_f_length"))).alias("f_length"), *[count(f, c, per).alias(f) for f, (c, per) in COUNTS.items()]
+    ).drop(*[f"r_{f}" for f in FEATURES])
 
 
 def chi_square(x: float, k: int) -> float:
@@ -155,16 +170,19 @@ def cholesky_columns(params: DataFrame, p: int) -> DataFrame:
     return params
 
 
+def beside(rows: DataFrame, groups: DataFrame, key: list[str], few: bool) -> DataFrame:
+    """rows with their group's columns. groups are broadcast if they are few (FEW_GROUPS rows of some 40 numbers); else the
+    rows of a group are dealt over SALTS copies of its row."""
+    if few:
+        return rows.join(F.broadcast(groups), key)
+    salted = groups.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"]).drop("salt")
+
+
 def with_distance(rows: DataFrame, params: DataFrame, key: list[str], few: bool) -> DataFrame:
-    """rows with d2, the squared distance from their group's estimate. The estimates are broadcast if they are few
-    (FEW_GROUPS rows of some 40 numbers); else the rows of a group are dealt over SALTS copies of its estimate."""
+    """rows with d2, the squared distance from their group's estimate."""
     p = len(FEATURES)
-    factors = cholesky_columns(params, p)
-    if few:
-        joined = rows.join(F.broadcast(factors), key)
-    else:
-        salted = factors.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = rows.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted, [*key, "salt"])
+    joined = beside(rows, cholesky_columns(params, p), key, few)
     for i in range(p):
         s = F.col(FEATURES[i]) - F.col(f"m_{i}")
         for k in range(i):
@@ -173,13 +191,16 @@ def with_distance(rows: DataFrame, params: DataFrame, key: list[str], few: bool)
     return joined.withColumn("d2", sum((F.col(f"z_{i}") ** 2 for i in range(1, p)), F.col("z_0") ** 2))
 
 
+def varied(variance: Column) -> Column:
+    return F.when(variance < CONSTANT, 1.0).otherwise(variance)
+
+
 def estimate(sums: DataFrame, columns: list[str], n: Column, factor: float, *more: Column) -> DataFrame:
-    """From sums s_i and s_i_j over n rows: columns, centre m_i, covariance c_i_j (i <= j) times the factor, with the floor."""
+    """From sums s_i and s_i_j over n rows: columns, centre m_i, covariance c_i_j (i <= j) times the factor."""
     p = len(FEATURES)
     mean = lambda i: F.col(f"s_{i}") / n
-    covariance = [
-        ((F.col(f"s_{i}_{j}") / n - mean(i) * mean(j)) * factor + (FLOOR**2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i, p)
-    ]
+    moment = lambda i, j: (F.col(f"s_{i}_{j}") / n - mean(i) * mean(j)) * factor
+    covariance = [(varied(moment(i, j)) if i == j else moment(i, j)).alias(f"c_{i}_{j}") for i in range(p) for j in range(i, p)]
     return sums.select(*columns, *more, *[mean(i).alias(f"m_{i}") for i in range(p)], *covariance)
 
 
@@ -197,7 +218,7 @@ def starts(rows: DataFrame) -> DataFrame:
     p, own = len(FEATURES), [F.col(f) for f in FEATURES]
     quartiles = [F.percentile_approx(f, [0.25, 0.5, 0.75], 10000).alias(f"q_{i}") for i, f in enumerate(FEATURES)]
     first = materialize(rows.groupBy(*KEY).agg(F.count("*").alias("n"), *quartiles, *sums_of(own)), "quality-starts")
-    median, scale = [F.col(f"q_{i}")[1] for i in range(p)], [F.sqrt(((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349) ** 2 + FLOOR**2) for i in range(p)]
+    median, scale = [F.col(f"q_{i}")[1] for i in range(p)], [F.sqrt(varied(((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349) ** 2)) for i in range(p)]
     pairs = [(i, j) for i in range(p) for j in range(i, p)]
     centre = [m.alias(f"m_{i}") for i, m in enumerate(median)]
     diagonal = first.select(*KEY, F.lit(0).alias("start"), *centre, *[(scale[i] ** 2 if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in pairs])
@@ -205,22 +226,24 @@ def starts(rows: DataFrame) -> DataFrame:
     named = first.select(*KEY, *centre, *[x.alias(f"scale_{i}") for i, x in enumerate(scale)])
     turned = rows.join(F.broadcast(named) if named.count() <= FEW_GROUPS else named, KEY).withColumns({f"z_{i}": (own[i] - F.col(f"m_{i}")) / F.col(f"scale_{i}") for i in range(p)})
     norm = sum((F.col(f"z_{i}") ** 2 for i in range(1, p)), F.col("z_0") ** 2) + 1e-12
-    # rows at the medians themselves have no direction, which the floor makes up for
+    # rows at the medians themselves have no direction
     mean = turned.withColumn("norm", norm).groupBy(*KEY).agg(*[F.avg(F.col(f"z_{i}") * F.col(f"z_{j}") / F.col("norm")).alias(f"u_{i}_{j}") for i, j in pairs])
-    sign = [(F.col(f"u_{i}_{j}") * p * F.col(f"scale_{i}") * F.col(f"scale_{j}") + (FLOOR**2 if i == j else 0.0)).alias(f"c_{i}_{j}") for i, j in pairs]
+    turn = lambda i, j: F.col(f"u_{i}_{j}") * p * F.col(f"scale_{i}") * F.col(f"scale_{j}")
+    sign = [(varied(turn(i, j)) if i == j else turn(i, j)).alias(f"c_{i}_{j}") for i, j in pairs]
     signs = mean.join(named, KEY).select(*KEY, F.lit(2).alias("start"), *[f"m_{i}" for i in range(p)], *sign)
     return diagonal.unionByName(whole).unionByName(signs)
 
 
 def mcd(rows: DataFrame, share: float, steps: int, few: bool, settled: float = 0.01) -> DataFrame:
-    """A row a group: KEY, n, m_i and c_i_j, with floor and consistency factor. rows: KEY and FEATURES. Ends when no group's
-    determinant falls by more than the share `settled` in a step, and after `steps` at most."""
+    """A row a group: KEY, n, m_i and c_i_j, with the consistency factor. rows: KEY and FEATURES. A start of a group rests once
+    its determinant falls by no more than the share `settled` in a step; only the others go on, for `steps` at most."""
     p, factor = len(FEATURES), consistency(share, len(FEATURES))
     whole = Window.partitionBy(*KEY, "start")
     below = whole.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     names = [f"m_{i}" for i in range(p)] + [f"c_{i}_{j}" for i in range(p) for j in range(i, p)]
     with_size = lambda x: cholesky_columns(x, p).withColumn("size", log_determinant())
     now = materialize(with_size(starts(rows)).select(*KEY, "start", *names, F.lit(None).cast("long").alias("n"), "size", F.lit(None).cast("double").alias("before")), "quality-mcd")
+    rests: list[DataFrame] = []
     for step in range(steps):
         bins = with_distance(rows, now.select(*KEY, "start", *names), KEY, few).withColumn("bin", F.floor(F.log2(F.col("d2") + 1e-6) * BINS))
         bins = bins.groupBy(*KEY, "start", "bin").agg(F.count("*").alias("n"), *sums_of([F.col(f) for f in FEATURES]))
@@ -230,9 +253,15 @@ def mcd(rows: DataFrame, share: float, steps: int, few: bool, settled: float = 0
         new = with_size(estimate(cut, [*KEY, "start"], F.col("n"), factor, F.col("all").alias("n")))
         new = new.join(now.select(*KEY, "start", F.col("size").alias("before")), [*KEY, "start"])
         now = materialize(new.select(*KEY, "start", *names, "n", "size", "before"), "quality-mcd")
-        if (now.agg(F.max(F.col("before") - F.col("size"))).first()[0] or 0.0) <= settled and step:
+        goes_on = (F.col("before") - F.col("size") > settled) if step else F.lit(True)
+        rests.append(now.where(~goes_on) if step + 1 < steps else now)
+        now = now.where(goes_on)
+        if now.isEmpty():
             break
-    return now.groupBy(*KEY).agg(F.min_by(F.struct("n", *names), F.struct("size", "start")).alias("e")).select(*KEY, "e.*")
+    found = rests[0]
+    for x in rests[1:]:
+        found = found.unionByName(x)
+    return found.groupBy(*KEY).agg(F.min_by(F.struct("n", *names), F.struct("size", "start")).alias("e")).select(*KEY, "e.*")
 
 
 def judge(docs: DataFrame, share: float = 0.75, steps: int = 20, quantile: float = 0.9999, least: int = 50, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -240,8 +269,8 @@ def judge(docs: DataFrame, share: float = 0.75, steps: int = 20, quantile: float
     columns of docs to carry on."""
     stats = materialize(base_statistics(docs, carry), "quality")
     own = ["o_lang", "o_source"]
-    rows = vectors(stats).withColumns({"o_lang": F.coalesce("lang", F.lit("\0")), "o_source": F.coalesce("source", F.lit("\0"))})
-    fit = rows.where(~F.col("base_failed")).select(*own, *FEATURES)
+    rows = stats.withColumns({"o_lang": F.coalesce("lang", F.lit("\0")), "o_source": F.coalesce("source", F.lit("\0"))})
+    fit = rows.where(~F.col("base_failed")).select(*own, *RAW)
     # level 0 is a group of its own, 1 a language, 2 all rows
     counts = fit.groupBy(*own).agg(F.count("*").alias("n"))
     langs = counts.groupBy("o_lang").agg(F.sum("n").alias("lang_n"))
@@ -254,10 +283,16 @@ def judge(docs: DataFrame, share: float = 0.75, steps: int = 20, quantile: float
     target = lambda k: F.struct(F.lit(k).alias("level"), (F.col("o_lang") if k < 2 else F.lit("")).alias("g_lang"), (F.col("o_source") if k < 1 else F.lit("")).alias("g_source"))
     wanted = F.array_compact(F.array(F.when(F.col("level") == 0, target(0)), F.when(F.col("by_lang") == 1, target(1)), F.when(F.lit(by_all), target(2))))
     near = F.broadcast(groups) if few else groups
-    levels = materialize(fit.join(near, own).select(F.explode(wanted).alias("g"), *FEATURES).select("g.*", *FEATURES), "quality-vectors")
-    chosen = mcd(levels, share, steps, few)
+    levels = materialize(fit.join(near, own).select(F.explode(wanted).alias("g"), *RAW).select("g.*", *RAW), "quality-levels")
+    middle = materialize(centres(levels), "quality-centres")
+    chosen = mcd(materialize(vectors(beside(levels, middle, KEY, few)).select(*KEY, *FEATURES), "quality-vectors"), share, steps, few).join(middle, KEY)
     use = groups.select(*own, F.when(F.col("level") == 0, target(0)).when(F.col("level") == 1, target(1)).otherwise(target(2)).alias("g")).select(*own, "g.*")
-    scored = with_distance(rows.where(~F.col("base_failed")), use.join(chosen.drop("n"), KEY).drop(*KEY), own, few)
+    p = len(FEATURES)
+    unit = {f"m_{i}": F.lit(0.0) for i in range(p)} | {f"c_{i}_{j}": F.lit(float(i == j)) for i in range(p) for j in range(i, p)}
+    chosen = chosen.withColumns({name: F.when(F.col("n") < least, x).otherwise(F.col(name)) for name, x in unit.items()})
+    used = materialize(use.join(chosen.drop("n"), KEY).drop(*KEY), "quality-estimates")
+    judged = vectors(beside(rows.where(~F.col("base_failed")), used.select(*own, *[f"r_{f}" for f in FEATURES]), own, few))
+    scored = with_distance(judged, used.drop(*[f"r_{f}" for f in FEATURES]), own, few)
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
     cutoff = chi_square_quantile(quantile, len(FEATURES))
     return scored.select(*out, (F.col("d2") <= cutoff).alias("kept"), F.col("d2"), *carry).unionByName(
