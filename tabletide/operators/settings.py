@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabletide.functions import hold_threshold_ms
+from tabletide.functions import colors_malformed, decode_colors, hold_threshold_ms
+from tabletide.operators.presets import decode_presets
 
 #: Keys, and of those with a fixed domain the values; the first is the default.
 DOMAINS = {"app.themeMode": ["system", "light", "dark", "custom"], "app.hapticLevel": ["off", "on"], "app.logLevel": ["errors", "off", "verbose"], "gt.holdSensitivity": ["medium", "short", "long"]}
@@ -24,20 +25,37 @@ def resolved(key: str, value: Column) -> Column:
     return F.coalesce(value, F.lit("default")) if key == "app.colorProfileId" else value
 
 
-def settings_snapshot(log: DataFrame) -> DataFrame:
-    """One row a user: user_id and the resolved settings, from the last write of each key; bad_values: whether a boolean or
-    number doesn't parse, for which the default stands. The keys are fixed, so the pivot is one aggregation."""
-    last = F.max_by("value", F.struct("ts", "seq"))
-    wide = log.groupBy("user_id").pivot("key", KEYS).agg(last)
+def last_writes(log: DataFrame) -> DataFrame:
+    """user_id and a column for each key: its last value, if any. The keys are fixed, so the pivot is one aggregation."""
+    return log.groupBy("user_id").pivot("key", KEYS).agg(F.max_by("value", F.struct("ts", "seq")))
+
+
+def resolved_columns() -> list[Column]:
+    """The resolved settings of a row of last_writes."""
     c = lambda k: F.col(f"`{k}`")
     bad = (c("app.keepAwake").isNotNull() & c("app.keepAwake").try_cast("boolean").isNull()) | (c("gt.confirmNewGame").isNotNull() & c("gt.confirmNewGame").try_cast("boolean").isNull())
     bad = bad | (c("app.textScale").isNotNull() & c("app.textScale").try_cast("double").isNull())
     r = lambda k: resolved(k, c(k))
-    return wide.select(
-        "user_id", r("app.themeMode").alias("theme_mode"), r("app.colorProfileId").alias("color_profile_id"), r("app.textScale").alias("text_scale"),
+    return [
+        r("app.themeMode").alias("theme_mode"), r("app.colorProfileId").alias("color_profile_id"), r("app.textScale").alias("text_scale"),
         r("app.keepAwake").alias("keep_awake"), r("app.hapticLevel").alias("haptic_level"), r("app.logLevel").alias("log_level"),
         r("gt.confirmNewGame").alias("confirm_new_game"), hold_threshold_ms(r("gt.holdSensitivity")).alias("hold_ms"), bad.alias("bad_values"),
-    )
+    ]
+
+
+def settings_snapshot(log: DataFrame) -> DataFrame:
+    """One row a user of the log: user_id and the resolved settings, from the last write of each key; bad_values: whether a
+    boolean or number doesn't parse, for which the default stands."""
+    return last_writes(log).select("user_id", *resolved_columns())
+
+
+def settings_profiles(log: DataFrame, users: DataFrame) -> DataFrame:
+    """The snapshot of every user of users (user_id), defaults for those without a row in the log, with player_colors (the
+    saved list, or the palette; null if it is malformed, which colors_malformed tells) and format_presets (the saved list
+    by the strict rules of `decode_presets`, empty if there is none or it breaks one)."""
+    wide = users.select("user_id").distinct().join(last_writes(log), "user_id", "left")
+    colors, saved = F.col("`gt.playerColors`"), F.col("`gt.formatPresets`")
+    return wide.select("user_id", *resolved_columns(), decode_colors(colors).alias("player_colors"), colors_malformed(colors).alias("colors_malformed"), decode_presets(saved).alias("format_presets"))
 
 
 def settings_changes(log: DataFrame) -> DataFrame:

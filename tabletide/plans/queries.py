@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabletide import functions as fn
-from tabletide import sources
+from tabletide import sources, streaming
 from tabletide import testdata as td
 from tabletide.operators import actions, damage, diag, effects, life, presets, rolls, scans, seating, settings
+from tabletide.schemas import GAME_LOG, PALETTE
 from tabletide.sources import read_diag_log
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +42,14 @@ def left_out(s: SparkSession, d: str) -> DataFrame:
     return actions_.unionByName(writes).groupBy("log", "reason").agg(F.count("*").alias("n"))
 
 
+def flat_profiles(s: SparkSession, d: str) -> DataFrame:
+    """Profiles of all customers; a list can't be compared: as text."""
+    users = td.table(s, d, "customer").select(F.col("c_custkey").alias("user_id"))
+    texts = F.transform("format_presets", lambda p: F.concat_ws(":", p["id"], p["name"], p["startingLife"].cast("string"), p["playerCount"].cast("string")))
+    rows = settings.settings_profiles(td.profile_log(s, d), users)
+    return rows.withColumns({"player_colors": fn.encode_colors(F.col("player_colors")), "format_presets": F.array_join(texts, "|")})
+
+
 def effect_log(s: SparkSession, d: str) -> DataFrame:
     return effects.current_effects(td.game_log(s, d), effects.registry(s))
 
@@ -124,6 +134,55 @@ def lobby_drafts(s: SparkSession, d: str) -> DataFrame:
     return seating.seat_plan(r.select(F.col("game_id").alias("lobby_id"), F.col("slot").cast("long").alias("seq"), F.lit("add").alias("op"), "player_id", F.lit(None).cast("string").alias("seat"), F.lit(None).cast("int").alias("target")))
 
 
+def files_of(rows: DataFrame, tag: str) -> str:
+    """A log as a folder of files, closed by a row of game -1 so much later that the watermark passes all others."""
+    last = rows.agg((F.max("ts") + F.expr("interval 2000 days")).alias("ts"))
+    end = last.select(F.lit(-1).alias("game_id"), F.lit(-1).alias("seq"), "ts", F.lit("life").alias("action"), F.lit("").alias("player_id"), F.lit(0).alias("delta")).where("ts is not null")
+    return sources.stored_path(rows.unionByName(td.typed(end, GAME_LOG)), tag)
+
+
+def streamed(s: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame], keys: list[str], tag: str) -> DataFrame:
+    """What a stream over this log, in update mode and run to the end of its input, says last of each key."""
+    out = f"{sources.shared_dir(s)}/{tag}-{uuid.uuid4().hex}"
+    stream = build(sources.read_game_log(s, files_of(rows, f"{tag}-log"), streaming=True, files_per_batch=4))
+    sources.write_batches(stream, out, f"{out}-state").awaitTermination()
+    return sources.newest(sources.read_batches(s, out), keys).where("game_id >= 0")
+
+
+def streamed_life(s: SparkSession, d: str) -> DataFrame:
+    rows = td.game_log(s, d).where("action = 'life'")
+    return streamed(s, rows, streaming.stream_life_totals, ["game_id", "player_id"], "stream-life").select("game_id", "player_id", "life")
+
+
+def streamed_effects(s: SparkSession, d: str) -> DataFrame:
+    return streamed(s, td.game_log(s, d), streaming.stream_current_effects, ["game_id", "effect_type"], "stream-effects").select("game_id", "effect_type", "player_id")
+
+
+def streamed_games(s: SparkSession, d: str) -> DataFrame:
+    """Epoch, life change, damage by attacker and effects of each player after the whole log."""
+    build = lambda log: streaming.stream_game_state(log, idle="9000 days", lateness="1000 days")
+    rows = streamed(s, td.game_log(s, d), build, ["game_id"], "stream-games")
+    cells = F.array_join(F.array_sort(F.transform(F.filter(F.map_entries("damage"), lambda e: e["value"] > 0), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))), ",")
+    return rows.where("life_change <> 0 or damage_taken <> 0 or effects <> ''").select("game_id", "player_id", "epoch", "life_change", "damage_taken", cells.alias("damage"), "effects")
+
+
+def streamed_sessions(s: SparkSession, d: str) -> DataFrame:
+    """Pending sessions that the stream has closed, and those that its state still holds."""
+    out = f"{sources.shared_dir(s)}/stream-sessions-{uuid.uuid4().hex}"
+    log = sources.read_game_log(s, sources.stored_path(td.game_log(s, d), "stream-sessions-log"), streaming=True)
+    sources.write_stream(streaming.stream_pending_delta(log, "6 hours", "1000 days"), f"{out}-rows", f"{out}-state").awaitTermination()
+    closed = s.read.schema("game_id long, player_id string, start timestamp, pending long, n long").parquet(f"{out}-rows")
+    return closed.unionByName(streaming.open_sessions(s, f"{out}-state"))
+
+
+def stored_roster(s: SparkSession, d: str) -> DataFrame:
+    """A roster that was stored in folders by seat, and read back."""
+    path = f"{sources.shared_dir(s)}/roster-{uuid.uuid4().hex}"
+    rows = td.mixed_roster(s, d)
+    sources.write_table(rows, path, ["seat"])
+    return s.read.schema(rows.schema).parquet(path).select(*rows.columns)
+
+
 #: Rows of a block where a query is to cut games of the size that the test tables have.
 SMALL_BLOCK = 40
 
@@ -176,6 +235,12 @@ QUERIES: dict[str, Query] = {
     "roll_history": lambda s, d: rolls.roll_history(td.rolls(s, d)),
     "pick_player": lambda s, d: seating.pick_player(td.mixed_roster(s, d), td.roster(s, d).where("slot = 0").select("game_id", "player_id"), 7),
     "settings_snapshot": lambda s, d: settings.settings_snapshot(td.settings_log(s, d)),
+    "settings_profiles": flat_profiles,
+    "write_table": stored_roster,
+    "stream_life_totals": streamed_life,
+    "stream_pending_delta": streamed_sessions,
+    "stream_current_effects": streamed_effects,
+    "stream_game_state": streamed_games,
     "current_roster": lambda s, d: seating.current_roster(td.game_log(s, d), td.roster(s, d)),
     "seat_plan": lobby_drafts,
     "log_rotation": lambda s, d: diag.log_rotation(td.device_sessions(s, d)),
@@ -233,14 +298,14 @@ ORACLE: dict[str, tuple[list[str], str]] = {
         CAST(side * CASE WHEN held_ms >= lim THEN 10 ELSE 1 END AS BIGINT) delta FROM (SELECT *, unnest(range(0, CASE WHEN held_ms >= lim THEN 1 + (held_ms - lim) // 500 WHEN cancelled THEN 0 ELSE 1 END)) i
         FROM (SELECT *, CASE sensitivity WHEN 'short' THEN 250 WHEN 'long' THEN 600 ELSE 400 END lim FROM gestures))"""),
     "pending_label": ([], "SELECT game_id, seq, CASE WHEN delta + 1 > 0 THEN '+' || (delta + 1) WHEN delta + 1 < 0 THEN CAST(delta + 1 AS VARCHAR) END label FROM game_log WHERE action = 'life'"),
-    "decode_colors": ([], """SELECT c_custkey user_id, CASE c_custkey % 4 WHEN 0 THEN '[4283076825,4293348412,4280790624,4287513773,4293295650,4279672965]'
+    "decode_colors": ([], """SELECT c_custkey user_id, CASE c_custkey % 4 WHEN 0 THEN '{palette_text}'
         WHEN 1 THEN '[' || (4278190080 + c_custkey) || ',' || c_custkey || ']' WHEN 3 THEN '[]' END colors, c_custkey % 4 = 2 malformed FROM customer"""),
     "preset_labels": ([], "SELECT owner_id, pos, name || '  ' || starting_life || '♥' chip, starting_life || ' life · ' || player_count || ' players' subtitle FROM presets"),
     "resolve_theme": ([], "SELECT user_id, seq, CASE value WHEN 'custom' THEN 'light' ELSE value END theme FROM settings_log WHERE key = 'app.themeMode'"),
     "damage_map_add": ([EPOCHS, LAST, CELLS, MATRIX, TOTALS], """SELECT r.game_id, r.slot, r.player_id, r.color_argb, r.seat, t.life,
         (SELECT string_agg(e, ',' ORDER BY e) FROM (SELECT source_id || '=' || damage e FROM matrix m WHERE m.game_id = r.game_id AND m.player_id = r.player_id UNION ALL SELECT 'new=0' WHERE g.n_players < 6)) commander_damage
         FROM roster r JOIN games g USING (game_id) JOIN totals t ON t.game_id = r.game_id AND t.player_id = r.player_id
-        UNION ALL SELECT game_id, n_players, 'new', CAST([4283076825, 4293348412, 4280790624, 4287513773, 4293295650, 4279672965][n_players + 1] AS BIGINT), 'rightSide', 40,
+        UNION ALL SELECT game_id, n_players, 'new', CAST({palette}[n_players + 1] AS BIGINT), 'rightSide', 40,
         (SELECT string_agg(player_id || '=0', ',' ORDER BY player_id) FROM roster r WHERE r.game_id = g.game_id) FROM games g WHERE n_players < 6"""),
     "damage_map_remove": ([EPOCHS, LAST, CELLS, MATRIX, TOTALS], """SELECT r.game_id, r.slot, r.player_id, r.color_argb, r.seat, t.life,
         coalesce((SELECT string_agg(source_id || '=' || damage, ',' ORDER BY source_id) FROM matrix m WHERE m.game_id = r.game_id AND m.player_id = r.player_id AND source_id <> 'p1'), '') commander_damage
@@ -318,7 +383,7 @@ ORACLE: dict[str, tuple[list[str], str]] = {
 }
 ORACLE["pick_player"] = ([CLOCK], """SELECT game_id, player_id FROM (SELECT *, row_number() OVER (PARTITION BY game_id ORDER BY position) - 1 k, count(*) OVER (PARTITION BY game_id) m FROM clock WHERE slot <> 0)
     WHERE k = CAST('0x' || left(md5(game_id || ':7'), 15) AS BIGINT) % m""")
-ORACLE["next_color"] = ([], """SELECT game_id, CAST([4283076825, 4293348412, 4280790624, 4287513773, 4293295650, 4279672965][least(coalesce(min(i) FILTER (NOT used), 5), 5) + 1] AS BIGINT) color_argb FROM (
+ORACLE["next_color"] = ([], """SELECT game_id, CAST({palette}[least(coalesce(min(i) FILTER (NOT used), 5), 5) + 1] AS BIGINT) color_argb FROM (
     SELECT game_id, i, EXISTS (SELECT 1 FROM roster r WHERE r.game_id = g.game_id AND r.slot = i AND (r.slot <> r.game_id % 3 OR r.slot = 5)) used FROM games g, range(0, 6) t(i)) GROUP BY ALL""")
 ROTATION = ["ordered AS (SELECT *, row_number() OVER (PARTITION BY device_id ORDER BY session_no) rn FROM sessions)",
     """fold AS (SELECT device_id, rn, CAST(session_no AS BIGINT) session_no, CAST(0 AS BIGINT) start_bytes, false rotated, 0 generation, bytes size FROM ordered WHERE rn = 1
@@ -326,6 +391,26 @@ ROTATION = ["ordered AS (SELECT *, row_number() OVER (PARTITION BY device_id ORD
     FROM fold f JOIN ordered o ON o.device_id = f.device_id AND o.rn = f.rn + 1)"""]
 for name, limit in (("log_rotation", "524288"), ("log_rotation_split", "20000")):
     ORACLE[name] = ([x.replace("{0}", limit) for x in ROTATION], "SELECT device_id, session_no, start_bytes, rotated, generation FROM fold")
+ORACLE["write_table"] = ([], "SELECT * FROM mixed")
+ORACLE["stream_life_totals"] = ([], "SELECT game_id, player_id, CAST(40 + sum(delta) AS BIGINT) life FROM game_log WHERE action = 'life' GROUP BY ALL")
+ORACLE["stream_pending_delta"] = ([], """SELECT game_id, player_id, min(ts) AS start, CAST(sum(delta) AS BIGINT) pending, count(*) n FROM (SELECT *, sum(new) OVER (PARTITION BY game_id, player_id ORDER BY seq) AS session FROM (
+    SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY game_id, player_id ORDER BY seq) + INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM game_log WHERE action = 'life')) GROUP BY game_id, player_id, session""")
+ORACLE["stream_current_effects"] = ([], """SELECT game_id, effect_type, CASE WHEN arg_max(action, seq) = 'set_effect' THEN arg_max(player_id, seq) FILTER (action = 'set_effect') END player_id
+    FROM game_log WHERE action IN ('set_effect', 'clear_effect') GROUP BY ALL""")
+ORACLE["stream_game_state"] = ([EPOCHS, LAST, CELLS, HELD, """last_cells AS (SELECT game_id, player_id, source_id, arg_max(damage, seq) damage FROM dmg WHERE epoch = (SELECT max(epoch) FROM ep e WHERE e.game_id = dmg.game_id) GROUP BY ALL)""",
+    "taken AS (SELECT game_id, player_id, sum(damage) damage_taken, string_agg(source_id || '=' || damage, ',' ORDER BY source_id) FILTER (damage > 0) damage FROM last_cells GROUP BY ALL)",
+    "changed AS (SELECT game_id, player_id, sum(delta) direct FROM lst WHERE action = 'life' GROUP BY ALL)",
+    "owned AS (SELECT game_id, player_id, string_agg(effect_type, ',' ORDER BY position) effects FROM cur GROUP BY ALL)",
+    "final AS (SELECT game_id, max(epoch) epoch FROM ep GROUP BY ALL)"], """SELECT * FROM (SELECT r.game_id, r.player_id, CAST(f.epoch AS BIGINT) epoch, CAST(coalesce(c.direct, 0) - coalesce(t.damage_taken, 0) AS BIGINT) life_change,
+    CAST(coalesce(t.damage_taken, 0) AS BIGINT) damage_taken, coalesce(t.damage, '') damage, coalesce(o.effects, '') effects FROM roster r JOIN final f USING (game_id) LEFT JOIN taken t ON t.game_id = r.game_id AND t.player_id = r.player_id
+    LEFT JOIN changed c ON c.game_id = r.game_id AND c.player_id = r.player_id LEFT JOIN owned o ON o.game_id = r.game_id AND o.player_id = r.player_id)
+    WHERE life_change <> 0 OR damage_taken <> 0 OR effects <> ''""")
+ORACLE["settings_profiles"] = ([RESOLVED], """SELECT c_custkey user_id, CASE WHEN theme IN ('light', 'dark', 'custom') THEN theme ELSE 'system' END theme_mode, coalesce(profile, 'default') color_profile_id,
+    CAST(CASE WHEN c_custkey % 7 = 1 THEN 1.25 ELSE 1.0 END AS DOUBLE) text_scale, coalesce(wake = 'true', false) keep_awake, CASE WHEN haptic = 'on' THEN 'on' ELSE 'off' END haptic_level,
+    CASE WHEN lvl IN ('off', 'verbose') THEN lvl ELSE 'errors' END log_level, coalesce(confirm = 'true', false) confirm_new_game, CASE hold WHEN 'short' THEN 250 WHEN 'long' THEN 600 ELSE 400 END hold_ms,
+    c_custkey % 7 = 2 bad_values, CASE c_custkey % 4 WHEN 0 THEN '{palette_text}' WHEN 1 THEN '[' || (4278190080 + c_custkey) || ',' || c_custkey || ']' WHEN 3 THEN '[]' END player_colors,
+    c_custkey % 4 = 2 colors_malformed, CASE WHEN c_custkey % 5 = 1 THEN 'a' || c_custkey || ':A:40:2|b:B ' || c_custkey || ':20:3' ELSE '' END format_presets
+    FROM customer LEFT JOIN wide ON wide.user_id = c_custkey""")
 ORACLE["life_totals_in_blocks"] = ORACLE["life_totals"]
 ORACLE["damage_timeline_in_blocks"] = ORACLE["commander_damage_timeline"]
 ORACLE["damage_matrix_in_blocks"] = ORACLE["commander_damage_matrix"]
@@ -363,4 +448,5 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: "WITH RECURSIVE " + ",\n".join([td.SQL.strip(), *more]) + "\n" + sql for name, (more, sql) in ORACLE.items()}
+    whole = {name: "WITH RECURSIVE " + ",\n".join([td.SQL.strip(), *more]) + "\n" + sql for name, (more, sql) in ORACLE.items()}
+    return {name: sql.replace("{palette_text}", str(PALETTE).replace(" ", "")).replace("{palette}", str(PALETTE)) for name, sql in whole.items()}

@@ -14,7 +14,7 @@ from tabletide.schemas import ACTIONS, DIAG_LINES, GAME_LOG, NEED_DELTA, NEED_EF
 #: Level letters of the log package's simple printer, and severity ranks.
 LEVELS = {"T": "trace", "D": "debug", "I": "info", "W": "warning", "E": "error", "FATAL": "fatal"}
 #: How times are written in JSON logs.
-JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
+JSON_TIME = "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS][XXX]"
 LINE = r"^\[(T|D|I|W|E|FATAL)\]\s+TIME: (\S+) (.*)$"
 
 

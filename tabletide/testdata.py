@@ -155,6 +155,20 @@ def device_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select("device_id", F.datediff("day", F.lit("2024-01-01")).alias("session_no"), "bytes")
 
 
+def profile_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The settings log and, for some customers, a list of colours, a text scale, and lists of none to several presets, some broken."""
+    c = F.col("c_custkey")
+    own = table(spark, sf_dir, "customer")
+    put = lambda k, value, n: own.select(c.alias("user_id"), F.lit("2020-01-01").cast("timestamp").alias("ts"), (-c * 4 - n).alias("seq"), F.lit(k).alias("key"), value.alias("value")).where("value is not null")
+    s = lambda *x: F.concat(*[F.lit(y) if isinstance(y, str) else y.cast("string") for y in x])
+    colors = F.when(c % 4 == 1, s("[", F.lit(4278190080) + c, ",", c, "]")).when(c % 4 == 2, "[1,x]").when(c % 4 == 3, "[]")
+    two = s('[{"id":"a', c, '","name":"A","startingLife":40},{"id":"b","name":"B ', c, '","startingLife":20,"playerCount":3}')
+    lists = F.when(c % 5 == 1, s(two, "]")).when(c % 5 == 2, s(two, ',{"id":5,"name":"C","startingLife":1}]')).when(c % 5 == 3, "[]")
+    scale = F.when(c % 7 == 1, "1.25").when(c % 7 == 2, "wide")
+    extra = put("gt.playerColors", colors, 0).unionByName(put("gt.formatPresets", lists, 1)).unionByName(put("app.textScale", scale, 2))
+    return settings_log(spark, sf_dir).unionByName(typed(extra, SETTINGS_LOG))
+
+
 def roster_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(game_id, seq, action, player_id): clicks and views as adds and removes, and what starts anew."""
     e = events(spark, sf_dir)
@@ -205,7 +219,7 @@ game_log AS (SELECT user_id game_id, event_id seq, ts, action,
     CAST(CASE WHEN action = 'new_game' THEN 40 END AS BIGINT) starting_life FROM act),
 games AS (SELECT DISTINCT user_id game_id, CAST(40 AS BIGINT) starting_life, n n_players FROM ev),
 roster AS (SELECT game_id, CAST(slot AS INT) slot, 'p' || slot player_id,
-    CAST([4283076825, 4293348412, 4280790624, 4287513773, 4293295650, 4279672965][slot + 1] AS BIGINT) color_argb,
+    CAST({palette}[slot + 1] AS BIGINT) color_argb,
     CASE WHEN n_players = 1 OR (n_players % 2 = 1 AND slot = n_players - 1) THEN 'bottomEdge' WHEN slot % 2 = 0 THEN 'leftSide' ELSE 'rightSide' END seat
     FROM (SELECT *, unnest(range(0, n_players)) slot FROM games)),
 mixed AS (SELECT * REPLACE (CASE (slot * 3 + game_id) % 4 WHEN 0 THEN 'rightSide' WHEN 1 THEN 'leftSide' WHEN 2 THEN 'topEdge' ELSE 'bottomEdge' END AS seat) FROM roster),

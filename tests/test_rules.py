@@ -185,3 +185,36 @@ def test_sink_and_reader(spark, tmp_path):
     rows = log(spark, [change(1), hit(2)])
     sources.write_table(rows, str(tmp_path / "log"), ["game_id"])
     assert sources.read_game_log(spark, str(tmp_path / "log")).orderBy("seq").select("seq", "delta").collect() == rows.orderBy("seq").select("seq", "delta").collect()
+
+
+def test_profile_of_a_user_without_rows(spark):
+    users = spark.createDataFrame([(1,), (1,), (2,)], "user_id long")
+    none = spark.createDataFrame([], "user_id long, ts timestamp, seq long, key string, value string")
+    rows = settings.settings_profiles(none, users).collect()
+    assert len(rows) == 2
+    for r in rows:
+        assert (r.theme_mode, r.color_profile_id, r.text_scale, r.keep_awake, r.haptic_level, r.log_level) == ("system", "default", 1.0, False, "off", "errors")
+        assert (r.confirm_new_game, r.hold_ms, r.bad_values, r.player_colors, r.colors_malformed, r.format_presets) == (False, 400, False, PALETTE, False, [])
+
+
+def test_broken_records_are_kept_apart(spark, tmp_path):
+    good = '{"game_id":1,"seq":1,"ts":"2024-01-01T00:00:00.123456Z","action":"life","player_id":"A","delta":-1}'
+    bad = ["{", "[1]", "", good.replace("life", "lives"), good.replace('"delta":-1', '"delta":"x"'), good.replace(',"delta":-1', ""), good.replace('"game_id":1,', ""), good.replace('"seq":1,', ""),
+        '{"game_id":1,"seq":2,"action":"seat_move","player_id":"A","seat":"roof"}', '{"game_id":1,"seq":2,"action":"set_effect","player_id":"A"}', '{"game_id":1,"seq":2,"action":"life","delta":1}']
+    (tmp_path / "log").mkdir()
+    (tmp_path / "log" / "a.json").write_text("\n".join([good, *bad, good.replace('"seq":1', '"seq":3,"more":[1]')]))
+    kept, rest = sources.read_game_log_with_rest(spark, str(tmp_path / "log"))
+    assert sorted(r.seq for r in kept.collect()) == [1, 3] and kept.columns == [x.split()[0] for x in GAME_LOG.split(", ")]
+    assert kept.where("seq = 1").first().ts.microsecond == 123456
+    reasons = sorted(r.reason for r in rest.collect())
+    assert reasons == sorted(["unreadable"] * 3 + ["unknown action", "no delta", "no game", "no seq", "unknown seat", "no effect", "no player"])
+    assert all(r.record for r in rest.collect())
+    assert sources.read_game_log(spark, str(tmp_path / "log"), form="json").count() == 2
+    sources.quarantine(rest, str(tmp_path / "rest"))
+    sources.quarantine(rest, str(tmp_path / "rest"))
+    assert spark.read.parquet(str(tmp_path / "rest")).where("reason = 'no game'").count() == 2
+    (tmp_path / "settings").mkdir()
+    (tmp_path / "settings" / "a.json").write_text('{"user_id":1,"ts":"2024-01-01T00:00:00Z","seq":1,"key":"app.themeMode","value":"dark"}\n{"user_id":1}\nx')
+    kept, rest = sources.read_settings_log_with_rest(spark, str(tmp_path / "settings"))
+    assert kept.count() == 1 and sorted(r.reason for r in rest.collect()) == ["no key", "unreadable"]
+    assert sources.read_settings_log(spark, str(tmp_path / "settings"), form="json").first().value == "dark"

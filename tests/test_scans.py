@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import random
 
 import pytest
@@ -190,6 +191,45 @@ def test_preset_edits_with_moves(spark):
     assert by_place(presets.replay_lists(spark.createDataFrame(old, OLD), spark.createDataFrame(edits, EDIT))) == sorted(want, key=lambda x: x[:2])
 
 
+def test_pending_changes_against_the_model(spark):
+    r, rows, want, state = random.Random(12), [], {}, {}
+    at = T0
+    for seq in range(400):
+        at += datetime.timedelta(microseconds=r.choice([10**6, 5 * 10**6, 5 * 10**6 + 1, 9 * 10**6]))
+        kind = r.choice(["life", "cmd_damage", "life", "cmd_damage", "reset" if r.random() < 0.1 else "life"])
+        a = {"game_id": 1, "seq": seq, "ts": at, "action": kind}
+        if kind == "reset":
+            state = {}
+        else:
+            a |= {"player_id": r.choice("AB"), "delta": r.choice([-3, 1, 5, -1]), "source_id": "C" if kind == "cmd_damage" else None}
+            s = state.setdefault((a["player_id"], a["source_id"]), {"cell": 0, "pending": 0, "last": None})
+            change = a["delta"] if kind == "life" else max(a["delta"], -s["cell"])
+            s["cell"] += change
+            if kind == "life" or change:
+                s["pending"] = change + (s["pending"] if s["last"] and at <= s["last"] + datetime.timedelta(seconds=5) else 0)
+                s["last"], want[seq] = at, s["pending"]
+        rows.append(a)
+    assert {x.seq: x.pending for x in life.pending_delta(frame(spark, rows)).collect()} == want
+
+
+def test_several_moves_against_the_model(spark):
+    r, lists, moves, want = random.Random(13), [], [], {}
+    for o in range(30):
+        items = [f"{o}-{i}" for i in range(r.randint(0, 6))]
+        lists.append((o, list(items)))
+        errors = 0
+        for seq in range(r.randint(0, 8)):
+            a, b = r.randint(-1, 6), r.randint(-1, 6)
+            moves.append((o, seq, a, b))
+            if 0 <= a < len(items) and 0 <= b < len(items):
+                items.insert(b, items.pop(a))
+            else:
+                errors += 1
+        want[o] = (items, errors)
+    got = presets.reorder_many(spark.createDataFrame(lists, "owner_id long, items array<string>"), spark.createDataFrame(moves, "owner_id long, seq long, from_pos int, to_pos int")).collect()
+    assert {x.owner_id: (list(x["items"]), x.errors) for x in got} == want
+
+
 @pytest.mark.parametrize(("most", "group"), [(1 << 18, 4096), (30, 8)])
 def test_rotation_against_the_model(spark, most, group):
     r = random.Random(8)
