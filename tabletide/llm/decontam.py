@@ -14,7 +14,7 @@ Windows reach the tasks in broadcast blocks of items of about `block_bytes`, rea
 than one block each is a pass over the documents, and the spans and items of a document's passes are merged by a shuffle.
 
 Cases: null and empty texts and items have no words (an item without words never occurs); rows that repeat a doc_id are
-returned each; rows that repeat an item_id are windows of one item; empty tables give no hits or no rows; other columns
+returned each; rows that repeat an item_id are windows of one item; rows with a null item_id are one item, named None; empty tables give no hits or no rows; other columns
 are ignored."""
 
 from __future__ import annotations
