@@ -34,12 +34,12 @@ def scratch(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: later steps neither recompute it nor depend
-    on the executors that made it."""
+def materialize(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as a Parquet table in the shared folder (in folders by some columns) and read it back: later steps neither
+    recompute it nor depend on the executors that made it."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -154,8 +154,10 @@ def build(keys: DataFrame, flag: str, part_bytes: int = 1 << 20, most_levels: in
     rate = min(0.5, max(1e-9, math.sqrt(0.5) * listed / max(1, total - listed)))
     parts = max(1, math.ceil(listed * -math.log(rate) / math.log(2) ** 2 / BITS / part_bytes))
     found = Cascade([Part() for _ in range(parts)])
+    if parts > 1 and listed:  # written once by part, so that a part reads its own keys only
+        keys = materialize(keys.withColumn("part", found.part_of(F.col("key")).cast("int")), "url-parts", ("part",))
     for k in range(parts if listed else 0):
-        own = keys.where(found.part_of(F.col("key")) == k) if parts > 1 else keys
+        own = keys.where(F.col("part") == k).select("key", "listed") if parts > 1 else keys
         inside, outside = own.where("listed"), own.where(~F.col("listed"))
         part, n = found.parts[k], listed if parts == 1 else inside.count()
         while n:
