@@ -72,17 +72,19 @@ def beginnings(jumps: DataFrame, group: int, steps: int) -> DataFrame:
     """device_id, i of the sessions that begin a file: 0, and what follows from there by next. Sessions are taken in groups by
     place, as lists of pointers; steps is the largest group's number. If a device has more than one, pointers are doubled within the lists until each session
     knows where its files leave the group, and those are then doubled from group to group (a stored table a round), which
-    gives the session that enters each group; from there a list is walked."""
+    gives the session that enters each group; from there a list is walked.
+
+    A list is doubled in one expression over its own variable, and explodes as outer. In a chain of columns, merged below the filter
+    for empty lists that Spark derives from a plain explode, each element would have the round before evaluated anew."""
     part = F.floor(F.col("i") / group).cast("long").alias("part")
     lists = jumps.groupBy("device_id", part).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "next"))), lambda x: x["next"]).alias("next"))
     base = F.col("part") * group
     inside = lambda p: F.coalesce(p < base + group, F.lit(False))
     entries = lists.where("part = 0").select("device_id", F.lit(0).cast("long").alias("i"))
     if steps:
-        out = lists
-        for _ in range(group.bit_length()):
-            out = out.withColumn("next", F.transform("next", lambda p: F.when(inside(p), F.get(F.col("next"), (p - base).cast("int"))).otherwise(p)))
-        ahead = out.select("device_id", F.posexplode("next").alias("place", "next"), base.alias("base")).where("next is not null")
+        doubled = lambda s, _: F.transform(s, lambda p: F.when(inside(p), F.get(s, (p - base).cast("int"))).otherwise(p))
+        left = F.aggregate(F.sequence(F.lit(1), F.lit(group.bit_length())), F.col("next"), doubled)
+        ahead = lists.select("device_id", F.posexplode_outer(left).alias("place", "next"), base.alias("base")).where("next is not null")
         ahead = stored(ahead.select("device_id", (F.col("base") + F.col("place")).alias("i"), "next"), "rotation-exits")
         for k in range(steps.bit_length()):
             entries = stored(entries.unionByName(entries.join(ahead, ["device_id", "i"]).select("device_id", F.col("next").alias("i"))), "rotation-entries")
@@ -97,7 +99,7 @@ def beginnings(jumps: DataFrame, group: int, steps: int) -> DataFrame:
         return F.when(inside(s["at"]), there).otherwise(s)
 
     walked = lists.join(begun, ["device_id", "part"]).withColumn("found", F.aggregate("next", now, walk)["found"])
-    return walked.select("device_id", F.explode("found").alias("i"))
+    return walked.select("device_id", F.explode_outer("found").alias("i"))
 
 
 def log_rotation(sessions: DataFrame, limit: int = ROTATION_LIMIT, most: int = BLOCK, group: int = 4096) -> DataFrame:
@@ -112,6 +114,7 @@ def log_rotation(sessions: DataFrame, limit: int = ROTATION_LIMIT, most: int = B
     large = large_keys(rows, min(most, group), "device_id", "session_no")
     if not large[1]:
         return folded(rows.where(F.col("device_id").isNotNull() & F.col("session_no").isNotNull()), limit)
+    rows = stored(rows, "rotation-sessions")  # read four times
     totals = stored(running_totals(in_blocks(rows, most, "device_id", "session_no", large)), "rotation-totals")
     steps = int(totals.agg(F.max("i")).first()[0]) // group
     starts = beginnings(next_rotations(totals, limit), group, steps).withColumn("begins", F.lit(True))

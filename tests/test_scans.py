@@ -244,3 +244,18 @@ def test_rotation_against_the_model(spark, most, group):
     got = {(x.device_id, x.session_no): (x.start_bytes, x.rotated, x.generation) for x in diag.log_rotation(df, 100, most, group).collect()}
     assert got == want
     assert diag.log_rotation(df.where("false"), 100, most, group).count() == 0
+
+
+def test_pointers_are_doubled_once(spark, monkeypatch):
+    """A list's rounds of doubling are written out once in a plan, not anew for each use of the round before."""
+    plans, stored = [], diag.stored
+
+    def seen(df, tag):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df, tag)
+
+    monkeypatch.setattr(diag, "stored", seen)
+    rows = [(d, s, 7 * s % 60) for d in (1, 2) for s in range(40)]
+    diag.log_rotation(spark.createDataFrame(rows, "device_id long, session_no int, bytes long"), 100, 30, 8).count()
+    doubled = [p.count("lambdafunction(") for p in plans if "Generate" in p]
+    assert doubled and all(0 < n <= 8 for n in doubled), doubled  # 21 as columns on columns
