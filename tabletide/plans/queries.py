@@ -135,10 +135,13 @@ def lobby_drafts(s: SparkSession, d: str) -> DataFrame:
 
 
 def files_of(rows: DataFrame, tag: str) -> str:
-    """A log as a folder of files, closed by a row of game -1 so much later that the watermark passes all others."""
-    last = rows.agg((F.max("ts") + F.expr("interval 2000 days")).alias("ts"))
+    """A log as a folder of files, closed by a row of game -1 so much later that the watermark passes all others. A stream takes
+    files by age, so that row is written when the others are there: in a batch before theirs it would make them late."""
+    path = sources.stored_path(rows, tag)
+    last = rows.sparkSession.read.schema(rows.schema).parquet(path).agg((F.max("ts") + F.expr("interval 2000 days")).alias("ts"))
     end = last.select(F.lit(-1).alias("game_id"), F.lit(-1).alias("seq"), "ts", F.lit("life").alias("action"), F.lit("").alias("player_id"), F.lit(0).alias("delta")).where("ts is not null")
-    return sources.stored_path(rows.unionByName(td.typed(end, GAME_LOG)), tag)
+    td.typed(end, GAME_LOG).write.mode("append").parquet(path)
+    return path
 
 
 def streamed(s: SparkSession, rows: DataFrame, build: Callable[[DataFrame], DataFrame], keys: list[str], tag: str) -> DataFrame:

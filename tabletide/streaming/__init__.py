@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StreamingQueryListener
 
-from tabletide.streaming.state import GAME, HOLDER, LIFE, EffectState, GameState, LifeState
+from tabletide.streaming.state import DOES, GAME, HOLDER, LIFE, EffectState, GameState, LifeState
 
 LATENESS, IDLE = "10 minutes", "1 day"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -116,5 +116,5 @@ def stream_game_state(log: DataFrame, idle: str = IDLE, lateness: str = LATENESS
     without a player. ts must not fall as seq grows within a game: an action that does is late if others have passed it.
     A game leaves the state, its last rows marked evicted, when the watermark is `idle` past its newest action. Rows that
     the watermark itself drops are counted by Spark (`Account`)."""
-    rows = on_time(log, lateness).select("game_id", "ts", "seq", "action", "player_id", "source_id", "delta", "effect_type")
+    rows = on_time(log, lateness).select("game_id", "ts", "seq", F.to_json(F.struct(*DOES)).alias("what"))
     return keyed(rows, ["game_id"], GameState(milliseconds(log.sparkSession, idle)), GAME)

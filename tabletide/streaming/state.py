@@ -3,7 +3,9 @@ with event-time timers. A key has one timer at a time: the next moment at which
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -14,6 +16,14 @@ GAME = (
     "applied long, late long, evicted boolean"
 )
 LIFE = "game_id long, player_id string, life long, change long, n long, began_us long, evicted boolean"
+#: Actions that wait, what they do as JSON, and a game's maps of life changes, damage and effects.
+WAITING = "seq array<bigint>, ms array<bigint>, what array<string>"
+DOES = ("action", "player_id", "source_id", "delta", "effect_type")
+TABLE = (
+    "life_player array<string>, life array<bigint>, damage_player array<string>, damage_source array<string>, damage array<bigint>, "
+    "effect_type array<string>, effect_player array<string>, effect_seq array<bigint>"
+)
+PIECE = 4096
 HOLDER = "game_id long, effect_type string, player_id string, seq long, evicted boolean"
 
 
@@ -93,75 +103,108 @@ class EffectState(Expiring):
 class GameState(Expiring):
     """The whole fold of a game. Actions wait in a list until the watermark has passed them, and are then applied in order of
     seq, so the state doesn't depend on how the log is cut into batches. An action that can't be applied any more (its
-    seq has been passed or is there twice) is counted in late."""
+    seq has been passed or is there twice) is counted in late.
+
+    What comes in is appended in pieces of PIECE actions at most, a column an array, and what waits is read only when something is due: a
+    batch costs what it brings, however much waits, and a call of the store is made for a piece or a table, not for a row or a cell.
+    What an action does is one text (`what`) until it is applied, for each column of a row costs a worker about as much as that."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.progress = handle.getValueState("progress", "epoch long, seq long, applied long, late long, last_ms long, timer long")
-        self.waiting = handle.getListState("waiting", "seq long, ms long, action string, player_id string, source_id string, delta long, effect_type string")
-        self.life = handle.getMapState("life", "player_id string", "change long")
-        self.damage = handle.getMapState("damage", "player_id string, source_id string", "damage long")
-        self.effects = handle.getMapState("effects", "effect_type string", "player_id string, seq long")
+        self.progress = handle.getValueState("progress", "epoch long, seq long, applied long, late long, last_ms long, due long, timer long")
+        self.waiting = handle.getListState("waiting", WAITING)
+        self.table = handle.getValueState("table", TABLE)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:  # noqa: N802, N803
-        epoch, seq, applied, late, last, timer = self.progress.get() if self.progress.exists() else (0, NEVER, 0, 0, NEVER, NEVER)
-        held = {w[0]: tuple(w) for w in self.waiting.get()} if self.waiting.exists() else {}
+        epoch, seq, applied, late, last, due, timer = self.progress.get() or (0, NEVER, 0, 0, NEVER, NEVER, NEVER)
+        came = []
         for r in rows:
             last = max(last, r.ms)
-            if r.seq <= seq or r.seq in held:
+            if r.seq <= seq:
                 late += 1
             else:
-                held[r.seq] = (r.seq, r.ms, r.action, r.player_id, r.source_id, r.delta, r.effect_type)
-        return self.settle(key, held, (epoch, seq, applied, late, last, timer), timerValues.getCurrentWatermarkInMs(), False)
+                came.append((r.seq, r.ms, r.what))
+        first = min((w[1] for w in came), default=NEVER)
+        mark = timerValues.getCurrentWatermarkInMs()
+        if NEVER < first <= mark or NEVER < due <= mark:
+            return self.settle(key, came, (epoch, seq, applied, late, last, due, timer), mark, False)
+        if came:
+            self.waiting.appendList(pieces(came))
+            due = first if due == NEVER else min(due, first)
+        self.keep((epoch, seq, applied, late, last, due, timer))
+        return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:  # noqa: N802, N803
-        if not self.progress.exists():
+        found = self.progress.get()
+        if not found:
             return iter(())
-        epoch, seq, applied, late, last, _ = self.progress.get()
-        held = {w[0]: tuple(w) for w in self.waiting.get()} if self.waiting.exists() else {}
-        return self.settle(key, held, (epoch, seq, applied, late, last, NEVER), timerValues.getCurrentWatermarkInMs(), True)
-
-    def settle(self, key: tuple, held: dict[int, tuple], progress: tuple, mark: int, expired: bool) -> Iterator[Row]:
-        epoch, seq, applied, late, last, timer = progress
+        return self.settle(key, [], (*found[:-1], NEVER), timerValues.getCurrentWatermarkInMs(), True)
+
+    def keep(self, progress: tuple) -> None:
+        """The game's progress, with a timer at the first waiting action or else where the game is idle."""
+        *said, last, due, timer = progress
+        end = last + self.idle_ms
+        self.progress.update((*said, last, due, self.timed(timer, end if due == NEVER else min(due, end))))
+
+    def settle(self, key: tuple, came: list[tuple], progress: tuple, mark: int, expired: bool) -> Iterator[Row]:
+        epoch, seq, applied, late, last, due, timer = progress
+        held: dict[int, tuple] = {}
+        for w in chain((w for piece in (self.waiting.get() if due != NEVER else ()) for w in zip(*piece, strict=True)), came):
+            if w[0] in held:
+                late += 1
+            else:
+                held[w[0]] = w
         ready = sorted(w for w in held.values() if w[1] <= mark)
         rest = sorted(w for w in held.values() if w[1] > mark)
         out: list[Row] = []
         ends = expired and not rest and mark >= last + self.idle_ms
         if ready or ends:
-            life = {k[0]: v[0] for k, v in self.life.iterator()}
-            damage = {(k[0], k[1]): v[0] for k, v in self.damage.iterator()}
-            effects = {k[0]: (v[0], v[1]) for k, v in self.effects.iterator()}
+            life, damage, effects = opened(self.table.get())
             for w in ready:
                 if w[0] <= seq:  # its time has come after that of a later action
                     late += 1
                 else:
-                    epoch, seq, applied = epoch + apply(life, damage, effects, w), w[0], applied + 1
+                    epoch, seq, applied = epoch + apply(life, damage, effects, w[0], json.loads(w[2])), w[0], applied + 1
             out = told(key[0], seq, epoch, applied, late, life, damage, effects, ends)
-            for state in (self.life, self.damage, self.effects):
-                state.clear()
             if not ends:
-                for p, v in life.items():
-                    self.life.updateValue((p,), (v,))
-                for cell, v in damage.items():
-                    self.damage.updateValue(cell, (v,))
-                for e, v in effects.items():
-                    self.effects.updateValue((e,), v)
+                self.table.update(closed(life, damage, effects))
         if ends:
-            self.progress.clear()
-            self.waiting.clear()
+            for state in (self.progress, self.waiting, self.table):
+                state.clear()
             return iter(out)
         if rest:
-            self.waiting.put(rest)
-        else:
+            self.waiting.put(pieces(rest))
+        elif due != NEVER:
             self.waiting.clear()
-        timer = self.timed(timer, min([last + self.idle_ms, *(w[1] for w in rest)]))
-        self.progress.update((epoch, seq, applied, late, last, timer))
+        self.keep((epoch, seq, applied, late, last, min((w[1] for w in rest), default=NEVER), timer))
         return iter(out)
 
 
-def apply(life: dict, damage: dict, effects: dict, action: tuple) -> int:
-    """The rule of an action (seq, ms, action, player_id, source_id, delta, effect_type) on a game's maps; 1 for a new epoch."""
-    seq, _, kind, player, source, delta, effect = action
+def pieces(actions: list[tuple]) -> list[tuple]:
+    """Actions as rows of WAITING, in the same order."""
+    return [tuple(map(list, zip(*actions[i : i + PIECE], strict=True))) for i in range(0, len(actions), PIECE)]
+
+
+def closed(life: dict, damage: dict, effects: dict) -> tuple:
+    """A game's maps as a row of TABLE."""
+    held = effects.values()
+    return (
+        list(life), list(life.values()), [p for p, _ in damage], [a for _, a in damage], list(damage.values()),
+        list(effects), [p for p, _ in held], [seq for _, seq in held],
+    )
+
+
+def opened(row: tuple | None) -> tuple[dict, dict, dict]:
+    players, changes, hurt, sources, amounts, kinds, holders, seqs = row or ((),) * 8
+    return (
+        dict(zip(players, changes, strict=True)), dict(zip(zip(hurt, sources, strict=True), amounts, strict=True)),
+        dict(zip(kinds, zip(holders, seqs, strict=True), strict=True)),
+    )
+
+
+def apply(life: dict, damage: dict, effects: dict, seq: int, what: dict) -> int:
+    """The rule of an action (the DOES that it has) on a game's maps; 1 for a new epoch."""
+    kind, player, source, delta, effect = (what.get(c) for c in DOES)
     if kind in ("new_game", "reset"):
         for state in (life, damage, effects):
             state.clear()

@@ -3,19 +3,23 @@
 from __future__ import annotations
 
 import datetime
+import glob
 import os
 import random
 import time
 from typing import NamedTuple
 
 import pytest
-from pyspark.sql import Window
+from pyspark.sql import Row, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
 from tabletide import sources, streaming
 from tabletide import testdata as td
 from tabletide.operators import actions, damage, effects, life
+from tabletide.plans import queries as plans
 from tabletide.schemas import GAME_LOG
+from tabletide.streaming.state import GameState
 
 SF = "/root/testdata/sf0.001"
 
@@ -205,3 +209,85 @@ def test_a_repeated_batch_leaves_the_same_table(spark, tmp_path):
     assert len(got()) == 4  # rows without a line of the manifest aren't seen
     assert {(r.batch, r.rows) for r in spark.read.parquet(f"{path}/manifest").collect()} == {(0, 2), (1, 2)}
     assert sorted((r.id, r.kind) for r in sources.newest(sources.read_batches(spark, path), ["kind"]).collect()) == [(2, "b"), (3, "a"), (4, "d")]
+
+
+class Held:
+    """A state variable of a fake handle, which counts the actions that are read from it and written to it."""
+
+    def __init__(self, counts):
+        self.rows, self.counts = [], counts
+
+    def count(self, rows):
+        self.counts.append(sum(len(r[0]) if isinstance(r[0], list) else 1 for r in rows))
+        return rows
+
+    def exists(self):
+        return bool(self.rows)
+
+    def clear(self):
+        self.rows = []
+
+    def appendList(self, rows):  # noqa: N802
+        self.rows += self.count(rows)
+
+    def put(self, rows):
+        self.rows = self.count(list(rows))
+
+    def get(self):
+        return iter(self.count(self.rows))
+
+
+class Value(Held):
+    def update(self, row):
+        self.rows = [row]
+
+    def get(self):
+        return self.rows[0] if self.rows else None
+
+
+class Cells(dict):
+    iterator = dict.items
+    updateValue = dict.__setitem__  # noqa: N815
+
+
+class Handle:
+    def __init__(self):
+        self.counts, self.timers = [], set()
+        self.registerTimer, self.deleteTimer = self.timers.add, self.timers.discard  # noqa: N815
+
+    def getValueState(self, name, schema):  # noqa: N802
+        return Value(self.counts)
+
+    def getListState(self, name, schema):  # noqa: N802
+        return Held(self.counts)
+
+    def getMapState(self, name, key, schema):  # noqa: N802
+        return Cells()
+
+
+def test_a_batch_costs_what_it_brings():
+    """Actions that wait are written once and read once, however many batches come before the watermark passes them."""
+    at = lambda mark: TimerValues(0, mark)
+    row = lambda k: Row(seq=k, ms=1000 + k, action="life", player_id="A", source_id=None, delta=1, effect_type=None, what='{"action":"life","player_id":"A","delta":1}')
+    handle, game = Handle(), GameState(10**6)
+    game.init(handle)
+    for k in range(100):
+        assert not list(game.handleInputRows((1,), iter([row(k), row(k)]), at(0)))
+    assert handle.timers == {1000}
+    (said,) = game.handleExpiredTimer((1,), at(5000), None)
+    assert (said.life_change, said.applied, said.late, said.seq) == (100, 100, 100, 99)
+    assert sum(handle.counts) <= 400  # 5,000 writes and as many reads when each batch rewrites what waits
+
+
+def test_the_closing_row_is_the_newest_file(spark):
+    """A log of slow files: a stream takes files by age, and a closing row in an earlier batch would make the others late."""
+
+    def slowly(frames):
+        time.sleep(1.5)
+        yield from frames
+
+    rows = td.game_log(spark, SF).repartition(3).mapInPandas(slowly, GAME_LOG)
+    folder = plans.files_of(rows, "closed").removeprefix("file:")
+    found = sorted(((os.stat(f).st_mtime_ns, f) for f in glob.glob(f"{folder}/*.parquet")))
+    kinds = [{r.game_id < 0 for r in spark.read.parquet(f).select("game_id").distinct().collect()} for _, f in found]
+    assert kinds == [{False}] * (len(kinds) - 1) + [{True}] and len(kinds) >= 2
