@@ -119,11 +119,13 @@ class GameState(Expiring):
         epoch, seq, applied, late, last, due, timer = self.progress.get() or (0, NEVER, 0, 0, NEVER, NEVER, NEVER)
         came = []
         for r in rows:
-            last = max(last, r.ms)
-            if r.seq <= seq:
+            k, ms = r.seq, r.ms  # a row's fields are searched by name
+            if ms > last:
+                last = ms
+            if k <= seq:
                 late += 1
             else:
-                came.append((r.seq, r.ms, r.what))
+                came.append((k, ms, r.what))
         first = min((w[1] for w in came), default=NEVER)
         mark = timerValues.getCurrentWatermarkInMs()
         if NEVER < first <= mark or NEVER < due <= mark:
