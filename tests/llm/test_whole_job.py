@@ -4,15 +4,18 @@ a passage."""
 from __future__ import annotations
 
 import random
+import string
 from collections import Counter
 from functools import partial
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tabletide.llm import decontam, line_dedup, queries, substring_dedup, toxicity
 
+LETTERS = string.ascii_letters + string.digits
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -41,6 +44,38 @@ def test_lines_whose_hashes_agree_in_half(spark):
     assert {r.doc_id: r.removed_lines for r in got} == {1: [], 2: [0]}
 
 
+def test_lines_of_many_shared_keys_are_shuffled_once(spark, monkeypatch):
+    """Lines that share keys with others go through a shuffle once, not once for each of their twelve keys, also where the shared
+    keys are more than any that fit in a broadcast of keys."""
+    monkeypatch.setattr(line_dedup, "FEW_KEYS", 0, raising=False)
+    r = random.Random(8)
+    base = ["".join(r.choices(LETTERS, k=70_000)) for _ in range(8)]  # longer than a compressed block, which would take out copies
+    lines = [x[:k] + "*" + x[k + 1 :] for x in base for k in r.sample(range(70_000), 2)]
+    df = documents(spark, enumerate("\n".join(lines[k : k + 4]) for k in range(0, len(lines), 4)))
+    written = lambda: sum(x.totalShuffleWrite() for x in list_of(spark, spark.sparkContext._jsc.sc().statusStore().executorList(True)))
+    before = written()
+    firsts = line_dedup.lines_of(df, 20).groupBy("h1", "h2").agg(F.min(F.struct(*line_dedup.DOC, "line_no")).alias("first"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)  # as for more keys than Spark would broadcast by itself
+    try:
+        found = line_dedup.near_earlier(df, firsts, 2, 20).count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert found == 8 and written() - before < 6 * sum(map(len, lines))
+
+
+def list_of(spark, seq):
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def test_key_filter(spark):
+    """No key is lost, few others pass; a filter that is too small for its keys lets more pass and loses none."""
+    keys, others = (spark.range(a, a + 20_000).select(F.xxhash64("id").alias("key")) for a in (0, 10**6))
+    for n, few in ((20_000, 100), (200, 20_001)):
+        blocks, passes = line_dedup.key_filter(keys, n)
+        assert keys.join(F.broadcast(blocks), passes, "left_semi").count() == 20_000
+        assert others.join(F.broadcast(blocks), passes, "left_semi").count() < few
+
+
 def words_of(seed, n=60):
     r = random.Random(seed)
     return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n)) + "."
