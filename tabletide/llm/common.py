@@ -12,6 +12,9 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Spark's setting that removes an execution's shuffle files at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,10 +39,16 @@ def scratch(spark: SparkSession, tag: str) -> str:
 
 def materialize(df: DataFrame, tag: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Write df as a Parquet table in the shared folder (in folders by some columns) and read it back: later steps neither
-    recompute it nor depend on the executors that made it."""
+    recompute it nor depend on the executors that made it. Shuffle files of the write go as soon as it is done; else they
+    stay until the driver happens to collect its garbage, and the steps' files add up."""
     spark = df.sparkSession
     path = scratch(spark, tag)
-    df.write.partitionBy(*by).parquet(path)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.partitionBy(*by).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

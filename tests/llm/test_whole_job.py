@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import random
 import string
+import time
 from collections import Counter
 from functools import partial
 
@@ -13,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tabletide.llm import decontam, line_dedup, queries, substring_dedup, toxicity
+from tabletide.llm import common, decontam, line_dedup, queries, substring_dedup, toxicity
 
 LETTERS = string.ascii_letters + string.digits
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -76,6 +77,19 @@ def test_key_filter(spark):
         assert others.join(F.broadcast(blocks), passes, "left_semi").count() < few
 
 
+def test_materialized_steps_leave_no_shuffle_files(spark):
+    files = lambda: {x.getName() for x in list_of(spark, spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()) if x.getName().startswith("shuffle_")}
+    before, own = files(), spark.range(5000).groupBy((F.col("id") % 100).alias("k")).agg(F.max("id").alias("most"))
+    kept = spark.conf.get(common.CLEANUP, None)
+    made = common.materialize(own, "test-steps")
+    for _ in range(50):
+        if files() <= before:
+            break
+        time.sleep(0.1)
+    assert files() <= before and spark.conf.get(common.CLEANUP, None) == kept
+    assert made.count() == own.count() == 100 and made.agg(F.sum("most")).first() == own.agg(F.sum("most")).first()
+
+
 def words_of(seed, n=60):
     r = random.Random(seed)
     return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n)) + "."
